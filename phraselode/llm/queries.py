@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, frequency, topk
+from . import encode, frequency, packing, repetition, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,7 +34,20 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_documents(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p8_ids)}
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = encode.encode_documents(_table(spark, folder, "documents")).select("doc_id", F.size("ids").alias("n_tokens"))
+    return packing.fill_containers(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.repeated_share(_table(spark, folder, "documents")).filter(F.col("share") >= 1 / 3).select("doc_id")
+
+
+def p10_share(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.repeated_share(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p8_ids, p9_containers, p10_found, p10_share)}
 
 _CELLS = "(SELECT topic, doc, candidate AS term, sum(n) AS n FROM (SELECT DISTINCT topic, doc, candidate, n FROM incidence WHERE candidate IS NOT NULL AND n >= 1) GROUP BY 1, 2, 3)"
 
