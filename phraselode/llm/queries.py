@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, frequency, packing, repetition, topk
+from . import borda, encode, frequency, packing, repetition, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_SCORES = ["semantic_score", "moran_i", "getisord_g", "n"]
+
+
+def _points(spark: SparkSession, folder: str) -> DataFrame:
+    return borda.borda_points(_table(spark, folder, "results"), ["experiment", "topic"], "result_id", "loaded_at", _SCORES)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return borda.borda_leaders(_points(spark, folder), ["experiment", "topic"], "result_id", 5, least=40).select("experiment", "topic", "result_id")
+
+
+def p2_points(spark: SparkSession, folder: str) -> DataFrame:
+    return _points(spark, folder).withColumn("points", F.round("points", 9))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     rows, what = _table(spark, folder, "incidence"), ("candidate", "n", ["topic", "doc"])
     counts = frequency.marked(frequency.term_counts(rows, *what), frequency.record_count(rows, *what))
@@ -47,7 +62,7 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repeated_share(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p8_ids, p9_containers, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_points, p3_found, p3_counts, p4_found, p8_ids, p9_containers, p10_found, p10_share)}
 
 _CELLS = "(SELECT topic, doc, candidate AS term, sum(n) AS n FROM (SELECT DISTINCT topic, doc, candidate, n FROM incidence WHERE candidate IS NOT NULL AND n >= 1) GROUP BY 1, 2, 3)"
 
@@ -55,7 +70,22 @@ _BEST = """SELECT '{t}' AS kind, topic, {g} AS grp, item_id FROM (
   SELECT topic, {g}, {i} AS item_id, row_number() OVER (PARTITION BY topic, {g} ORDER BY {s} DESC, candidate, {i}) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY {i} ORDER BY loaded_at DESC) AS newest FROM {t} WHERE {s} IS NOT NULL AND NOT isnan({s})) WHERE newest = 1) WHERE place <= {n}"""
 
+_ITEMS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC) AS newest FROM results) WHERE newest = 1)"
+
+
+def _share(score: str) -> str:
+    v = f"CASE WHEN isnan(CAST({score} AS DOUBLE)) THEN NULL ELSE CAST({score} AS DOUBLE) END"
+    w = f"PARTITION BY experiment, topic, ({v}) IS NULL ORDER BY {v} DESC"
+    m = f"count({v}) OVER (PARTITION BY experiment, topic)"
+    c = f"count(*) OVER (PARTITION BY experiment, topic, {v})"
+    return f"CASE WHEN ({v}) IS NULL THEN 0.5 ELSE ({m} - rank() OVER ({w}) + 1 - {c} / 2.0) / {m} END"
+
+
+_POINTS = f"SELECT experiment, topic, result_id, count(*) OVER (PARTITION BY experiment, topic) AS n_items, {' + '.join(_share(s) for s in _SCORES)} AS points FROM {_ITEMS}"
+
 ORACLES = {
+    "p2_points": f"SELECT experiment, topic, result_id, n_items, round(points, 9) AS points FROM ({_POINTS})",
+    "p2_found": f"SELECT experiment, topic, result_id FROM (SELECT *, row_number() OVER (PARTITION BY experiment, topic ORDER BY round(points, 12) DESC, result_id) AS place FROM ({_POINTS}) WHERE n_items >= 40) WHERE place <= 5",
     "p3_counts": f"SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_docs FROM {_CELLS} GROUP BY 1",
     "p3_found": f"""WITH c AS (SELECT * FROM {_CELLS}), d AS (SELECT count(*) AS k FROM (SELECT DISTINCT topic, doc FROM c)), f AS (SELECT term, count(*) AS n FROM c GROUP BY 1)
 SELECT term, 'rare' AS mark FROM f WHERE n <= 2 UNION ALL SELECT term, 'common' AS mark FROM f, d WHERE n > 0.1 * k""",
