@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import borda, encode, frequency, packing, repetition, topk
+from . import borda, copies, encode, frequency, packing, repetition, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _record_tuples(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.tuples_of(
+        {
+            "candidates": copies.record_tuples(_table(spark, folder, "candidates"), "cand_id", exact=["topic", "doc", "first_start", "first_end", "n_mentions"], by_words=["candidate"], sets=["mentions"], required=["candidate"]),
+            "gold": copies.record_tuples(_table(spark, folder, "gold"), "gold_id", exact=["topic", "doc"], by_words=["phrase"], required=["phrase"]),
+            "topic_runs": copies.record_tuples(_table(spark, folder, "topic_runs"), "run_id", json_fields=["payload"], required=["payload"]),
+        }
+    )
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.copies(_record_tuples(spark, folder))
+
+
+def p1_records(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.copy_groups(_record_tuples(spark, folder)).select("kind", "first_id", "copies")
+
+
 _SCORES = ["semantic_score", "moran_i", "getisord_g", "n"]
 
 
@@ -62,7 +80,7 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repeated_share(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_points, p3_found, p3_counts, p4_found, p8_ids, p9_containers, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_points, p3_found, p3_counts, p4_found, p8_ids, p9_containers, p10_found, p10_share)}
 
 _CELLS = "(SELECT topic, doc, candidate AS term, sum(n) AS n FROM (SELECT DISTINCT topic, doc, candidate, n FROM incidence WHERE candidate IS NOT NULL AND n >= 1) GROUP BY 1, 2, 3)"
 
