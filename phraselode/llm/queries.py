@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import borda, copies, encode, frequency, packing, repetition, topk
+from . import borda, copies, encode, frequency, packing, pieces, repetition, sentences, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_sentences(_table(spark, folder, "documents"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_texts(_table(spark, folder, "documents")).filter("part = 0").select("doc_id", "boundary")
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_texts(_table(spark, folder, "documents"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_documents(_table(spark, folder, "documents"))
 
@@ -80,7 +92,7 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repeated_share(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_points, p3_found, p3_counts, p4_found, p8_ids, p9_containers, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_points, p3_found, p3_counts, p4_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share)}
 
 _CELLS = "(SELECT topic, doc, candidate AS term, sum(n) AS n FROM (SELECT DISTINCT topic, doc, candidate, n FROM incidence WHERE candidate IS NOT NULL AND n >= 1) GROUP BY 1, 2, 3)"
 
