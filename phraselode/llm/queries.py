@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import borda, copies, encode, frequency, packing, pieces, repetition, sentences, topk
+from . import borda, copies, encode, frequency, packing, perplexity, pieces, repetition, sentences, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,7 +92,11 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repeated_share(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_points, p3_found, p3_counts, p4_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share)}
+def p10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.document_perplexity(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_points, p3_found, p3_counts, p4_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share, p10_perplexity)}
 
 _CELLS = "(SELECT topic, doc, candidate AS term, sum(n) AS n FROM (SELECT DISTINCT topic, doc, candidate, n FROM incidence WHERE candidate IS NOT NULL AND n >= 1) GROUP BY 1, 2, 3)"
 
