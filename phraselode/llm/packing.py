@@ -116,7 +116,7 @@ def fill_containers(sizes: DataFrame, id_col: str, size_col: str, capacity: int,
         out.append(packed.filter(F.col("container").isNotNull()))
         if tasks == 1:
             break
-        tasks = -(-packed.rdd.getNumPartitions() // narrowing)
+        tasks = max(1, -(-packed.rdd.getNumPartitions() // narrowing))
         number += 1
         # Big items first leaves the small ones to close what is open; the order also makes a round repeatable.
         items = packed.filter(F.col("container").isNull()).drop("container").repartition(tasks, "_id", "part").sortWithinPartitions(F.desc("n_tokens"), "_id", "part")
