@@ -32,7 +32,8 @@ def by_dimension(rows: DataFrame, keys: Sequence[str], vector: str, how: Sequenc
     each = rows.select(*keys, F.posexplode(vector).alias("_i", "_x"))
     sums = each.groupBy(*keys, "_i").agg(*(getattr(F, f)("_x").alias(n) for n, f in how))
     gathered = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", *(n for n, _ in how)))).alias("_a"))
-    return gathered.select(*keys, *(F.transform("_a", lambda x, n=n: x[n]).alias(n) for n, _ in how))
+    field = lambda n: F.transform("_a", lambda x: x[n]).alias(n)
+    return gathered.select(*keys, *(field(n) for n, _ in how))
 
 
 def mean_vectors(rows: DataFrame, keys: Sequence[str], vector: str = "vec", out: str = "vec") -> DataFrame:

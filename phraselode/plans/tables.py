@@ -12,14 +12,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def r6(c: str | Column) -> Column:
-    """Rounded to 6 places; NaN and infinities become null; no negative zero."""
+def rounded(c: str | Column, places: int = 6) -> Column:
+    """Rounded; NaN and infinities become null; no negative zero."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.abs(c) < float("inf"), F.round(c, 6) + 0.0)
+    return F.when(F.abs(c) < float("inf"), F.round(c, places) + 0.0)
+
+
+def r6(c: str | Column) -> Column:
+    return rounded(c)
 
 
-def sql6(x: str) -> str:
-    return f"(CASE WHEN isfinite({x}) THEN round({x}, 6) + 0.0 END)"
+def sql6(x: str, places: int = 6) -> str:
+    return f"(CASE WHEN isfinite({x}) THEN round({x}, {places}) + 0.0 END)"
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
