@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ranks, spatial, texts
+from . import matrices, ranks, spatial, texts
 
-_PARTS = (ranks, spatial, texts)
+_PARTS = (ranks, matrices, spatial, texts)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
