@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,8 +28,8 @@ BROADCAST_CELLS = 200_000
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
-def possible_points(places: DataFrame, id_col: str, x: str = "x", y: str = "y", lat_long: str = "lat_long", geometry: str = "geometry") -> DataFrame:
-    """``id_col``, lat, lon of the rows with a complete, possible point.
+def possible_points(places: DataFrame, id_col: str, x: str = "x", y: str = "y", lat_long: str = "lat_long", geometry: str = "geometry", keep: Sequence[str] = ()) -> DataFrame:
+    """``id_col``, ``keep``, lat, lon of the rows with a complete, possible point.
 
     The point is taken from x (longitude) and y (latitude), else from the array lat_long, else from the text
     geometry (WKT with or without SRID, in any letter case and spacing, or GeoJSON, longitude first). Null, NaN and
@@ -47,7 +47,7 @@ def possible_points(places: DataFrame, id_col: str, x: str = "x", y: str = "y",
         F.when(F.size(lat_long) == 2, pair(F.element_at(F.col(lat_long), 1).cast("double"), F.element_at(F.col(lat_long), 2).cast("double"))),
         pair(number(2), number(1)),
     )
-    found = places.select(id_col, point.alias("_p")).select(id_col, "_p.lat", "_p.lon").filter("abs(lat) <= 90 AND abs(lon) <= 360")
+    found = places.select(id_col, *keep, point.alias("_p")).select(id_col, *keep, "_p.lat", "_p.lon").filter("abs(lat) <= 90 AND abs(lon) <= 360")
     return found.withColumn("lon", F.expr("CASE WHEN lon >= 180 THEN lon - 360 WHEN lon < -180 THEN lon + 360 ELSE lon END"))
 
 
