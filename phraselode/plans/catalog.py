@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geography, matrices, ranks, spatial, texts
+from . import evaluation, geography, matrices, ranks, spatial, texts
 
-_PARTS = (ranks, matrices, geography, spatial, texts)
+_PARTS = (ranks, matrices, geography, evaluation, spatial, texts)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
