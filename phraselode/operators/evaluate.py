@@ -160,7 +160,7 @@ def score_histogram(rows: DataFrame, score: str, hit: str, step: float = 0.01) -
 
 def side_by_side(ranked: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, place, predicted, gold: both lists beside each other, the shorter one filled with nulls."""
-    g = gold.select(*keys, F.col("phrase").alias("gold"), F.row_number().over(Window.partitionBy(*keys).orderBy("phrase")).alias("place"))
+    g = gold.select(*keys, F.col("phrase").alias("gold"), F.row_number().over(Window.partitionBy(*keys).orderBy("phrase")).cast("bigint").alias("place"))
     return ranked.select(*keys, F.col("rank").alias("place"), F.col("phrase").alias("predicted")).join(g, [*keys, "place"], "full_outer")
 
 

@@ -20,7 +20,8 @@ def top(rows: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str], n:
     """Rank from 1 within keys by score, greatest first and nulls last, then ``tie``; the first ``n``, or all for -1."""
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), *(F.col(t).asc_nulls_last() for t in tie))
     ranked = rows.withColumn(rank, F.row_number().over(w))
-    return ranked if n < 0 else ranked.filter(F.col(rank) <= n)
+    # The cast comes behind the filter, which the optimiser has to see beside the window to prune early.
+    return (ranked if n < 0 else ranked.filter(F.col(rank) <= n)).withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def embed_rank(candidates: DataFrame, docs: DataFrame, keys: Sequence[str], tie: Sequence[str], n: int = -1) -> DataFrame:

@@ -11,7 +11,7 @@ from .tables import scores, table
 
 def dataset_align_inner(spark: SparkSession, folder: str) -> DataFrame:
     """Gold phrases of documents with the length of their document's text."""
-    docs = table(spark, folder, "documents").select("topic", "doc", F.length("text").alias("n"))
+    docs = table(spark, folder, "documents").select("topic", "doc", F.length("text").cast("bigint").alias("n"))
     return table(spark, folder, "gold").select("gold_id", "topic", "doc").join(docs, ["topic", "doc"]).select("gold_id", "doc", "n")
 
 

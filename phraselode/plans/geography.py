@@ -29,7 +29,7 @@ PLACES = f"""raw_ AS (SELECT loc_id, topic_id AS topic, doc, CASE WHEN {_XY} THE
 places_ AS (SELECT loc_id, topic, doc, lat, CASE WHEN lon0 >= 180 THEN lon0 - 360 WHEN lon0 < -180 THEN lon0 + 360 ELSE lon0 END AS lon FROM raw_ WHERE abs(lat) <= 90 AND abs(lon0) <= 360)"""
 
 
-def _km(a: str, b: str) -> str:
+def km(a: str, b: str) -> str:
     return f"(2 * 6371.0088 * asin(least(1, sqrt(sin(radians({b}.lat - {a}.lat) / 2) ** 2 + cos(radians({a}.lat)) * cos(radians({b}.lat)) * sin(radians({b}.lon - {a}.lon) / 2) ** 2))))"
 
 
@@ -94,7 +94,7 @@ def _weights(name: str) -> None:
         return geo.weight_table(_points(spark, folder), ["topic"], **_HOW[name]).select("i", "j", rounded("w", 9).alias("w")).filter("w > 0")
 
     Q[f"geo_weights_{name}"] = run
-    O[f"geo_weights_{name}"] = f"WITH {PLACES}, p AS (SELECT topic, lat, lon, min(loc_id) AS id FROM places_ GROUP BY ALL), d AS (SELECT a.id AS i, b.id AS j, {_km('a', 'b')} AS km FROM p a JOIN p b ON a.topic IS NOT DISTINCT FROM b.topic AND a.id <> b.id), w AS (SELECT i, j, {_DECAY[name]} AS w FROM d), n AS (SELECT i, j, round(w / nullif(sum(w) OVER (PARTITION BY i), 0), 9) AS w FROM w) SELECT * FROM n WHERE w > 0"
+    O[f"geo_weights_{name}"] = f"WITH {PLACES}, p AS (SELECT topic, lat, lon, min(loc_id) AS id FROM places_ GROUP BY ALL), d AS (SELECT a.id AS i, b.id AS j, {km('a', 'b')} AS km FROM p a JOIN p b ON a.topic IS NOT DISTINCT FROM b.topic AND a.id <> b.id), w AS (SELECT i, j, {_DECAY[name]} AS w FROM d), n AS (SELECT i, j, round(w / nullif(sum(w) OVER (PARTITION BY i), 0), 9) AS w FROM w) SELECT * FROM n WHERE w > 0"
 
 
 for _n in _DECAY:
@@ -145,7 +145,7 @@ def geo_topic_association(spark: SparkSession, folder: str) -> DataFrame:
 def _index_sql(x: str, keys: str) -> str:
     on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
     return f"""p_ AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY lat, lon) AS id, avg(x) OVER g AS m, count(*) OVER g AS n, var_pop(x) OVER g AS v, sum(x) OVER g AS sx FROM {x} WINDOW g AS (PARTITION BY {keys})),
-w_ AS (SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.id, a.x AS xi, b.x AS xj, a.m, a.n, a.v, a.sx, 1 / (500 + {_km('a', 'b')}) AS w FROM p_ a JOIN p_ b ON {on} AND a.id <> b.id),
+w_ AS (SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.id, a.x AS xi, b.x AS xj, a.m, a.n, a.v, a.sx, 1 / (500 + {km('a', 'b')}) AS w FROM p_ a JOIN p_ b ON {on} AND a.id <> b.id),
 s_ AS (SELECT *, w / sum(w) OVER (PARTITION BY {keys}, id) AS r FROM w_),
 i_ AS (SELECT {keys}, sum(r * (xi - m) * (xj - m)) AS zz, sum(r * (xi - xj) ** 2) AS gap, sum(r) AS w, sum(r * xi * xj) AS xx FROM s_ GROUP BY ALL),
 k_ AS (SELECT {keys}, any_value(n) AS n, any_value(v) AS v, any_value(m) AS m, any_value(sx) AS sx FROM p_ GROUP BY {keys}),

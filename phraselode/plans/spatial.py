@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nearby
+from .geography import PLACES, km
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,4 +20,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p5_found": f"""WITH {PLACES}, r AS (SELECT area_id, unnest(regexp_extract_all(boundary, '\\(([^()]+)\\)', 1)) AS ring FROM areas),
+v AS (SELECT area_id, list_transform(string_split(ring, ','), lambda p: list_transform(string_split(trim(p, ' '), ' '), lambda z: CAST(z AS DOUBLE))) AS pts FROM r),
+e AS (SELECT area_id, pts[i][1] AS x1, pts[i][2] AS y1, pts[i % len(pts) + 1][1] AS x2, pts[i % len(pts) + 1][2] AS y2 FROM (SELECT *, unnest(range(1, len(pts) + 1)) AS i FROM v))
+SELECT 'near' AS kind, a.loc_id AS first_id, b.loc_id AS second_id FROM places_ a JOIN places_ b ON a.loc_id < b.loc_id AND abs(a.lat - b.lat) < 0.01 WHERE {km('a', 'b')} <= 1
+UNION ALL SELECT 'inside' AS kind, area_id AS first_id, loc_id AS second_id FROM places_ JOIN e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY area_id, loc_id HAVING count(*) % 2 = 1"""
+}

@@ -76,7 +76,7 @@ def clean_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TOKEN = _sql(chunking.TOKEN)
-_SENTS = f"""s AS (SELECT topic, doc, unnest(p) AS tokens, unnest(range(len(p))) AS sent FROM (
+_SENTS = f"""s AS (SELECT topic, doc, unnest(p) AS tokens, CAST(unnest(range(len(p))) AS INTEGER) AS sent FROM (
   SELECT topic, doc, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_extract_all(x, '{_TOKEN}')), lambda t: len(t) > 0) AS p FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT topic, doc, sent, unnest(tokens) AS word, unnest(range(len(tokens))) AS tok FROM s),
 g AS (SELECT *, CASE WHEN NOT regexp_matches(word, '[\\p{{L}}\\p{{N}}]') THEN 'PUNCT' WHEN regexp_matches(word, '^[0-9]') THEN 'NUM' WHEN list_contains({_STOP}, lower(word)) THEN 'IN' WHEN contains(word, '-') THEN 'NOUN'
