@@ -15,33 +15,50 @@ MINOR = MAJOR * (1 - FLATTENING)
 SPHERE = 6371.0088
 
 
+def _step(lam, ss, cc, c2, cs, sc):
+    """Sine, cosine and angle of the arc, squared cosine of its azimuth, cosine at its middle, and sine of the azimuth."""
+    sin_l, cos_l = np.sin(lam), np.cos(lam)
+    sin_s = np.sqrt((c2 * sin_l) ** 2 + (cs - sc * cos_l) ** 2)
+    cos_s = ss + cc * cos_l
+    sin_a = np.where(sin_s > 0, cc * sin_l / sin_s, 0.0)
+    cos_2a = 1 - sin_a * sin_a
+    cos_2m = np.where(cos_2a > 0, cos_s - 2 * ss / cos_2a, 0.0)
+    return sin_s, cos_s, np.arctan2(sin_s, cos_s), cos_2a, cos_2m, sin_a
+
+
 def vincenty_km(lat1, lon1, lat2, lon2, steps: int = 20, within: float = 1e-12) -> np.ndarray:
-    """Vincenty's inverse formula; NaN for the nearly antipodal points where it doesn't converge in ``steps``."""
+    """Vincenty's inverse formula; NaN for the nearly antipodal points where it doesn't converge in ``steps``.
+
+    Pairs leave the iteration as they converge, most after four steps.
+    """
     lat1, lon1, lat2, lon2 = (np.radians(np.asarray(x, float)) for x in (lat1, lon1, lat2, lon2))
     u1, u2 = np.arctan((1 - FLATTENING) * np.tan(lat1)), np.arctan((1 - FLATTENING) * np.tan(lat2))
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    span = lon2 - lon1
-    lam = span + np.zeros(np.broadcast(u1, u2).shape)
-    done = np.zeros(lam.shape, bool)
+    shape = np.broadcast_shapes(u1.shape, u2.shape)
+    whole = [np.broadcast_to(x, shape).ravel() for x in (s1 * s2, c1 * c2, c2, c1 * s2, s1 * c2)]
+    span = np.broadcast_to(lon2 - lon1, shape).ravel()
+    lam, active, terms, spans = span.copy(), np.arange(span.size), whole, span
     with np.errstate(invalid="ignore", divide="ignore"):
         for _ in range(steps):
-            sin_s = np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
-            cos_s = s1 * s2 + c1 * c2 * np.cos(lam)
-            sigma = np.arctan2(sin_s, cos_s)
-            sin_a = np.where(sin_s > 0, c1 * c2 * np.sin(lam) / sin_s, 0.0)
-            cos_2a = 1 - sin_a**2
-            cos_2m = np.where(cos_2a > 0, cos_s - 2 * s1 * s2 / cos_2a, 0.0)
+            sin_s, cos_s, sigma, cos_2a, cos_2m, sin_a = _step(lam[active], *terms)
             c = FLATTENING / 16 * cos_2a * (4 + FLATTENING * (4 - 3 * cos_2a))
-            new = span + (1 - c) * FLATTENING * sin_a * (sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m**2 - 1)))
-            done |= np.abs(new - lam) < within
-            lam = np.where(done, lam, new)
-            if done.all():
+            new = spans + (1 - c) * FLATTENING * sin_a * (sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m * cos_2m - 1)))
+            going = ~(np.abs(new - lam[active]) < within)
+            lam[active] = new
+            if not going.all():
+                active, spans = active[going], spans[going]
+                terms = [x[going] for x in terms]
+            if not len(active):
                 break
-        k = cos_2a * (MAJOR**2 - MINOR**2) / MINOR**2
+        sin_s, cos_s, sigma, cos_2a, cos_2m, _ = _step(lam, *whole)
+        k = cos_2a * ((MAJOR**2 - MINOR**2) / MINOR**2)
         a = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
         b = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
-        d = b * sin_s * (cos_2m + b / 4 * (cos_s * (2 * cos_2m**2 - 1) - b / 6 * cos_2m * (4 * sin_s**2 - 3) * (4 * cos_2m**2 - 3)))
-    return np.where(done, MINOR * a * (sigma - d), np.nan)
+        m2 = cos_2m * cos_2m
+        d = b * sin_s * (cos_2m + b / 4 * (cos_s * (2 * m2 - 1) - b / 6 * cos_2m * (4 * sin_s * sin_s - 3) * (4 * m2 - 3)))
+        out = MINOR * a * (sigma - d)
+    out[active] = np.nan
+    return out.reshape(shape)
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> np.ndarray:

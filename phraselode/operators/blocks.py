@@ -21,17 +21,28 @@ SIZE = 1024
 #: Gets the two blocks as dicts of arrays, and whether they are the same block; returns columns of rows.
 Kernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], bool], dict[str, np.ndarray | Sequence]]
 
+#: Gets items as a dict of arrays and the pairs to compute as two arrays of places; returns columns with a row an item.
+FlatKernel = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], dict[str, np.ndarray | Sequence]]
+
 
 def block_counts(items: DataFrame, group: str, size: int) -> DataFrame:
     """group, _n, _blocks."""
-    return items.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int"))
+    sizes = items.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int"))
 
 
 def in_blocks(items: DataFrame, counts: DataFrame, group: str, id_col: str) -> DataFrame:
-    """group, _block, items: arrays sorted by id."""
-    placed = lookup(items, counts, [group], "_n").withColumn("_block", F.pmod(F.xxhash64(F.lit(7), id_col), F.col("_blocks")).cast("int"))
+    """group, _block, _blocks, items: arrays sorted by id."""
+    placed = lookup(items, counts.withColumn("_k", F.col("_n")), [group], "_k")
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64(F.lit(7), id_col), F.col("_blocks")).cast("int"))
     rest = [c for c in items.columns if c not in (group, id_col)]
-    return placed.groupBy(group, "_block").agg(F.array_sort(F.collect_list(F.struct(id_col, *rest))).alias("items"))
+    # A number of partitions of its own: these are few bytes, but each may be much work, so they aren't to be merged.
+    placed = placed.repartition(_tasks(items), group, "_block")
+    return placed.groupBy(group, "_block").agg(F.first("_blocks").alias("_blocks"), F.array_sort(F.collect_list(F.struct(id_col, *rest))).alias("items"))
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _numpy(items: pa.Array) -> dict[str, np.ndarray]:
@@ -53,42 +64,81 @@ def _run(kernel: Kernel, group: str, names: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
-            for i in range(batch.num_rows):
-                left, right = (batch.column(at[n])[i].values for n in ("left_items", "right_items"))
-                got = kernel(_numpy(left), _numpy(right), batch.column(at["same"])[i].as_py())
-                n = len(got[names[0]])
-                columns = [batch.column(at[group]).take(pa.array(np.full(n, i)))]
-                columns += [pa.array(got[c]) for c in names]
-                yield pa.RecordBatch.from_arrays(columns, [group, *names])
+            left, right, same = (batch.column(at[n]) for n in ("left_items", "right_items", "same"))
+            got = [kernel(_numpy(left[i].values), _numpy(right[i].values), same[i].as_py()) for i in range(batch.num_rows)]
+            if not got:
+                continue
+            owner = np.repeat(np.arange(len(got)), [len(g[names[0]]) for g in got])
+            columns = [pa.array(np.concatenate([np.asarray(g[n]) for g in got])) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column(at[group]).take(pa.array(owner)), *columns], [group, *names])
+
+    return run
+
+
+#: Pairs of items that the many small groups of a batch are computed with at once.
+FLAT = 1_000_000
+
+
+def _run_flat(flat: FlatKernel, group: str, names: Sequence[str]):
+    """Groups of one block, many at once: their items end to end, and the pairs within each group as two arrays of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = (batch.column(batch.schema.get_field_index(n)) for n in (group, "left_items"))
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = 0
+            while begin < len(sizes):
+                pairs = np.cumsum(sizes[begin:] ** 2)
+                end = begin + max(1, int(np.searchsorted(pairs, FLAT, "right")))
+                n = sizes[begin:end]
+                first = np.concatenate([[0], np.cumsum(n)[:-1]])
+                items = _numpy(lists.slice(begin, end - begin).flatten())
+                left = np.repeat(np.arange(n.sum()), np.repeat(n, n))
+                opening = np.concatenate([[0], np.cumsum(np.repeat(n, n))[:-1]])
+                right = np.arange(len(left)) - np.repeat(opening, np.repeat(n, n)) + np.repeat(np.repeat(first, n), np.repeat(n, n))
+                got = flat(items, left, right)
+                owner = pa.array(np.repeat(np.arange(begin, end), n))
+                yield pa.RecordBatch.from_arrays([keys.take(owner), *(pa.array(np.asarray(got[c])) for c in names)], [group, *names])
+                begin = end
 
     return run
 
 
-def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False) -> DataFrame:
+def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None) -> DataFrame:
     """group and the kernel's columns (``out`` is their schema) for every pair of blocks of a group.
 
     ``right`` None stands for ``left`` itself; ``half`` then gives each pair of blocks once. Items with a null group
-    are left out; ids must be unique within a group and vectors of equal length.
+    are left out; ids must be unique within a group and vectors of equal length. A group of one block meets itself
+    where it is, without another shuffle; with ``flat`` (a row an item) many such groups are computed at once.
     """
+    kind = left.schema[group].dataType.simpleString()
+    names = [c.strip().split()[0] for c in out.split(",")]
+    run = lambda met: met.select(group, "same", "left_items", "right_items").mapInArrow(_run(kernel, group, names), f"{group} {kind}, {out}")
     left = left.filter(F.col(group).isNotNull())
     counts = block_counts(left, group, size)
     a = in_blocks(left, counts, group, id_col)
     if right is None:
-        b, others = a, counts
+        others, b = counts, a
     else:
         right = right.filter(F.col(group).isNotNull())
         others = block_counts(right, group, size)
         b = in_blocks(right, others, group, id_col)
-    pairs = counts.select(group, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i")).join(others.select(group, F.col("_blocks").alias("_m")), group)
-    pairs = pairs.select(group, "_i", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_j"))
+    many = F.lit(True) if right is not None else F.col("_blocks") > 1
+    to = lambda k: F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias(k)
+    lefts = a.filter(many).join(others.select(group, F.col("_blocks").alias("_m")), group).select(group, F.col("_block").alias("_i"), to("_j"), F.col("items").alias("left_items"))
+    rights = b.filter(many).join(counts.select(group, F.col("_blocks").alias("_m")), group).select(group, F.col("_block").alias("_j"), to("_i"), F.col("items").alias("right_items"))
     if half:
-        pairs = pairs.filter("_i <= _j")
-    met = pairs.join(a.select(group, F.col("_block").alias("_i"), F.col("items").alias("left_items")), [group, "_i"])
-    met = met.join(b.select(group, F.col("_block").alias("_j"), F.col("items").alias("right_items")), [group, "_j"])
-    met = met.select(group, ((F.col("_i") == F.col("_j")) & F.lit(right is None)).alias("same"), "left_items", "right_items")
-    kind = left.schema[group].dataType.simpleString()
-    names = [c.strip().split()[0] for c in out.split(",")]
-    return met.mapInArrow(_run(kernel, group, names), f"{group} {kind}, {out}")
+        lefts, rights = lefts.filter("_i <= _j"), rights.filter("_i <= _j")
+    spread = lambda df: df.repartition(_tasks(left), group, "_i", "_j")
+    met = spread(lefts).join(spread(rights), [group, "_i", "_j"])
+    found = run(met.withColumn("same", (F.col("_i") == F.col("_j")) & F.lit(right is None)))
+    if right is None:
+        alone = a.filter(F.col("_blocks") == 1)
+        if flat:
+            found = found.unionByName(alone.select(group, F.col("items").alias("left_items")).mapInArrow(_run_flat(flat, group, names), f"{group} {kind}, {out}"))
+        else:
+            found = found.unionByName(run(alone.select(group, F.lit(True).alias("same"), F.col("items").alias("left_items"), F.col("items").alias("right_items"))))
+    return found
 
 
 def units(vectors: np.ndarray) -> np.ndarray:

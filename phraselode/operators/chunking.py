@@ -79,11 +79,18 @@ def _runs(tokens: Column, letters: Column, trailing_adjectives: bool) -> Column:
 
 
 def _runs_of(tokens: Column, letters: Column, trailing_adjectives: bool) -> Column:
-    at = lambda i: F.substring(letters, i, F.lit(1))
-    starts = F.filter(F.sequence(F.lit(1), F.length(letters)), lambda i: (at(i) != "-") & ((i == 1) | (at(i - 1) == "-")))
+    """Stretches of one kind in order; those of nouns and adjectives are matched, their starts are running sums of lengths."""
     pattern = r"^[NA]*N[NA]*" if trailing_adjectives else r"^[NA]*N"
-    found = F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.length(F.regexp_extract(F.substring(letters, i, F.length(letters)), pattern, 0)).alias("n")))
-    return F.transform(F.filter(found, lambda r: r["n"] > 0), lambda r: F.struct(r["start"], r["n"], F.slice(tokens, r["start"] + 1, r["n"]).alias("words")))
+    none = F.array().cast("array<struct<start: int, n: int>>")
+    start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+
+    def step(state: Column, run: Column) -> Column:
+        n = F.length(F.regexp_extract(run, pattern, 0))
+        out = F.when(n > 0, F.array_append(state["out"], F.struct(state["pos"].alias("start"), n.alias("n")))).otherwise(state["out"])
+        return F.struct((state["pos"] + F.length(run)).alias("pos"), out.alias("out"))
+
+    found = F.aggregate(F.regexp_extract_all(letters, F.lit("[NA]+|-+"), F.lit(0)), start, step, lambda s: s["out"])
+    return F.transform(found, lambda r: F.struct(r["start"], r["n"], F.slice(tokens, r["start"] + 1, r["n"]).alias("words")))
 
 
 def noun_phrases(sents: DataFrame, keys: Sequence[str] = ("topic", "doc")) -> DataFrame:
@@ -130,7 +137,8 @@ def occurrences(needle: Column, haystack: Column) -> Column:
     """All offsets (from 0) where the array ``needle`` lies in ``haystack``, overlaps included; empty for an empty needle."""
     last = F.size(haystack) - F.size(needle)
     offsets = F.when((last >= 0) & (F.size(needle) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(offsets, lambda i: F.slice(haystack, i + 1, F.size(needle)) == needle)
+    # Most offsets fail at their first element, which costs no slice.
+    return F.filter(offsets, lambda i: (F.get(haystack, i) == F.get(needle, F.lit(0))) & (F.slice(haystack, i + 1, F.size(needle)) == needle))
 
 
 def character_offsets(text: Column, phrase: Column) -> Column:

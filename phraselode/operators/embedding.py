@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +23,29 @@ def hash_embedder(dimensions: int = 64, n: int = 3) -> Embedder:
     """Signed counts of hashed character n-grams, of unit length."""
 
     def embed(texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimensions))
-        for i, text in enumerate(texts):
-            padded = f" {text.lower()} "
-            for k in range(max(1, len(padded) - n + 1)):
-                h = xxhash.xxh3_64_intdigest(padded[k : k + n].encode("utf-8", "replace"))
-                out[i, h % dimensions] += 1 if h >> 63 else -1
-        return units(out)
+        # All texts end to end, with spaces around each; n-grams that reach into the next text are left out.
+        padded = [f" {t.lower()} ".ljust(n) for t in texts]
+        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(p) for p in padded], np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        count = len(points) - n + 1
+        if count < 1:
+            return np.zeros((len(texts), dimensions))
+        h = np.zeros(count, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = (h ^ points[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        whole = owner[:count] == owner[n - 1 : n - 1 + count]
+        h, at = h[whole], owner[:count][whole]
+        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+        cells = at * dimensions + ((h >> np.uint64(7)) % np.uint64(dimensions)).astype(np.int64)
+        return units(np.bincount(cells, sign, minlength=len(texts) * dimensions).reshape(len(texts), dimensions))
 
     return embed
 
 
-def embed(text: Column, embedder: Embedder | None = None, batch: int = 32) -> Column:
+def embed(text: Column, embedder: Embedder | None = None, batch: int = 256) -> Column:
     """The vectors of a column of texts; null for null. Within a task texts go to the model by length, ``batch`` at a time."""
     model = embedder or hash_embedder()
 
@@ -53,11 +63,30 @@ def embed(text: Column, embedder: Embedder | None = None, batch: int = 32) -> Co
     return run(text)
 
 
+def embed_mean(forms: Column, embedder: Embedder | None = None) -> Column:
+    """The mean vector of an array of texts; null for a null array or one without texts. Each distinct text of a batch is embedded once."""
+    model = embedder or hash_embedder()
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            texts = [[] if x is None else [t for t in x if t is not None] for x in lists]
+            known = {t: k for k, t in enumerate(dict.fromkeys(t for x in texts for t in x))}
+            if not known:
+                yield pd.Series([None] * len(lists))
+                continue
+            names = sorted(known, key=len)
+            vectors = np.concatenate([model(names[k : k + 256]) for k in range(0, len(names), 256)])
+            place = {t: k for k, t in enumerate(names)}
+            yield pd.Series([vectors[[place[t] for t in x]].mean(axis=0) if x else None for x in texts])
+
+    return run(forms)
+
+
 def embed_mentions(candidates: DataFrame, keys: Sequence[str], embedder: Embedder | None = None) -> DataFrame:
-    """keys, candidate, vec: the mean vector of a candidate's surface forms. Each distinct form is embedded once."""
-    forms = candidates.select(*keys, "candidate", F.explode("mentions").alias("_form")).filter("_form IS NOT NULL")
-    known = forms.select("_form").distinct().withColumn("vec", embed(F.col("_form"), embedder))
-    return mean_vectors(forms.join(known, "_form"), [*keys, "candidate"])
+    """keys, candidate, vec: the mean vector of a candidate's distinct surface forms; candidates without one are left out."""
+    forms = candidates.groupBy(*keys, "candidate").agg(F.array_distinct(F.flatten(F.collect_set("mentions"))).alias("_forms"))
+    return forms.select(*keys, "candidate", embed_mean(F.col("_forms"), embedder).alias("vec")).filter("vec IS NOT NULL")
 
 
 def embed_in_context(spans: DataFrame, token_vectors: DataFrame, keys: Sequence[str], out_of_context: DataFrame, edges: bool = False) -> DataFrame:

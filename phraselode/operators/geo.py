@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesic import DECAYS, DISTANCES
 from ..functions.keys import finite, null_safe_key
+from ..session import durable
 from .blocks import pairwise
 
 
@@ -74,15 +75,30 @@ def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"),
     null or NaN are left out; points at one place are points of their own. A point without neighbours adds nothing.
     """
     rows = points.select(*keys, "lat", "lon", finite("x").alias("x")).filter("lat IS NOT NULL AND lon IS NOT NULL AND x IS NOT NULL")
-    items = rows.withColumn("_g", null_safe_key(*keys)).withColumn("id", F.xxhash64("lat", "lon", "x"))
+    # Counting the groups, blocking their points and naming the results all read the points: written once.
+    items = durable(rows.withColumn("_g", null_safe_key(*keys)).withColumn("id", F.xxhash64("lat", "lon", "x")))
     names = items.groupBy("_g").agg(*(F.first(k).alias(k) for k in keys))
 
     def sums(left: dict, right: dict, same: bool) -> dict:
+        # Distances are symmetric: a pair of blocks gives both blocks' sums.
         w = _weights(left, right, same, decay, a, distance, band, include_self)
-        x = right["x"]
-        return {"i": left["id"], "xi": left["x"], "w": w.sum(axis=1), "wx": w @ x, "wxx": w @ (x * x)}
-
-    by_point = pairwise(items.select("_g", "id", "lat", "lon", "x"), None, "_g", "id", sums, "i bigint, xi double, w double, wx double, wxx double")
+        x, z = right["x"], left["x"]
+        if same:
+            return {"i": left["id"], "xi": z, "w": w.sum(axis=1), "wx": w @ x, "wxx": w @ (x * x)}
+        both = np.concatenate
+        return {"i": both([left["id"], right["id"]]), "xi": both([z, x]), "w": both([w.sum(axis=1), w.sum(axis=0)]), "wx": both([w @ x, z @ w]), "wxx": both([w @ (x * x), (z * z) @ w])}
+
+    def flat(at: dict, i: np.ndarray, j: np.ndarray) -> dict:
+        d = DISTANCES[distance](at["lat"][i], at["lon"][i], at["lat"][j], at["lon"][j])
+        w = np.nan_to_num(DECAYS[decay](d, a))
+        if band is not None:
+            w = np.where(d <= band, w, 0.0)
+        if not include_self:
+            w = np.where(i == j, 0.0, w)
+        total = lambda v: np.bincount(i, v, minlength=len(at["x"]))
+        return {"i": at["id"], "xi": at["x"], "w": total(w), "wx": total(w * at["x"][j]), "wxx": total(w * at["x"][j] ** 2)}
+
+    by_point = pairwise(items.select("_g", "id", "lat", "lon", "x"), None, "_g", "id", sums, "i bigint, xi double, w double, wx double, wxx double", half=True, flat=flat)
     by_point = by_point.groupBy("_g", "i", "xi").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"))
     # Standardised rows: y = sum of w x / sum of w, and likewise for the squares.
     y, yy = F.try_divide("wx", "w"), F.try_divide("wxx", "w")
@@ -192,6 +208,7 @@ def hsic(rows: DataFrame, keys: Sequence[str], id_col: str, a: str, b: str) -> D
     products of row sums + the product of the totals / n squared. Rows with a null or NaN are left out.
     """
     items = rows.select(null_safe_key(*keys).alias("_g"), *keys, F.col(id_col).alias("id"), finite(a).alias("x"), finite(b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    items = durable(items)
     names = items.groupBy("_g").agg(*(F.first(k).alias(k) for k in keys))
     # Widths within 1e-4 in rank: percentile_approx merges sketches, however large the group.
     middle = items.groupBy("_g").agg(F.percentile_approx("x", 0.5, 10_000).alias("_mx"), F.percentile_approx("y", 0.5, 10_000).alias("_my"))

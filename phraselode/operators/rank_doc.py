@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import null_safe_key
 from ..functions.vectors import cosine
+from ..session import durable
 from .blocks import pairwise
 
 #: The factor of the position bias.
@@ -106,6 +107,13 @@ def _degrees(left: dict, right: dict, same: bool) -> dict:
     return {"id": left["id"], "degree": w.sum(axis=1), "neighbours": (w * right["prior"][None, :] / np.maximum(right["degree"], 1e-300)[None, :]).sum(axis=1) if "degree" in right else np.zeros(len(w))}
 
 
+def _flat_degrees(at: dict, i: np.ndarray, j: np.ndarray) -> dict:
+    w = np.where(at["cluster"][i] != at["cluster"][j], 1 / np.maximum(1, np.abs(at["position"][i] - at["position"][j])), 0.0)
+    total = lambda v: np.bincount(i, v, minlength=len(at["id"]))
+    passed = total(w * at["prior"][j] / np.maximum(at["degree"][j], 1e-300)) if "degree" in at else np.zeros(len(at["id"]))
+    return {"id": at["id"], "degree": total(w), "neighbours": passed}
+
+
 def graph_edges(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """_g, a, b, w for the pairs of positions of a document's different clusters, a before b by id.
 
@@ -126,13 +134,14 @@ def graph_scores(nodes: DataFrame, keys: Sequence[str], damping: float = 0.85, c
     items = nodes.select(*keys, g, "id", F.col("cluster").cast("bigint").alias("cluster"), F.col("position").cast("bigint").alias("position"), "similarity")
     total = items.groupBy("_g").agg(F.sum("similarity").alias("_total"))
     items = items.join(total, "_g").withColumn("prior", F.coalesce((1 - damping) * F.try_divide(F.col("similarity"), F.col("_total")), F.lit(0.0)))
+    items = durable(items)
     plain = items.select("_g", "id", "cluster", "position", "prior")
-    degree = pairwise(plain, None, "_g", "id", _degrees, "id bigint, degree double, neighbours double").groupBy("_g", "id").agg(F.sum("degree").alias("degree"))
+    degree = durable(pairwise(plain, None, "_g", "id", _degrees, "id bigint, degree double, neighbours double", flat=_flat_degrees).groupBy("_g", "id").agg(F.sum("degree").alias("degree")))
     known = plain.join(degree, ["_g", "id"])
     if compat:
         post = known.select("_g", "id", "degree", F.when(F.col("degree") > 0, F.col("prior")).otherwise(0.0).alias("_post"))
     else:
-        passed = pairwise(known, None, "_g", "id", _degrees, "id bigint, degree double, neighbours double").groupBy("_g", "id").agg(F.sum("neighbours").alias("_post"))
+        passed = pairwise(durable(known), None, "_g", "id", _degrees, "id bigint, degree double, neighbours double", flat=_flat_degrees).groupBy("_g", "id").agg(F.sum("neighbours").alias("_post"))
         post = degree.join(passed, ["_g", "id"])
     out = items.join(post, ["_g", "id"])
     return out.select(*keys, "id", "degree", "prior", (F.col("prior") + damping * F.col("_post")).alias("score"))

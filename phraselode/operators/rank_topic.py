@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import lookup, null_safe_key
+from ..session import durable
 from .blocks import pairwise, units
 from .rank_doc import POSITION_FACTOR
 from .ranking import count_above
@@ -32,7 +33,7 @@ def mean_of_top_half(scores: DataFrame) -> DataFrame:
     so no task holds all scores of a candidate.
     """
     rows = scores.filter(F.col("score").isNotNull()).withColumn("_g", null_safe_key("topic", "candidate"))
-    counts = rows.groupBy("_g", "score").agg(F.count(F.lit(1)).alias("_c"))
+    counts = durable(rows.groupBy("_g", "score").agg(F.count(F.lit(1)).alias("_c")))
     above = count_above(counts, "_g", "score", "_c")
     sizes = counts.groupBy("_g").agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
     placed = lookup(above, sizes.withColumn("_k2", F.col("_k")), ["_g"], "_k2")
@@ -125,7 +126,7 @@ def density_diversity(items: DataFrame, least: float = 0.22) -> DataFrame:
     Diversity is 1 less the greatest similarity to a denser item (at least 0), or 1 less the smallest similarity where
     none is denser; 0 becomes 1e-10. The score is ln density + ln diversity, null where the density is 0.
     """
-    rep = pairwise(items, None, "topic", "id", _representative(least), "id bigint, above bigint, n bigint").groupBy("topic", "id").agg((F.sum("above") / F.sum("n")).alias("rep"))
+    rep = durable(pairwise(items, None, "topic", "id", _representative(least), "id bigint, above bigint, n bigint").groupBy("topic", "id").agg((F.sum("above") / F.sum("n")).alias("rep")))
     known = items.join(rep, ["topic", "id"])
     found = pairwise(known, None, "topic", "id", _diversity, "id bigint, most double, least double").groupBy("topic", "id").agg(F.max("most").alias("_most"), F.min("least").alias("_least"))
     div = F.when(F.col("_most") > float("-inf"), 1 - F.greatest(F.col("_most"), F.lit(0.0))).otherwise(1 - F.col("_least"))

@@ -171,6 +171,13 @@ _one("geo_geary", "geary_c")
 _one("geo_getis", "getisord_g")
 
 
+def geo_all_places(spark: SparkSession, folder: str) -> DataFrame:
+    """I, C and G of all places as one group, with distances on the ellipsoid: the matrix a single process can't hold."""
+    rows = places(spark, folder).join(table(spark, folder, "topic_doc_coordinates").select("loc_id", F.col("n").cast("double").alias("x")), "loc_id")
+    at = rows.filter("x IS NOT NULL").groupBy("lat", "lon").agg(F.avg("x").alias("x")).withColumn("all", F.lit("all"))
+    return geo.association(at, ["all"]).select("n_points", *(r6(c).alias(c) for c in ("moran_i", "geary_c", "getisord_g")))
+
+
 def geo_moran_permuted(spark: SparkSession, folder: str) -> DataFrame:
     """I of every topic's places with the share of 19 permutations that reach it."""
     rows = places(spark, folder).join(table(spark, folder, "topic_doc_coordinates").select("loc_id", F.col("n").cast("double").alias("x")), "loc_id")
@@ -221,7 +228,7 @@ def geo_hsic(spark: SparkSession, folder: str) -> DataFrame:
     return geo.hsic(rows, ["experiment", "topic"], "result_id", "semantic_score", "moran_i").select("experiment", "topic", "n", rounded("hsic", 7).alias("hsic"))
 
 
-for _f in (valid_points, geo_point_statistics, geo_distance_vincenty, geo_distance_haversine, geo_point_mean, geo_complete_cases, geo_indices_all, geo_indices_vincenty, geo_topic_association, geo_moran_permuted, geo_index_filter, geo_softmax, geo_hsic):
+for _f in (valid_points, geo_point_statistics, geo_distance_vincenty, geo_distance_haversine, geo_point_mean, geo_complete_cases, geo_indices_all, geo_indices_vincenty, geo_topic_association, geo_all_places, geo_moran_permuted, geo_index_filter, geo_softmax, geo_hsic):
     Q[_f.__name__] = _f
 
 QUERIES, ORACLES = Q, O

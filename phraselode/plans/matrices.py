@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
 from ..operators import embedding, rank_doc, rank_matrix
+from ..session import spread
 from .tables import r6, table, vectors
 
 
@@ -60,7 +61,7 @@ def whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def embedrank_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates by the cosine of their mentions' mean vector with their document's."""
-    docs = table(spark, folder, "documents").filter("text IS NOT NULL").select("topic", "doc", embedding.embed(F.col("text")).alias("vec"))
+    docs = spread(table(spark, folder, "documents").select("topic", "doc", "text").filter("text IS NOT NULL")).select("topic", "doc", embedding.embed(F.col("text")).alias("vec"))
     rows = table(spark, folder, "candidates").filter("candidate IS NOT NULL").select("topic", "doc", "candidate", "mentions")
     ranked = rank_doc.embed_rank(embedding.embed_mentions(rows, ["topic", "doc"]), docs, ["topic", "doc"], ["candidate"], 15)
     return ranked.select("topic", "doc", "candidate", r6("score").alias("score"), "rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stem, text
 from ..operators import chunking, masking
+from ..session import spread
 from .tables import gold, table
 
 Q: dict = {}
@@ -90,7 +91,7 @@ i AS (SELECT *, max(CASE WHEN tag <> 'ADJ' THEN pos END) OVER (PARTITION BY {par
 
 
 def _tagged(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.tagged(chunking.sentences(table(spark, folder, "documents")))
+    return chunking.tagged(chunking.sentences(spread(table(spark, folder, "documents").select("topic", "doc", "text"))))
 
 
 def token_tags(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,3 +46,9 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later readers neither recompute it nor lose it."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than these, such as a single small file; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
