@@ -98,7 +98,7 @@ def clean_document(text: Column) -> Column:
     text = F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(kept), F.lit("\n"))
     text = F.regexp_replace(text, r"([ \t\r\n])[ \t\r\n]+", "$1")
     text = F.regexp_replace(text, r"[<>\[\]{}\t]", " ")
-    return F.trim(F.replace(F.replace(text, F.lit(" /p \n"), F.lit("\n")), F.lit(" p "), F.lit("\n")))
+    return F.trim(F.replace(F.replace(text, F.lit(" /p \n"), F.lit("\n")), F.lit(" p "), F.lit("\n")), F.lit(" \n"))
 
 
 def clean_phrase(phrase: Column) -> Column:

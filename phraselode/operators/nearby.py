@@ -34,7 +34,7 @@ def possible_points(places: DataFrame, id_col: str, x: str = "x", y: str = "y",
     The point is taken from x (longitude) and y (latitude), else from the array lat_long, else from the text
     geometry (WKT with or without SRID, in any letter case and spacing, or GeoJSON, longitude first). Null, NaN and
     half points are incomplete. Longitudes are brought into [-180, 180); a latitude beyond 90 or a longitude beyond
-    360 is impossible. Null ids stay.
+    540 is impossible. Null ids stay.
     """
 
     def pair(lat: Column, lon: Column) -> Column:
@@ -47,7 +47,7 @@ def possible_points(places: DataFrame, id_col: str, x: str = "x", y: str = "y",
         F.when(F.size(lat_long) == 2, pair(F.element_at(F.col(lat_long), 1).cast("double"), F.element_at(F.col(lat_long), 2).cast("double"))),
         pair(number(2), number(1)),
     )
-    found = places.select(id_col, *keep, point.alias("_p")).select(id_col, *keep, "_p.lat", "_p.lon").filter("abs(lat) <= 90 AND abs(lon) <= 360")
+    found = places.select(id_col, *keep, point.alias("_p")).select(id_col, *keep, "_p.lat", "_p.lon").filter("abs(lat) <= 90 AND abs(lon) <= 540")
     return found.withColumn("lon", F.expr("CASE WHEN lon >= 180 THEN lon - 360 WHEN lon < -180 THEN lon + 360 ELSE lon END"))
 
 

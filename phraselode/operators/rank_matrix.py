@@ -362,8 +362,8 @@ def cluster_medoids(items: DataFrame, least: float = 0.3, min_samples: int = 2,
     """topic, id, cluster, n: of each density cluster the item nearest to its centre, clusters in order of their ids' mean.
 
     With ``components`` the clusters are sought among that many principal components. A topic's clusters are sought
-    among the ``most`` items nearest to its mean; every other item then joins the cluster of the nearest medoid and is
-    counted in ``n``, so no item is lost and no task holds more than ``most`` of a topic.
+    among the ``most`` items nearest to its mean, in which noise belongs to no cluster; every other item then joins the
+    cluster of the nearest medoid and is counted in ``n``, so no task holds more than ``most`` of a topic.
     """
     near = top(_with_relevance(items), ["topic"], "relevance", ["id"], most).select("topic", "id", "vec")
 

@@ -26,7 +26,7 @@ _XY = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
 _LL = "len(lat_long) = 2 AND lat_long[1] IS NOT NULL AND lat_long[2] IS NOT NULL AND NOT isnan(lat_long[1]) AND NOT isnan(lat_long[2])"
 _GEO = lambda k: f"TRY_CAST(regexp_extract(lower(geometry), '{_POINT}', {k}) AS DOUBLE)"
 PLACES = f"""raw_ AS (SELECT loc_id, topic_id AS topic, doc, CASE WHEN {_XY} THEN y WHEN {_LL} THEN lat_long[1] ELSE {_GEO(2)} END AS lat, CASE WHEN {_XY} THEN x WHEN {_LL} THEN lat_long[2] ELSE {_GEO(1)} END AS lon0 FROM topic_doc_coordinates),
-places_ AS (SELECT loc_id, topic, doc, lat, CASE WHEN lon0 >= 180 THEN lon0 - 360 WHEN lon0 < -180 THEN lon0 + 360 ELSE lon0 END AS lon FROM raw_ WHERE abs(lat) <= 90 AND abs(lon0) <= 360)"""
+places_ AS (SELECT loc_id, topic, doc, lat, CASE WHEN lon0 >= 180 THEN lon0 - 360 WHEN lon0 < -180 THEN lon0 + 360 ELSE lon0 END AS lon FROM raw_ WHERE abs(lat) <= 90 AND abs(lon0) <= 540)"""
 
 
 def km(a: str, b: str) -> str:

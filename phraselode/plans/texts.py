@@ -44,7 +44,7 @@ _docs("stopword_filter", text.remove_stop_words, f"array_to_string(list_filter({
 _docs("content_words", lambda t: F.array_join(text.content_words(t), " "), f"array_to_string(list_filter({_words('lower(text)')}, lambda w: NOT list_contains({_STOP}, w)), ' ')")
 _docs("unescape_brackets", lambda t: text.unescape_brackets(F.replace(t, F.lit("("), F.lit("-LRB-"))), "replace(text, '(', '(')")
 _docs("doc_truncate_words", lambda t: text.truncate_words(t, 50), f"array_to_string({_words('text')}[1:50], ' ')")
-_docs("clean_document", text.clean_document, "trim(replace(replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, '[ \\t\\r\\n,]+\\n', chr(10), 'g'), '(^|[^a-zA-Z0-9, \\t\\r\\n])\\n', '\\1' || chr(1), 'g'), chr(10), ' '), chr(1), chr(10)), '([ \\t\\r\\n])[ \\t\\r\\n]+', '\\1', 'g'), '[<>\\[\\]{}\\t]', ' ', 'g'), ' /p ' || chr(10), chr(10)), ' p ', chr(10)), ' ')")
+_docs("clean_document", text.clean_document, "trim(replace(replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, '[ \\t\\r\\n,]+\\n', chr(10), 'g'), '(^|[^a-zA-Z0-9, \\t\\r\\n])\\n', '\\1' || chr(1), 'g'), chr(10), ' '), chr(1), chr(10)), '([ \\t\\r\\n])[ \\t\\r\\n]+', '\\1', 'g'), '[<>\\[\\]{}\\t]', ' ', 'g'), ' /p ' || chr(10), chr(10)), ' p ', chr(10)), ' ' || chr(10))")
 _docs("model_text", text.normalize_for_model, f"trim(regexp_replace(regexp_replace(text, '{_sql(text.PUNCTUATION)}', ' ', 'g'), '{_SPACE}{{2,}}', ' ', 'g'), ' ')")
 
 

@@ -45,7 +45,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that later readers neither recompute it nor lose it."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the estimated size of the plan it replaces, and a join's estimate is the product of its
+    # sides': over the rounds of an iteration the number itself would fill the driver. Absurd ones are forgotten.
+    if done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() > 96:
+        spark = df.sparkSession
+        rows = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+        return DataFrame(rows, spark)
+    return done
 
 
 def spread(df: DataFrame) -> DataFrame:

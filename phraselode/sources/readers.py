@@ -49,7 +49,7 @@ def _gold(rows: DataFrame, phrases: Column) -> DataFrame:
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """doc (the name without its ending), text of whole files."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("doc"), F.col("value").alias("text"))
 
 
@@ -59,7 +59,7 @@ def topic_json(spark: SparkSession, path: str, most_variants: int | None = None)
     ``most_variants`` keeps so many variants of a topic, counted through its clusters.
     """
     schema = "map<string, struct<documents: map<string, string>, keyphrases: array<array<string>>>>"
-    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", schema)).alias("topic", "t"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("topic", "t"))
     docs = whole.select("topic", F.explode("t.documents").alias("doc", "text"))
     gold = whole.select("topic", F.posexplode("t.keyphrases").alias("cluster", "v")).select("topic", F.lit(None).cast("string").alias("doc"), "cluster", F.posexplode("v").alias("variant_pos", "phrase"))
     if most_variants is not None:
@@ -98,7 +98,7 @@ def xml_words(spark: SparkSession, path: str, references: str, lang: str | None
 
 def references_json(spark: SparkSession, path: str) -> DataFrame:
     """Gold from {doc: [[variant, ...], ...]}: the first variant of each cluster, trailing white space off."""
-    refs = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string, array<array<string>>>")).alias("doc", "clusters"))
+    refs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<array<string>>>")).alias("doc", "clusters"))
     return _gold(refs, F.transform("clusters", lambda c: F.rtrim(F.get(c, F.lit(0)))))
 
 
@@ -174,15 +174,15 @@ def load(spark: SparkSession, kind: str, *paths: str, stem: str | None = None, *
 
 def geoparse_json(spark: SparkSession, path: str) -> DataFrame:
     """topic, doc, lat, lon: the distinct points of {topic: {doc: "[{'geo': {'lat': ..., 'lon': ...}, ...}, ...]"}}."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("topic", "d"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("topic", "d"))
     return entries_to_points(rows.select("topic", F.explode("d").alias("doc", "entries")))
 
 
 def entries_to_points(rows: DataFrame) -> DataFrame:
     """topic, doc, lat, lon from texts of entries with single quotes; entries without a point are left out."""
     quoted = F.regexp_replace("entries", r"(?<!\\)'", '"')
-    parsed = F.from_json(F.regexp_replace(quoted, r"\bNone\b", "null"), "array<struct<geo: struct<lat: double, lon: double>>>")
-    return rows.select("topic", "doc", F.explode(parsed).alias("e")).select("topic", "doc", "e.geo.lat", "e.geo.lon").dropna(subset=["lat", "lon"]).distinct()
+    parsed = F.from_json(F.regexp_replace(quoted, r"\bNone\b", "null"), "array<struct<geo: struct<lat: string, lon: string>>>")
+    return rows.select("topic", "doc", F.explode(parsed).alias("e")).select("topic", "doc", F.col("e.geo.lat").try_cast("double").alias("lat"), F.col("e.geo.lon").try_cast("double").alias("lon")).dropna(subset=["lat", "lon"]).distinct()
 
 
 def gazetteer(docs: DataFrame, names: DataFrame, most_words: int = 3) -> DataFrame:
