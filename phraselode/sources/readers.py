@@ -186,12 +186,17 @@ def entries_to_points(rows: DataFrame) -> DataFrame:
 
 
 def gazetteer(docs: DataFrame, names: DataFrame, most_words: int = 3) -> DataFrame:
-    """topic, doc, name, lat, lon: capitalised runs of words that a table of names (name, lat, lon) has.
+    """topic, doc, name, lat, lon: stretches of up to ``most_words`` capitalised words that a table of names (name, lat, lon) has.
 
     The table is joined on the name in lower case, whatever its size.
     """
-    run = r"\p{Lu}[\p{L}\p{M}'-]*(?: \p{Lu}[\p{L}\p{M}'-]*)" + f"{{0,{most_words - 1}}}"
-    found = docs.select("topic", "doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(run), F.lit(0)))).alias("name"))
+    runs = F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}\p{M}'-]*(?: \p{Lu}[\p{L}\p{M}'-]*)*"), F.lit(0))
+
+    def stretches(run):
+        parts = F.split(run, " ")
+        return F.flatten(F.transform(parts, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(parts) - i)), lambda n: F.array_join(F.slice(parts, i + 1, n), " "))))
+
+    found = docs.select("topic", "doc", F.explode(F.array_distinct(F.flatten(F.transform(runs, stretches)))).alias("name"))
     table = names.groupBy(F.lower("name").alias("_key")).agg(F.min_by("lat", F.struct("lat", "lon")).alias("lat"), F.min_by("lon", F.struct("lat", "lon")).alias("lon"))
     return found.withColumn("_key", F.lower("name")).join(table, "_key").select("topic", "doc", "name", "lat", "lon")
 
