@@ -60,7 +60,6 @@ def _emit(per_text: bool):
             for batch in slices(whole, "text"):
                 langs = batch.column(0).to_pylist()
                 texts = strings(batch.column(1))
-                keys = batch.column(2).to_pylist()
                 if per_text:
                     hashes, owners, counts = [], [], []
                     for i, text in enumerate(texts):
@@ -68,7 +67,7 @@ def _emit(per_text: bool):
                         h, n = np.unique(_mix(_mix(a, b), c), return_counts=True)
                         hashes.append(h), counts.append(n), owners.append(np.full(len(h), i))
                     at = pa.array(np.concatenate(owners))
-                    cols = [pa.array(keys, pa.string()).take(at), pa.array(langs, pa.string()).take(at), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))]
+                    cols = [batch.column(2).take(at), pa.array(langs, pa.string()).take(at), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(cols, ["key", "lang", "h", "n"])
                     continue
                 for lang in set(langs):
@@ -106,7 +105,7 @@ def _context(counts: DataFrame, keys: list[str], n: str, suffix: str) -> DataFra
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """lang, h, log_p, sorted by h: the log probability of every trigram of ``texts`` (lang, text, key)."""
+    """lang, h, n, log_p, sorted by h: occurrences and log probability of every trigram of ``texts`` (lang, text, key)."""
     tri = texts.mapInArrow(_emit(False), "lang string, a bigint, b bigint, c bigint, h bigint, n bigint").groupBy("lang", "a", "b", "c", "h").agg(F.sum("n").alias("n"))
     tri = durable(tri)
     bi = durable(tri.groupBy("lang", "b", "c").agg(F.count(F.lit(1)).alias("n")))
@@ -117,9 +116,9 @@ def train(texts: DataFrame) -> DataFrame:
     p1 = uni.join(F.broadcast(total), "lang").select("lang", "c", ((F.col("n") - _discount("n") + F.col("_left") / F.col("_words")) / F.col("_sum")).alias("p1"), F.col("n").alias("_k"))
     p2 = lookup(bi, _context(bi, ["lang", "b"], "n", ""), ["lang", "b"], "_entries").select("lang", "b", "c", ((F.col("n") - _discount("n")) / F.col("_sum")).alias("_own"), (F.col("_left") / F.col("_sum")).alias("_back"), F.col("n").alias("_k2"))
     p2 = lookup(p2, p1, ["lang", "c"], "_k").select("lang", "b", "c", (F.col("_own") + F.col("_back") * F.col("p1")).alias("p2"), F.col("_k2").alias("_k"))
-    p3 = lookup(tri, _context(tri, ["lang", "a", "b"], "n", ""), ["lang", "a", "b"], "_entries").select("lang", "b", "c", "h", ((F.col("n") - _discount("n")) / F.col("_sum")).alias("_own"), (F.col("_left") / F.col("_sum")).alias("_back"))
-    p3 = lookup(p3, p2, ["lang", "b", "c"], "_k").select("lang", "h", F.log(F.col("_own") + F.col("_back") * F.col("p2")).alias("log_p"))
-    return p3.repartitionByRange("lang", "h").sortWithinPartitions("lang", "h")
+    p3 = lookup(tri, _context(tri, ["lang", "a", "b"], "n", ""), ["lang", "a", "b"], "_entries").select("lang", "b", "c", "h", "n", ((F.col("n") - _discount("n")) / F.col("_sum")).alias("_own"), (F.col("_left") / F.col("_sum")).alias("_back"))
+    p3 = lookup(p3, p2, ["lang", "b", "c"], "_k").select("lang", "h", "n", F.log(F.col("_own") + F.col("_back") * F.col("p2")).alias("log_p"))
+    return durable(p3.repartitionByRange("lang", "h").sortWithinPartitions("lang", "h"))
 
 
 def language(lang: Column) -> Column:
@@ -135,14 +134,12 @@ def document_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``kept``. Null and wordless texts have 0 words, a null perplexity and the band ``none``. Equal texts in one
     language have equal results. Null and repeated ids stay as they are.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.sha2("text", 256))
+    rows = docs.select(F.col(id_col).alias("_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     texts = rows.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).select("lang", "text", "key")
     model = train(texts)
-    asked = texts.dropDuplicates(["lang", "key"]).mapInArrow(_emit(True), "key string, lang string, h bigint, n bigint")
-    # A trigram's entry says nothing about how many texts ask for it, so that is counted first.
-    asked_by = asked.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("_texts"))
-    entries = model.join(asked_by, ["lang", "h"])
-    judged = lookup(asked, entries, ["lang", "h"], "_texts").groupBy("lang", "key").agg(F.sum("n").alias("_tokens"), F.sum(F.col("n") * F.col("log_p")).alias("_sum"))
+    asked = texts.dropDuplicates(["lang", "key"]).mapInArrow(_emit(True), "key binary, lang string, h bigint, n bigint")
+    # No more texts ask for a trigram than it has occurrences.
+    judged = lookup(asked, model.withColumnRenamed("n", "_most"), ["lang", "h"], "_most").groupBy("lang", "key").agg(F.sum("n").alias("_tokens"), F.sum(F.col("n") * F.col("log_p")).alias("_sum"))
     judged = durable(judged.select("lang", "key", (F.col("_tokens") - 1).alias("n_words"), (-F.col("_sum") / F.col("_tokens")).alias("_log")))
     # What judged holds is one row a text; the quantiles are one row a language.
     bands = judged.groupBy("lang").agg(F.percentile_approx("_log", F.array(F.lit(low), F.lit(high)), 10_000).alias("_q"))
