@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The two classes of punctuation that become spaces.
 PUNCTUATION = r"""[.,;:"'!?`´()$£€\-^|=/<>]"""
-SPECIAL = r"""[.,;:"'!?`´()$£€\-^|=/<>_~\[\]{}*#@%&+\\]"""
+SPECIAL = r"""["'`´()$£€\-_^|=/<>~]"""
 # Bracket tokens of treebanks.
 BRACKETS = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}"}
 #: White space as Unicode has it; ``\s`` of Java and RE2 is ASCII.

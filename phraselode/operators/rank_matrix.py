@@ -1,12 +1,12 @@
 """Rankings of a topic's vectors that need its similarity matrix.
 
-A topic of up to ``local`` items is one task's matrix. Larger topics never come into one task: products with the
-matrix are summed from blocks, and greedy choices take one pass over the items for each choice.
+A topic of up to ``local`` items is one task's matrix. Larger topics never come into one task: products with a matrix
+are summed from blocks or from sums over vectors, and greedy choices take one pass over the items for each choice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import lookup
-from ..functions.vectors import cosine, mean_vectors
+from ..functions.vectors import cosine, mean_vectors, unit
 from ..session import durable
 from .blocks import pairwise, units
 from .rank_doc import top
@@ -156,124 +156,190 @@ def _adjacent(left: dict, right: dict, same: bool, least: float) -> np.ndarray:
     return np.where(sim >= least, sim, 0.0)
 
 
-def _product(least: float, transposed: bool):
+def _product(least: float):
     def kernel(left: dict, right: dict, same: bool) -> dict:
-        a = _adjacent(left, right, same, least)
-        x = right["x"] if not transposed else np.divide(right["x"], right["out"], out=np.zeros(len(right["x"])), where=right["out"] > 0)
-        return {"id": left["id"], "y": a @ x}
+        return {"id": left["id"], "y": _adjacent(left, right, same, least) @ right["x"]}
 
     return kernel
 
 
-def centrality(items: DataFrame, how: str = "pagerank", least: float = 0.3, damping: float = 0.85, decay: float = 0.9, powers: int = 5, local: int = LOCAL) -> DataFrame:
-    """topic, id, score: a fixed point over the similarities of at least ``least``, summing to 1 in each topic.
+def fixed_point(times: Callable[[np.ndarray], np.ndarray], n: int, steps: int) -> np.ndarray:
+    """Repeats ``times`` from uniform values, their sum kept at 1, until the change is at most EPSILON or for so many steps.
 
-    ``pagerank`` walks in proportion to similarity; ``affinity`` walks over the sum of decayed powers of the matrix,
-    each row over its sum; ``eigen`` takes the first eigenvector. All begin uniformly and end when the change is at
-    most EPSILON or after STEPS steps. A topic without any similarity keeps uniform scores.
+    Where the product is 0 everywhere, the values stay as they are.
     """
-    small, large = split_by_size(items.select("topic", "id", "vec"), local)
-
-    def fixed_point(ids: np.ndarray, vectors: np.ndarray, rows: pd.DataFrame) -> dict:
-        a = _adjacent(block := {"vec": vectors}, block, True, least)
-        if how == "affinity":
-            step, total = a.copy(), a.copy()
-            for t in range(1, powers):
-                step = step @ a
-                total = total + decay**t * step
-            a = total
-        x = np.full(len(ids), 1 / len(ids))
-        out = a.sum(axis=1)
-        for _ in range(STEPS):
-            if how == "eigen":
-                y = a @ x + x
-            else:
-                y = a.T @ np.divide(x, out, out=np.zeros_like(x), where=out > 0) * damping + (1 - damping) / len(x)
-            y = y / y.sum()
-            moved, x = np.abs(y - x).sum(), y
-            if moved <= EPSILON:
-                break
-        return {"id": ids, "score": x}
-
-    found = _per_topic(small, fixed_point, "id bigint, score double")
-    large = durable(large)
-    return found if large.isEmpty() else found.unionByName(_large_centrality(large, how, least, damping, decay, powers))
-
-
-def _large_centrality(items: DataFrame, how: str, least: float, damping: float, decay: float, powers: int) -> DataFrame:
-    """The same for topics that are too large for a matrix: each product is a sum over blocks."""
-
-    def times(state: DataFrame, transposed: bool) -> DataFrame:
-        return pairwise(state, None, "topic", "id", _product(least, transposed), "id bigint, y double").groupBy("topic", "id").agg(F.sum("y").alias("y"))
+    x = np.full(n, 1 / n)
+    for _ in range(steps):
+        y = times(x)
+        if not y.sum():
+            break
+        y = y / y.sum()
+        moved, x = np.abs(y - x).sum(), y
+        if moved <= EPSILON:
+            break
+    return x
 
-    def affine(x: DataFrame) -> DataFrame:
-        """x times the sum of decayed powers, without the powers: a product for each term."""
-        term, total = x, None
-        for t in range(powers):
-            y = durable(times(items.join(term, ["topic", "id"]), False)).withColumnRenamed("y", "x")
-            part = y.select("topic", "id", (F.col("x") * decay**t).alias("x"))
-            total = part if total is None else total.unionByName(part)
-            term = y
-        return durable(total.groupBy("topic", "id").agg(F.sum("x").alias("x")))
 
+def _iterate(items: DataFrame, times: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
+    """The same for topics too large for a task: ``times`` takes topic, id, x and gives topic, id, y."""
     sizes = items.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
-    start = items.join(F.broadcast(sizes), "topic").select("topic", "id", (1 / F.col("_n")).alias("x"))
-    ones = items.select("topic", "id", F.lit(1.0).alias("x"))
-    out = affine(ones) if how == "affinity" else durable(times(items.join(ones, ["topic", "id"]), False)).withColumnRenamed("y", "x")
-    out = out.withColumnRenamed("x", "out")
-    x = durable(start)
-    for _ in range(STEPS):
-        if how == "eigen":
-            y = times(items.join(x, ["topic", "id"]), False).join(x, ["topic", "id"]).select("topic", "id", (F.col("y") + F.col("x")).alias("y"))
-        else:
-            if how == "pagerank":
-                y = times(items.join(x, ["topic", "id"]).join(out, ["topic", "id"]), True)
-            else:
-                shared = x.join(out, ["topic", "id"]).select("topic", "id", F.when(F.col("out") > 0, F.col("x") / F.col("out")).otherwise(0.0).alias("x"))
-                y = affine(shared).withColumnRenamed("x", "y")
-            y = y.join(F.broadcast(sizes), "topic").select("topic", "id", (F.col("y") * damping + (1 - damping) / F.col("_n")).alias("y"))
-        total = y.groupBy("topic").agg(F.sum("y").alias("_sum"))
-        new = durable(y.join(F.broadcast(total), "topic").select("topic", "id", (F.col("y") / F.col("_sum")).alias("x")))
+    x = durable(items.join(F.broadcast(sizes), "topic").select("topic", "id", (1 / F.col("_n")).alias("x")))
+    for _ in range(steps):
+        y = durable(times(x))
+        totals = y.groupBy("topic").agg(F.sum("y").alias("_sum")).filter("_sum <> 0")
+        new = durable(y.join(F.broadcast(totals), "topic").select("topic", "id", (F.col("y") / F.col("_sum")).alias("x")))
         moved = new.join(x.withColumnRenamed("x", "_x"), ["topic", "id"]).groupBy("topic").agg(F.sum(F.abs(F.col("x") - F.col("_x"))).alias("d")).agg(F.max("d")).first()[0]
         x = new
-        if moved <= EPSILON:
+        if moved is None or moved <= EPSILON:
             break
     return x.withColumnRenamed("x", "score")
 
 
-def co_ranking(items: DataFrame, incidence: DataFrame, least: float = 0.3, share: float = 0.4, local: int = LOCAL) -> DataFrame:
-    """topic, id, score: a fixed point of similarity (weight 1 - share) and of common documents (weight ``share``).
+def _by_size(items: DataFrame, local: int, small: Callable[[np.ndarray, pd.DataFrame], np.ndarray], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    few, many = split_by_size(items, local)
+    found = _per_topic(few, lambda ids, vectors, rows: {"id": ids, "score": small(vectors, rows)}, "id bigint, score double")
+    many = durable(many)
+    return found if many.isEmpty() else found.unionByName(large(many))
 
-    ``incidence`` has topic, id and docs, the sorted array of the documents that list the item. Both matrices have
-    empty diagonals; common documents count 1 / (number of the item's documents) on either side. Topics above
-    ``local`` items take the similarities alone, block by block.
+
+def eigen_centrality(items: DataFrame, least: float = 0.3, local: int = LOCAL, steps: int = STEPS) -> DataFrame:
+    """topic, id, score: the first eigenvector of the similarities of at least ``least``, with the identity added."""
+
+    def small(vectors: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+        a = _adjacent(block := {"vec": vectors}, block, True, least)
+        return fixed_point(lambda x: a @ x + x, len(a), steps)
+
+    def large(many: DataFrame) -> DataFrame:
+        def times(x: DataFrame) -> DataFrame:
+            y = pairwise(many.join(x, ["topic", "id"]), None, "topic", "id", _product(least), "id bigint, y double").groupBy("topic", "id").agg(F.sum("y").alias("_y"))
+            return y.join(x, ["topic", "id"]).select("topic", "id", (F.col("_y") + F.col("x")).alias("y"))
+
+        return _iterate(many, times, steps)
+
+    return _by_size(items.select("topic", "id", "vec"), local, small, large)
+
+
+def co_ranking(items: DataFrame, incidence: DataFrame, least: float = 0.3, weight: float = 0.6, local: int = LOCAL, steps: int = STEPS) -> DataFrame:
+    """topic, id, score: a fixed point of ``weight`` A + (1 - ``weight``) B B'.
+
+    A has the similarities of at least ``least``, its diagonal empty. B is the incidence of items and documents, each
+    row of unit length. ``incidence`` has topic, id and docs, the distinct documents that list the item. Topics above
+    ``local`` items take products with A from blocks, and those with B document by document.
     """
-    small, large = split_by_size(items.join(incidence, ["topic", "id"]), local)
 
-    def fixed_point(ids: np.ndarray, vectors: np.ndarray, rows: pd.DataFrame) -> dict:
-        a = (1 - share) * _adjacent(block := {"vec": vectors}, block, True, least)
+    def small(vectors: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+        a = _adjacent(block := {"vec": vectors}, block, True, least)
         names = {d: k for k, d in enumerate(sorted({d for r in rows["docs"] for d in r}))}
-        b = np.zeros((len(ids), len(names)))
+        b = np.zeros((len(rows), len(names)))
         for i, r in enumerate(rows["docs"]):
             for d in r:
-                b[i, names[d]] = 1 / len(r)
-        common = b @ b.T
-        np.fill_diagonal(common, 0.0)
-        a = a + share * common
-        x = np.full(len(ids), 1 / len(ids))
-        for _ in range(STEPS):
-            y = a @ x
-            if not y.sum():
-                break
-            y = y / y.sum()
-            moved, x = np.abs(y - x).sum(), y
-            if moved <= EPSILON:
-                break
-        return {"id": ids, "score": x}
-
-    found = _per_topic(small, fixed_point, "id bigint, score double")
-    large = durable(large.select("topic", "id", "vec"))
-    return found if large.isEmpty() else found.unionByName(_large_centrality(large, "eigen", least, 0.85, 0.9, 5))
+                b[i, names[d]] = 1 / np.sqrt(len(r))
+        return fixed_point(lambda x: weight * (a @ x) + (1 - weight) * (b @ (b.T @ x)), len(a), steps)
+
+    def large(many: DataFrame) -> DataFrame:
+        cells = durable(many.select("topic", "id", F.explode("docs").alias("doc"), (1 / F.sqrt(F.size("docs"))).alias("b")))
+        vectors = many.select("topic", "id", "vec")
+
+        def times(x: DataFrame) -> DataFrame:
+            near = pairwise(vectors.join(x, ["topic", "id"]), None, "topic", "id", _product(least), "id bigint, y double").select("topic", "id", (weight * F.col("y")).alias("y"))
+            by_doc = cells.join(x, ["topic", "id"]).groupBy("topic", "doc").agg(F.sum(F.col("b") * F.col("x")).alias("_s"))
+            common = cells.join(by_doc, ["topic", "doc"]).select("topic", "id", ((1 - weight) * F.col("b") * F.col("_s")).alias("y"))
+            return near.unionByName(common).groupBy("topic", "id").agg(F.sum("y").alias("y"))
+
+        return _iterate(vectors, times, steps)
+
+    return _by_size(items.select("topic", "id", "vec").join(incidence, ["topic", "id"]), local, small, large)
+
+
+def power_sum(gram: np.ndarray, decay: float, powers: int) -> tuple[np.ndarray, float]:
+    """q, c with sum of decay^(t - 1) M^t = U q U' + c I, for t up to ``powers`` and M = U U' - I, from U' U alone.
+
+    The similarities of unit vectors are such an M, so their powers need no matrix of items: if M^t = U p U' + s I,
+    then M^(t + 1) = U (p G - p + s I) U' - s I, where G is the Gram matrix U' U.
+    """
+    eye = np.eye(len(gram))
+    p, s = eye.copy(), -1.0
+    q, c = p.copy(), s
+    for t in range(1, powers):
+        p, s = p @ gram - p + s * eye, -s
+        q, c = q + decay**t * p, c + decay**t * s
+    return q, c
+
+
+def affinity_ranking(items: DataFrame, damping: float = 0.85, decay: float = 0.9, powers: int = 5, local: int = LOCAL, steps: int = STEPS) -> DataFrame:
+    """topic, id, score: a fixed point of ``damping`` M + (1 - ``damping``) M M'.
+
+    M is the sum of decay^(t - 1) times the t-th power of the similarities (their diagonal empty), its rows of unit
+    length. It is never made: see :func:`power_sum`. Vectors without length are left out.
+    """
+    known = items.select("topic", "id", unit(F.col("vec")).alias("vec")).filter("vec IS NOT NULL")
+
+    def small(vectors: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+        q, c = power_sum(vectors.T @ vectors, decay, powers)
+        scale = _row_scale(vectors, q, c, vectors.T @ vectors)
+        times = lambda x: vectors @ (q @ (vectors.T @ x)) + c * x
+        m = lambda x: scale * times(x)
+        return fixed_point(lambda x: damping * m(x) + (1 - damping) * m(times(scale * x)), len(vectors), steps)
+
+    def large(many: DataFrame) -> DataFrame:
+        kind = many.schema["topic"].dataType.simpleString()
+        maps = _sums(many.withColumn("x", F.lit(1.0)), kind, lambda v, x: (v.T @ v).ravel())
+
+        def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for v, g in zip(b["vec"], b["_s"]):
+                    gram = g.reshape(len(v), -1)
+                    q, c = power_sum(gram, decay, powers)
+                    out.append((float(_row_scale(v[None], q, c, gram)[0]), q.ravel(), c))
+                yield pd.DataFrame({"topic": b["topic"], "id": b["id"], "vec": b["vec"], "scale": [o[0] for o in out], "q": [o[1] for o in out], "c": [o[2] for o in out]})
+
+        # One Gram matrix a large topic.
+        state = durable(many.join(F.broadcast(maps), "topic").mapInPandas(scaled, f"topic {kind}, id bigint, vec array<double>, scale double, q array<double>, c double"))
+
+        def times(x: DataFrame) -> DataFrame:
+            """topic, id, y = (U q U' + c I) x."""
+            both = state.join(x, ["topic", "id"])
+            s = _sums(both.select("topic", "vec", "x"), kind, lambda v, w: v.T @ w)
+
+            def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    y = [float(v @ (q.reshape(len(v), -1) @ t)) + c * w for v, q, t, c, w in zip(b["vec"], b["q"], b["_s"], b["c"], b["x"])]
+                    yield pd.DataFrame({"topic": b["topic"], "id": b["id"], "y": y})
+
+            return both.join(F.broadcast(s), "topic").mapInPandas(apply, f"topic {kind}, id bigint, y double")
+
+        scales = state.select("topic", "id", "scale")
+
+        def step(x: DataFrame) -> DataFrame:
+            own = times(x).join(scales, ["topic", "id"]).select("topic", "id", (damping * F.col("scale") * F.col("y")).alias("y"))
+            back = durable(times(x.join(scales, ["topic", "id"]).select("topic", "id", (F.col("scale") * F.col("x")).alias("x")))).withColumnRenamed("y", "x")
+            far = times(back).join(scales, ["topic", "id"]).select("topic", "id", ((1 - damping) * F.col("scale") * F.col("y")).alias("y"))
+            return own.unionByName(far).groupBy("topic", "id").agg(F.sum("y").alias("y"))
+
+        return _iterate(many, step, steps)
+
+    return _by_size(known, local, small, large)
+
+
+def _row_scale(vectors: np.ndarray, q: np.ndarray, c: float, gram: np.ndarray) -> np.ndarray:
+    """1 over the lengths of the rows of U q U' + c I."""
+    own = np.einsum("ij,jk,ik->i", vectors, q, vectors)
+    squares = np.einsum("ij,jk,ik->i", vectors, q @ gram @ q.T, vectors) + 2 * c * own + c * c
+    return 1 / np.sqrt(np.maximum(squares, 1e-300))
+
+
+def _sums(rows: DataFrame, kind: str, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """topic, _s: the sum over a topic's vectors of an array, first within each batch."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for topic, own in b.groupby("topic", dropna=False):
+                yield pd.DataFrame({"topic": [topic], "_p": [of(np.stack(own["vec"].to_numpy()), own["x"].to_numpy())]})
+
+    partial = rows.select("topic", "vec", "x").mapInPandas(parts, f"topic {kind}, _p array<double>")
+    each = partial.select("topic", F.posexplode("_p").alias("_i", "_x")).groupBy("topic", "_i").agg(F.sum("_x").alias("_x"))
+    return each.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda t: t["_x"]).alias("_s"))
 
 
 # Clusters.

@@ -223,11 +223,18 @@ O["geo_softmax"] = "WITH r AS (SELECT DISTINCT ON (result_id) * FROM results WHE
 
 
 def geo_hsic(spark: SparkSession, folder: str) -> DataFrame:
-    """How far the semantic score and I depend on each other in every experiment and topic."""
-    rows = table(spark, folder, "results").dropDuplicates(["result_id"])
-    return geo.hsic(rows, ["experiment", "topic"], "result_id", "semantic_score", "moran_i").select("experiment", "topic", "n", rounded("hsic", 7).alias("hsic"))
+    """How far the places of a topic and their numbers of mentions depend on each other."""
+    rows = places(spark, folder).join(table(spark, folder, "topic_doc_coordinates").select("loc_id", F.col("n").alias("x")), "loc_id")
+    return geo.hsic(rows, ["topic"], "loc_id", ["lat", "lon"], ["x"]).select("topic", "n", rounded("hsic", 7).alias("hsic"))
 
 
+O["geo_hsic"] = f"""WITH {PLACES}, q AS (SELECT p.topic, p.loc_id AS id, p.lat, p.lon, CAST(c.n AS DOUBLE) AS x FROM places_ p JOIN topic_doc_coordinates c USING (loc_id) WHERE c.n IS NOT NULL),
+d AS (SELECT a.topic, a.id, (a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2 AS dx, (a.x - b.x) ** 2 AS dy FROM q a JOIN q b ON a.topic IS NOT DISTINCT FROM b.topic),
+w AS (SELECT topic, coalesce(quantile_cont(dx, 0.5) FILTER (dx > 0) / 2, 2.0 ** -104) AS wx, coalesce(quantile_cont(dy, 0.5) FILTER (dy > 0) / 2, 2.0 ** -104) AS wy FROM d GROUP BY topic),
+k AS (SELECT d.topic, d.id, sum(exp(-dx / (2 * wx))) AS k, sum(exp(-dy / (2 * wy))) AS l, sum(exp(-dx / (2 * wx)) * exp(-dy / (2 * wy))) AS kl FROM d JOIN w ON d.topic IS NOT DISTINCT FROM w.topic GROUP BY d.topic, d.id),
+g AS (SELECT topic, count(*) AS n, sum(kl) AS kl, sum(k) AS k, sum(l) AS l, sum(k * l) AS kxl FROM k GROUP BY topic)
+SELECT topic, n, round((kl - 2 / n * kxl + k * l / (n * n)) / (n * n), 7) + 0.0 AS hsic FROM g"""
+
 for _f in (valid_points, geo_point_statistics, geo_distance_vincenty, geo_distance_haversine, geo_point_mean, geo_complete_cases, geo_indices_all, geo_indices_vincenty, geo_topic_association, geo_all_places, geo_moran_permuted, geo_index_filter, geo_softmax, geo_hsic):
     Q[_f.__name__] = _f
 

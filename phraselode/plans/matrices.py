@@ -26,20 +26,16 @@ def topic_maxsum(spark: SparkSession, folder: str) -> DataFrame:
     return rank_matrix.max_sum(vectors(spark, folder)).withColumn("score", r6("score"))
 
 
-def topic_pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    return rank_matrix.centrality(vectors(spark, folder)).withColumn("score", r6("score"))
-
-
 def topic_affinity(spark: SparkSession, folder: str) -> DataFrame:
-    return rank_matrix.centrality(vectors(spark, folder), "affinity").withColumn("score", r6("score"))
+    return rank_matrix.affinity_ranking(vectors(spark, folder)).withColumn("score", r6("score"))
 
 
 def topic_eigen(spark: SparkSession, folder: str) -> DataFrame:
-    return rank_matrix.centrality(vectors(spark, folder), "eigen").withColumn("score", r6("score"))
+    return rank_matrix.eigen_centrality(vectors(spark, folder)).withColumn("score", r6("score"))
 
 
-def topic_coranking(spark: SparkSession, folder: str) -> DataFrame:
-    """Similarity and common documents; a vector's documents are its two largest dimensions."""
+def topic_pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity and common documents together; a vector's documents are its two largest dimensions."""
     rows = vectors(spark, folder)
     places = F.slice(F.sort_array(F.transform("vec", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), False), 1, 2)
     incidence = rows.select("topic", "id", F.array_sort(F.transform(places, lambda s: s["i"])).alias("docs"))
@@ -88,6 +84,6 @@ def embedding_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return cosines.groupBy("topic").agg(F.count("c").alias("n"), r6(F.min("c")).alias("least"), r6(F.avg("c")).alias("mean"), r6(F.max("c")).alias("most"))
 
 
-_ALL = (topic_mmr_rank, topic_mmr_scores_rank, topic_maxsum, topic_pagerank, topic_affinity, topic_eigen, topic_coranking, topic_cluster_medoid, topic_component_clusters, whitened_vectors, embedrank_mentions, mask_rank, embedding_agreement)
+_ALL = (topic_mmr_rank, topic_mmr_scores_rank, topic_maxsum, topic_pagerank, topic_affinity, topic_eigen, topic_cluster_medoid, topic_component_clusters, whitened_vectors, embedrank_mentions, mask_rank, embedding_agreement)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}

@@ -154,15 +154,35 @@ def rounded(df, *order):
     return [tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in rows(df, *order)]
 
 
-@pytest.mark.parametrize("how", ["pagerank", "affinity", "eigen"])
-def test_centrality_in_blocks_equals_the_matrix(items, how, monkeypatch):
-    monkeypatch.setattr(rank_matrix, "STEPS", 2)
-    a, b = rank_matrix.centrality(items, how, powers=2), rank_matrix.centrality(items, how, powers=2, local=25)
-    a, b = (sorted((r.topic, r.id, r.score) for r in x.collect()) for x in (a, b))
+def _affinity(items, **how):
+    return rank_matrix.affinity_ranking(items, **how)
+
+
+def _eigen(items, **how):
+    return rank_matrix.eigen_centrality(items, **how)
+
+
+def _co_ranking(items, **how):
+    docs = items.select("topic", "id", F.array(F.col("id") % 5, F.col("id") % 7 + 10).alias("docs"))
+    return rank_matrix.co_ranking(items, docs, **how)
+
+
+@pytest.mark.parametrize("rank", [_affinity, _eigen, _co_ranking])
+def test_large_topics_rank_like_small_ones(items, rank):
+    a, b = (sorted((r.topic, r.id, r.score) for r in rank(items, local=n, steps=2).collect()) for n in (2048, 25))
     assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], atol=1e-9)
     assert math.isclose(sum(x[2] for x in a), 2, abs_tol=1e-6)
 
 
+def test_affinity_equals_the_matrix():
+    u = blocks.units(np.random.default_rng(3).normal(0.3, 1, (30, 5)))
+    m = u @ u.T - np.eye(30)
+    whole = sum(0.9 ** (t - 1) * np.linalg.matrix_power(m, t) for t in range(1, 6))
+    q, c = rank_matrix.power_sum(u.T @ u, 0.9, 5)
+    assert np.allclose(u @ q @ u.T + c * np.eye(30), whole)
+    assert np.allclose(rank_matrix._row_scale(u, q, c, u.T @ u), 1 / np.linalg.norm(whole, axis=1))
+
+
 def test_mmr_paths_agree(items):
     a, b = rank_matrix.mmr(items, 5), rank_matrix.mmr(items, 5, local=25)
     assert rounded(a.select("topic", "place", "id"), "topic", "place") == rounded(b.select("topic", "place", "id"), "topic", "place")
@@ -286,20 +306,20 @@ def test_weights_sum_to_one(spark):
     assert len(sums) == 4 and all(math.isclose(r.w, 1) for r in sums)
 
 
-def test_hsic(spark):
+@pytest.mark.parametrize("local", [2048, 16])
+def test_hsic(spark, local):
     rng = np.random.default_rng(6)
-    x = rng.normal(size=40)
-    y = x**2 + 0.1 * rng.normal(size=40)
-    df = spark.createDataFrame([("t", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [("t", 99, math.nan, 1.0)], "topic string, id bigint, a double, b double")
-    r = geo.hsic(df, ["topic"], "id", "a", "b").first()
+    p = rng.normal(size=(40, 2))
+    y = p[:, 0] ** 2 + 0.1 * rng.normal(size=40)
+    data = [("t", i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(p, y))] + [("t", 99, math.nan, 1.0, 1.0), ("t", 98, None, 1.0, 1.0)]
+    r = geo.hsic(spark.createDataFrame(data, "topic string, id bigint, lat double, lon double, x double"), ["topic"], "id", ["lat", "lon"], ["x"], local).first()
 
     def kernel(v):
-        low = lambda z: np.sort(z)[(len(z) - 1) // 2]
-        w = low(np.abs(v - low(v)))
-        return np.exp(-((v[:, None] - v[None]) ** 2) / (2 * w * w))
+        d = geo._squares(v, v)
+        return np.exp(-d / np.median(d[d > 0]))
 
     h = np.eye(40) - 1 / 40
-    assert r.n == 40 and math.isclose(r.hsic, np.trace(h @ kernel(x) @ h @ h @ kernel(y) @ h) / 1600, rel_tol=1e-9)
+    assert r.n == 40 and math.isclose(r.hsic, np.trace(h @ kernel(p) @ h @ h @ kernel(y[:, None]) @ h) / 1600, rel_tol=1e-9 if local > 40 else 1e-2)
 
 
 def test_near_pairs(spark):
