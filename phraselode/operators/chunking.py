@@ -133,6 +133,30 @@ def candidates(phrases: DataFrame, keys: Sequence[str] = ("topic", "doc"), min_l
     return out.select(*keys, "candidate", "mentions", "n_mentions", F.col("_f.sent").alias("first_sent"), F.col("_f.start").alias("first_start"))
 
 
+def longest_first(phrases: DataFrame, keys: Sequence[str] = ("topic", "doc")) -> DataFrame:
+    """keys, surface, place: a document's distinct phrases, the longest first, equal lengths by their text."""
+    from pyspark.sql import Window
+
+    unique = phrases.select(*keys, "surface").distinct()
+    return unique.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.length("surface")), "surface")).cast("bigint"))
+
+
+def with_single_words(phrases: DataFrame, keys: Sequence[str] = ("topic", "doc"), max_words: int = 7) -> DataFrame:
+    """keys, phrase: the distinct phrases of up to ``max_words`` words, and each of their words."""
+    kept = phrases.filter(F.size(words(F.col("surface"))) <= max_words)
+    return kept.select(*keys, F.explode(F.array_append(words(F.col("surface")), F.col("surface"))).alias("phrase")).distinct()
+
+
+def mention_offsets(candidates: DataFrame, docs: DataFrame, keys: Sequence[str] = ("topic", "doc")) -> DataFrame:
+    """keys, candidate, start, n: where any surface form of a candidate lies among its document's words, letter case ignored.
+
+    ``docs`` has keys and words, an array in lower case. Forms that are alike but for case count once.
+    """
+    forms = candidates.select(*keys, "candidate", F.explode("mentions").alias("_m")).select(*keys, "candidate", words(F.lower("_m")).alias("_m")).distinct()
+    found = forms.join(docs.select(*keys, "words"), list(keys))
+    return found.select(*keys, "candidate", F.explode(occurrences(F.col("_m"), F.col("words"))).alias("start"), F.size("_m").alias("n"))
+
+
 def occurrences(needle: Column, haystack: Column) -> Column:
     """All offsets (from 0) where the array ``needle`` lies in ``haystack``, overlaps included; empty for an empty needle."""
     last = F.size(haystack) - F.size(needle)

@@ -75,6 +75,20 @@ def mask_rank(spark: SparkSession, folder: str) -> DataFrame:
     return rank_doc.top(scored, ["topic", "doc"], "score", ["candidate"], 15).select("topic", "doc", "candidate", r6("score").alias("score"), "rank")
 
 
+def mask_highest(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates by the occurrence whose masking changes the document most."""
+    from ..operators.masking import mask_each
+
+    docs = table(spark, folder, "documents").select("topic", "doc", F.lower("text").alias("text")).filter("text IS NOT NULL")
+    rows = table(spark, folder, "candidates").select("topic", "doc", F.lower(F.trim("candidate")).alias("candidate")).filter("length(candidate) > 2").distinct().join(docs, ["topic", "doc"]).filter(F.contains("text", F.col("candidate")))
+    each = rows.select("topic", "doc", "candidate", F.explode(mask_each(F.col("text"), F.col("candidate"))).alias("text"))
+    whole = docs.withColumn("_doc", embedding.embed(F.col("text"))).drop("text")
+    masked = each.withColumn("vec", embedding.embed(F.col("text"))).join(whole, ["topic", "doc"])
+    least = masked.groupBy("topic", "doc", "candidate").agg(F.min(vec.cosine(F.col("vec"), F.col("_doc"))).alias("_s"))
+    scored = least.withColumn("score", rank_doc.mask_score(F.col("_s")))
+    return rank_doc.top(scored, ["topic", "doc"], "score", ["candidate"], 15).select("topic", "doc", "candidate", r6("score").alias("score"), "rank")
+
+
 def embedding_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """How the vectors of candidates and of their mentions agree: the number and the spread of cosines by topic."""
     rows = table(spark, folder, "candidates").filter("candidate IS NOT NULL AND size(mentions) > 0").select("topic", "doc", "candidate", "mentions")
@@ -84,6 +98,6 @@ def embedding_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return cosines.groupBy("topic").agg(F.count("c").alias("n"), r6(F.min("c")).alias("least"), r6(F.avg("c")).alias("mean"), r6(F.max("c")).alias("most"))
 
 
-_ALL = (topic_mmr_rank, topic_mmr_scores_rank, topic_maxsum, topic_pagerank, topic_affinity, topic_eigen, topic_cluster_medoid, topic_component_clusters, whitened_vectors, embedrank_mentions, mask_rank, embedding_agreement)
+_ALL = (topic_mmr_rank, topic_mmr_scores_rank, topic_maxsum, topic_pagerank, topic_affinity, topic_eigen, topic_cluster_medoid, topic_component_clusters, whitened_vectors, embedrank_mentions, mask_rank, mask_highest, embedding_agreement)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}

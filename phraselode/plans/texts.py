@@ -116,6 +116,14 @@ def np_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.candidates(chunking.noun_phrases(_tagged(spark, folder)), min_len=3, max_words=5)
 
 
+def np_longest_first(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.longest_first(chunking.noun_phrases(_tagged(spark, folder)))
+
+
+def np_single_words(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.with_single_words(chunking.noun_phrases(_tagged(spark, folder)))
+
+
 _NO_PUNCTUATION = r"regexp_replace(candidate, '[!-/:-@\[-`{-~]', '', 'g')"
 _PHRASES = "SELECT topic, doc, sent, CAST(min(pos) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(word, ' ' ORDER BY pos) AS surface FROM i WHERE last_noun IS NOT NULL {more} GROUP BY topic, doc, sent, run"
 
@@ -126,6 +134,8 @@ O |= {
     "np_chunks_bridge": f"WITH {_SENTS}, {_islands('topic, doc', 'sent, tok')} SELECT topic, doc, CAST(min(pos) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(word, ' ' ORDER BY pos) AS surface FROM i WHERE last_noun IS NOT NULL GROUP BY topic, doc, run",
     "np_candidates": f"""WITH {_SENTS}, {_islands('topic, doc, sent', 'tok')}, p AS ({_PHRASES.format(more='')}), c AS (SELECT *, trim(lower(replace(replace(surface, ' - ', '-'), ' .', '.')), ' ') AS candidate FROM p)
 SELECT topic, doc, candidate, list_sort(list(DISTINCT surface)) AS mentions, count(*) AS n_mentions, arg_min(sent, sent * 1000000 + start) AS first_sent, arg_min(start, sent * 1000000 + start) AS first_start FROM c WHERE length(candidate) > 3 AND len({_words('candidate')}) <= 5 GROUP BY topic, doc, candidate""",
+    "np_longest_first": f"WITH {_SENTS}, {_islands('topic, doc, sent', 'tok')}, p AS ({_PHRASES.format(more='')}) SELECT topic, doc, surface, row_number() OVER (PARTITION BY topic, doc ORDER BY length(surface) DESC, surface) AS place FROM (SELECT DISTINCT topic, doc, surface FROM p)",
+    "np_single_words": f"WITH {_SENTS}, {_islands('topic, doc, sent', 'tok')}, p AS ({_PHRASES.format(more='')}), k AS (SELECT * FROM p WHERE len({_words('surface')}) <= 7) SELECT DISTINCT topic, doc, phrase FROM (SELECT topic, doc, surface AS phrase FROM k UNION ALL SELECT topic, doc, unnest({_words('surface')}) AS phrase FROM k)",
     "clean_keywords_nostem": f"SELECT DISTINCT topic, phrase FROM (SELECT topic, {_CLEAN} AS phrase FROM gold) WHERE phrase <> ''",
     "standalone_punct_filter": f"SELECT cand_id FROM candidates WHERE len({_words('candidate')}) = len({_words(_NO_PUNCTUATION)})",
     "length_filter": f"SELECT cand_id FROM candidates WHERE length(candidate) > 3 AND len({_words('candidate')}) <= 4",
@@ -150,6 +160,16 @@ O["phrase_occurrences"] = f"""WITH d AS (SELECT topic, doc, {_words('lower(text)
 SELECT cand_id, CAST(pos - 1 AS INTEGER) AS pos FROM (SELECT cand_id, phrase, words, unnest(range(1, len(words) - len(phrase) + 2)) AS pos FROM c JOIN d USING (topic, doc) WHERE len(phrase) > 0) WHERE words[pos:pos + len(phrase) - 1] = phrase"""
 
 
+def mention_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Where any surface form of a candidate lies among the words of its document."""
+    docs = table(spark, folder, "documents").select("topic", "doc", text.words(F.lower("text")).alias("words"))
+    return chunking.mention_offsets(table(spark, folder, "candidates"), docs)
+
+
+O["mention_offsets"] = f"""WITH d AS (SELECT topic, doc, {_words('lower(text)')} AS words FROM documents), c AS (SELECT DISTINCT topic, doc, candidate, {_words('lower(m)')} AS m FROM (SELECT topic, doc, candidate, unnest(mentions) AS m FROM candidates))
+SELECT topic, doc, candidate, CAST(pos - 1 AS INTEGER) AS start, CAST(len(m) AS INTEGER) AS n FROM (SELECT topic, doc, candidate, m, words, unnest(range(1, len(words) - len(m) + 2)) AS pos FROM c JOIN d USING (topic, doc) WHERE len(m) > 0) WHERE words[pos:pos + len(m) - 1] = m"""
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("topic", "doc", F.lower("text").alias("text"))
     cands = table(spark, folder, "candidates").select("cand_id", "topic", "doc", F.lower(F.trim("candidate")).alias("candidate")).filter("length(candidate) > 2")
@@ -204,7 +224,7 @@ O["char_positions"] = f"""WITH {_PAIRS}, x AS (SELECT cand_id, candidate, text,
 y AS (SELECT *, unnest(range(1, len(parts))) AS k FROM x), z AS (SELECT *, CAST(list_sum(list_transform(parts[1:k], lambda a: length(a))) + (k - 1) * length(candidate) AS INTEGER) AS pos FROM y)
 SELECT cand_id, pos, CAST(floor((pos + length(candidate) / 2) / (length(text) / n)) AS BIGINT) AS word_at FROM z"""
 
-for _f in (clean_keywords_nostem, standalone_punct_filter, length_filter, stem_words, clean_keywords, token_tags, np_chunks_base, np_chunks_bridge, np_chunks_prompt, np_candidates, hyphen_join, phrase_occurrences, mask_all, mask_first, mask_each, mask_subset_spans, annotated_texts, char_positions):
+for _f in (clean_keywords_nostem, standalone_punct_filter, length_filter, stem_words, clean_keywords, token_tags, np_chunks_base, np_chunks_bridge, np_chunks_prompt, np_candidates, np_longest_first, np_single_words, mention_offsets, hyphen_join, phrase_occurrences, mask_all, mask_first, mask_each, mask_subset_spans, annotated_texts, char_positions):
     Q[_f.__name__] = _f
 
 QUERIES, ORACLES = Q, O
