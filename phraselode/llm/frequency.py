@@ -117,5 +117,5 @@ def marked(counts: DataFrame, records: int, rare: int = 2, common: float = 0.1)
 
     Where both hold (fewer than rare / common records in all), the term has a row for each mark.
     """
-    marks = F.array_compact(F.array(F.when(F.col("n_docs") <= rare, F.lit("rare")), F.when(F.col("n_docs") > common * records, F.lit("common"))))
+    marks = F.array_compact(F.array(F.when(F.col("n_docs") <= rare, F.lit("rare")), F.when(F.col("n_docs") - common * records > 1e-9, F.lit("common"))))
     return counts.withColumn("mark", F.explode_outer(marks))
