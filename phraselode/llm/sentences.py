@@ -2,8 +2,8 @@
 
 Method: document-centred disambiguation. Well-known abbreviations are listed by whether a sentence can end with them.
 For other words, and for those that may end one, it counts what they and the next word do elsewhere: whether the
-document has the word with its stop before lower case or a number, and what the whole corpus has, whose statistics
-Spark counts over all texts. Scripts have their own end marks, and Thai ends a unit with white space.
+document has the word with its stop before lower case or a number, and, where it says nothing, what the whole corpus
+has, whose statistics Spark counts over all texts. Scripts have their own end marks, and Thai ends a unit with white space.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ _BEFORE = re.compile(r"[^\s“”„«»‹›\"()\[\]（）「」—–,;:!?¿
 _OPENERS = "(['‘“„\"«¿¡"
 _THAI = re.compile(r"[ก-๛]")
 _SPECIAL = FOLLOWED | MAY_END | OF_YEAR
-_STOP_CONTEXT = re.compile(r"(?:^|(?<=[\s(\[“„\"«'‘]))([^\W\d_](?:[\w'’-]|\.(?=\w))*)\.\s+[\"“„«'‘(\[¿¡]?(\w)")
+_STOP_CONTEXT = re.compile(r"(?:^|(?<=[\s(\[“„\"«'‘]))([^\W\d_](?:[\w'’-]|\.(?=\w))*)\.\s+[\"“„«'‘(\[¿¡]?(\w\w?)")
 _STARTS = re.compile(r"(?:^|[!?…]\s+|[\n\r]\s*[\n\r]\s*)([^\W\d_]+)")
 
 
@@ -106,24 +106,36 @@ class _Document:
 
     def __init__(self, text: str, corpus: Corpus):
         self.text, self.corpus = text, corpus
-        self._lower: set[str] | None = None
         self._before_lower: set[str] | None = None
 
     def is_common(self, word: str) -> bool:
-        """Whether the word, given in lower case, is met in lower case: in the document where that has case and no statistics
-        of a corpus are at hand, since a document may have names in lower case."""
-        if self.corpus.common:
-            return word in self.corpus.common
-        if self._lower is None:
-            self._lower = {w for w in re.findall(r"[^\W\d_]+", self.text) if w == w.lower()}
-        return word in self._lower
+        """Whether the word, given in lower case, is one that is written so: by how often the document has it in lower case
+        and as a name within sentences, and by the corpus where that is equal or the document has no case."""
+        lower, names = (self.times(word), self.times(word[:1].upper() + word[1:])) if self.text_has_case() else (0, 0)
+        return lower > names or lower == names and word in self.corpus.common
+
+    def times(self, form: str) -> int:
+        """How often the document has this form of a word within sentences: behind a word or comma and white space, and with no stop of its own."""
+        n, at, size = 0, self.text.find(form), len(self.text)
+        while at >= 0 and form:
+            end, i = at + len(form), at - 1
+            while i >= 0 and self.text[i].isspace():
+                i -= 1
+            if 0 <= i < at - 1 and (self.text[i].isalnum() or self.text[i] in ",;:") and (end == size or not (self.text[end].isalnum() or self.text[end] in "'’-_.")):
+                n += 1
+            at = self.text.find(form, end)
+        return n
 
     def met_before_lower(self, word: str) -> bool:
         """Whether the document has the word with a stop before lower case or a number."""
         if self._before_lower is None:
-            self._before_lower = {m[1].lower() for m in _STOP_CONTEXT.finditer(self.text) if m[2].islower() or m[2].isdigit()}
+            self._before_lower = {m[1].lower() for m in _STOP_CONTEXT.finditer(self.text) if (m[2].islower() or m[2][0].isdigit()) and not _mixed(m[2])}
         return word in self._before_lower
 
+    def is_abbreviation(self, word: str) -> bool:
+        """Whether the document has the word as an abbreviation: with a stop before lower case or a number, and as no word of its own."""
+        return word.isalpha() and not self.is_common(word) and self.met_before_lower(word) and not self.times(word[:1].upper() + word[1:])
+
     def units(self) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         thai = _THAI.search(self.text)
@@ -260,7 +272,7 @@ class _Document:
         before = _BEFORE.search(part, max(begin, at - 40), at)
         last = before.group() if before else ""
         t = _plain(last.lower().lstrip("'‘’-"))
-        if len(t) > 6 and word[:1].isupper() and t.isalpha() and t not in _SPECIAL:
+        if len(t) > 6 and word[:1].isupper() and t.isalpha() and t not in _SPECIAL and not self.is_abbreviation(t):
             return True
         if not t:
             return not lower or word in self.corpus.starters
@@ -296,7 +308,7 @@ class _Document:
             if low in self.corpus.starters:
                 return True
             return not (len(t) <= 4 and self.met_before_lower(t)) and self.is_common(t)
-        if len(t) <= 4 and not self.is_common(t) and self.met_before_lower(t) and not word[:1].isdigit():
+        if self.is_abbreviation(t) and not word[:1].isdigit():
             return self.is_common(low)
         return True
 

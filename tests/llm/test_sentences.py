@@ -75,3 +75,12 @@ def test_statistics_come_from_all_texts(spark):
     c = sentences.corpus_statistics(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert c.stops["xyz"] == (0, 50) and c.stops["left"] == (50, 0) and "people" in c.common
     assert len(sentence_units("It was the Xyz. plant of old.", c)) == 1
+
+
+def test_the_document_is_asked_before_the_corpus():
+    common = Corpus(common=frozenset("mara the was of sent".split()))
+    # A name of the document, though the corpus has a word spelt like it.
+    assert len(sentence_units("“Stop!” Mara cried. They saw Mara, and so did Mara of Tes.", common)) == 2
+    # An unlisted abbreviation of any length that the document itself has before lower case or a number.
+    for word in ("Abteil", "Präfektur"):
+        assert len(sentence_units(f"It was the {word}. of old. We saw {word}. Zuta there.", common)) == 2
