@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import encode as tokens
 from .arrow_text import slices, strings
-from .sentences import Corpus, corpus_statistics, paragraphs, sentence_units
+from .sentences import Corpus, of_row, paragraphs, sentence_units, with_statistics
 
 LIMIT, OVERLAP = 2000, 200
 LEVELS = ("paragraph", "sentence", "word", "none")
@@ -110,11 +110,11 @@ def _pieces(limit: int, overlap: int, corpus: Corpus, measure):
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, part, begins, ends, levels = [], [], [], [], []
-                for i, text in enumerate(strings(batch.column(1))):
+                for i, (text, words) in enumerate(zip(strings(batch.column(1)), batch.column(2).to_pylist())):
                     prefix = measure(text)
                     if prefix[len(text)] <= limit:
                         continue
-                    level, spans = coarsest(text, corpus, prefix, limit, overlap)
+                    level, spans = coarsest(text, of_row(corpus, words), prefix, limit, overlap)
                     for k, (a, b) in enumerate(cut(text, spans, prefix, limit, overlap) or [(0, 0)]):
                         rows.append(i), part.append(k), begins.append(a), ends.append(b), levels.append(level)
                 cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(part, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(levels, pa.string())]
@@ -133,10 +133,9 @@ def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be below the limit")
-    corpus = corpus or corpus_statistics(docs, text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     # No measure counts more than four units for a code point.
-    rows = rows.filter(F.length("text") > (limit if measure is char_prefix else limit // 4))
+    rows, corpus = with_statistics(whole.filter(F.length("text") > (limit if measure is char_prefix else limit // 4)), corpus, whole)
     kind = rows.schema["_id"].dataType.simpleString()
     out = rows.mapInArrow(_pieces(limit, overlap, corpus, measure), f"_id {kind}, part int, piece_start bigint, piece_end bigint, boundary string")
     return out.withColumnRenamed("_id", id_col)

@@ -1,17 +1,17 @@
 """Sentence units of documents in many languages and scripts.
 
 Method: document-centred disambiguation. Well-known abbreviations are listed by whether a sentence can end with them.
-For other words, and for those that may end one, it counts what they and the next word do elsewhere: whether the
-document has the word with its stop before lower case or a number, and, where it says nothing, what the whole corpus
-has, whose statistics Spark counts over all texts. Scripts have their own end marks, and Thai ends a unit with white space.
+For other words, and for those that may end one, it counts what they and the next word do elsewhere: first in the
+document itself, and where that says nothing in the whole corpus, whose statistics Spark counts over all texts. The
+statistics of frequent words are sent to all tasks, those of the others are joined to the texts that ask for them. Scripts have their own end marks, and Thai ends a unit with white space.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -51,9 +51,11 @@ FOLLOWED, MAY_END, OF_YEAR, MONTHS = (frozenset(x.split()) for x in (_FOLLOWED,
 #: Two-letter spellings that are abbreviations only before a number or a name, so as not to take ordinary words.
 _AMBIGUOUS = frozenset("no art p s v d m me ch fr al am pm sun sat mar mon min w в д м أ os pl".split())
 
-#: Shares of all tokens, or of all words before a stop, from which the corpus statistics keep an entry. At most
-#: 1 / share entries can reach it, so what the tasks are sent is bounded at every size of the corpus.
-COMMON_SHARE, STOP_SHARE, START_SHARE = 2e-5, 5e-5, 1e-4
+#: Times a word must be met for the corpus to say anything about it, whatever the size of the corpus.
+LEAST = 5
+#: Share of all words counted from which a word's statistics are sent to all tasks; at most 1 / share words reach it.
+#: The others are joined to the texts, so it decides how they get there and nothing else.
+SENT_SHARE = 2e-5
 
 _STOPS = ".!?…‽⁇⁈⁉"
 _WIDE = "。！？｡．⋯"
@@ -71,6 +73,9 @@ _OPENERS = "(['‘“„\"«¿¡"
 _THAI = re.compile(r"[ก-๛]")
 _SPECIAL = FOLLOWED | MAY_END | OF_YEAR
 _STOP_CONTEXT = re.compile(r"(?:^|(?<=[\s(\[“„\"«'‘]))([^\W\d_](?:[\w'’-]|\.(?=\w))*)\.\s+[\"“„«'‘(\[¿¡]?(\w\w?)")
+_SEGMENTS = re.compile(r"(?<=[.!?…])\s+|\n\s*\n")
+_MARKS = re.compile(rf"[{_STOPS}؟۔]")
+_WORD = re.compile(r"[^\W_]+")
 _STARTS = re.compile(r"(?:^|[!?…]\s+|[\n\r]\s*[\n\r]\s*)([^\W\d_]+)")
 
 
@@ -302,7 +307,7 @@ class _Document:
             if word[:1].isdigit():
                 return tends
             return tends or capital + other == 0 or self.is_common(low)
-        if len(t) <= 6 and other > 4 * capital and other > 1:
+        if len(t) <= 6 and other > 4 * (capital + 1):
             return False  # the corpus has it as an abbreviation
         if lower:
             if low in self.corpus.starters:
@@ -342,57 +347,151 @@ def sentence_units(text: str | None, corpus: Corpus | None = None) -> list[tuple
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, word, n, m of each run of texts: words in lower case, words before stops, first words."""
+    """word, lower, names, capital, other, first of each run of texts: times within sentences in lower case and as a
+    name, times with a stop before a capital and before lower case or a number, times as a first word."""
     for whole in batches:
         for batch in slices(whole, "text"):
             tokens, stops, starts = Counter(), Counter(), Counter()
             for text in strings(batch.column(0)):
-                if not text:
+                if not text or text.islower() or text.isupper():
                     continue
+                # Where a stretch has no capital at all, names are in lower case too.
+                for segment in _SEGMENTS.split(text):
+                    if not segment.islower() and not segment.isupper():
+                        inner = segment.split()
+                        tokens.update(b for a, b in zip(inner, inner[1:]) if a[-1].isalnum() or a[-1] in ",;:")
                 parts = text.split()
-                tokens.update(parts)
-                if text.islower() or text.isupper():
-                    continue
                 stops.update((a, b.lstrip(_OPENERS)[:1]) for a, b in zip(parts, parts[1:]) if a[-1] == ".")
                 starts.update(_STARTS.findall(text))
-            common, before, first = Counter(), Counter(), Counter()
+            lower, names, capital, other, first = (Counter() for _ in range(5))
             for token, n in tokens.items():
                 word = token.strip(".,;:!?()[]\"'“”„«»…")
-                if word.isalpha() and word == word.lower():
-                    common[word] += n
+                if word.isalpha() and (word == word.lower() or len(word) == 1 or not word.isupper()):
+                    (lower if word == word.lower() else names)[word.lower()] += n
             for (word, b), n in stops.items():
                 word = word[:-1].lstrip(_OPENERS)
                 if b.isalnum() and word[:1].isalpha() and not word.endswith("."):
-                    before[word.lower(), not (b.islower() or b.isdigit())] += n
+                    (other if b.islower() or b.isdigit() else capital)[word.lower()] += n
             for word, n in starts.items():
                 first[word.lower()] += n
-            rows = [("all", "", sum(tokens.values()), sum(stops.values())), ("starts", "", sum(starts.values()), 0)]
-            rows += [("common", w, n, 0) for w, n in common.items()]
-            rows += [("stop", w, n if capital else 0, 0 if capital else n) for (w, capital), n in before.items()]
-            rows += [("start", w, n, 0) for w, n in first.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows)], ["kind", "word", "n", "m"])
+            counts = (lower, names, capital, other, first)
+            words = list(set().union(*counts))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["word", *_COUNTS])
+
+
+_COUNTS = ("lower", "names", "capital", "other", "first")
+
+
+def _corpus(rows: Iterable[tuple]) -> Corpus:
+    """From word, common, starter, capital, other."""
+    common, starters, stops = set(), set(), {}
+    for word, is_common, starter, capital, other in rows:
+        if is_common:
+            common.add(word)
+        if starter:
+            starters.add(word)
+        if capital + other >= LEAST:
+            stops[word] = (capital, other)
+    return Corpus(frozenset(common), frozenset(starters), stops)
+
+
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """word, common, starter, capital, other, total of the words that say anything."""
+    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_contexts, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    sums = sums.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    common = (F.col("lower") >= LEAST) & (F.col("lower") > 4 * F.col("names"))
+    # Some names are spelt like a word. One may begin sentences too; what is never met in lower case tells nothing where case is missing.
+    known = sums.select("word", common.alias("common"), (common & (F.col("first") >= LEAST)).alias("starter"), "capital", "other", sum(F.col(c) for c in _COUNTS).alias("total"))
+    return durable(known.filter(F.col("common") | (F.col("capital") + F.col("other") >= LEAST)))
+
+
+def _around(part: str) -> tuple[str, tuple[str, ...]]:
+    """The first word of a part between white space, and the words at its marks if it has any."""
+    m = _WORD.search(part)
+    words: set[str] = set()
+    for mark in _MARKS.finditer(part):
+        words.update(_WORD.findall(part, mark.end())[:1])
+        if before := _BEFORE.search(part, max(0, mark.start() - 40), mark.start()):
+            for last in {before.group(), _MARKS.split(before.group())[-1]}:
+                words.update((last.lower(), _plain(last.lower().lstrip("'‘’-"))))
+        words.add("")
+    return m.group() if m else "", tuple(words | {w.lower() for w in words})
+
+
+def _asked(text: str, seen: dict[str, tuple[str, tuple[str, ...]]]) -> set[str]:
+    """The words of a text that its decisions may ask the corpus for: those on both sides of every mark. ``seen`` keeps parts."""
+    words, after = set(), False
+    for part in text.split():
+        found = seen.get(part)
+        if found is None:
+            found = seen[part] = _around(part)
+        if after and found[0]:
+            words.update((found[0], found[0].lower()))
+            after = False
+        if found[1]:
+            words.update(found[1])
+            after = True
+    words.discard("")
+    return words
+
+
+def _ask(sent: Corpus):
+    known = sent.common | sent.stops.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows, words, seen = [], [], {}
+                for i, text in enumerate(strings(batch.column(1))):
+                    asked = _asked(text, seen) - known if text else ()
+                    rows += [i] * len(asked)
+                    words += asked
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string())], ["_key", "word"])
+
+    return run
+
+
+_FIELDS = ("word", "common", "starter", "capital", "other")
+
+
+def with_statistics(rows: DataFrame, corpus: Corpus | None, of: DataFrame) -> tuple[DataFrame, Corpus]:
+    """``rows`` (_id, text) with _words, what the corpus ``of`` (text) says of the rarer words that a text asks for; and what it says of frequent ones.
+
+    A given ``corpus`` stands for all of it. A rarer word has at most a fixed share of the words, so no key is hot.
+    """
+    kind = "array<struct<word:string,common:boolean,starter:boolean,capital:bigint,other:bigint>>"
+    if corpus:
+        return rows.withColumn("_words", F.lit(None).cast(kind)), corpus
+    counted = _counted(of, "text")
+    most = (counted.agg(F.sum("total")).first()[0] or 0) * SENT_SHARE
+    sent = _corpus(tuple(r) for r in counted.filter(F.col("total") >= most).select(*_FIELDS).collect())
+    keyed = rows.withColumn("_key", F.unhex(F.md5("text")))
+    asked = keyed.filter("text IS NOT NULL").select("_key", "text").mapInArrow(_ask(sent), "_key binary, word string")
+    found = asked.join(counted.filter(F.col("total") < most).select(*_FIELDS), "word").groupBy("_key").agg(F.collect_set(F.struct(*_FIELDS)).alias("_words"))
+    return keyed.join(found, "_key", "left").select("_id", "text", "_words"), sent
+
+
+def of_row(corpus: Corpus, words: list[dict] | None) -> Corpus:
+    """The corpus for a text with statistics of its own."""
+    if not words:
+        return corpus
+    own = _corpus(tuple(w[f] for f in _FIELDS) for w in words)
+    return Corpus(_Both(corpus.common, own.common), _Both(corpus.starters, own.starters), ChainMap(own.stops, corpus.stops))
+
+
+class _Both:
+    """Membership in either of two sets, neither copied."""
+
+    def __init__(self, a: frozenset[str], b: frozenset[str]):
+        self.a, self.b = a, b
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.b or word in self.a
 
 
 def corpus_statistics(docs: DataFrame, text_col: str = "text") -> Corpus:
-    """Counts over all texts, kept where a word reaches its share of them; the shares bound what comes back."""
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_contexts, "kind string, word string, n bigint, m bigint")
-    counted = durable(counted.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
-    totals = {r["kind"]: r for r in counted.filter(F.col("kind").isin("all", "starts")).collect()}
-    if "all" not in totals:
-        return Corpus()
-    enough = (
-        F.when(F.col("kind") == "common", F.col("n") >= COMMON_SHARE * totals["all"]["n"])
-        .when(F.col("kind") == "stop", F.col("n") + F.col("m") >= STOP_SHARE * totals["all"]["m"])
-        .when(F.col("kind") == "start", F.col("n") >= START_SHARE * totals["starts"]["n"])
-    )
-    rows = counted.filter(enough).collect()
-    common = frozenset(r["word"] for r in rows if r["kind"] == "common")
-    return Corpus(
-        common,
-        # A name may begin sentences too; what is never met in lower case tells nothing where case is missing.
-        frozenset(r["word"] for r in rows if r["kind"] == "start" and r["word"] in common),
-        {r["word"]: (r["n"], r["m"]) for r in rows if r["kind"] == "stop"},
-    )
+    """All that the texts say about words, at once; for corpora whose words fit into memory."""
+    return _corpus(tuple(r) for r in _counted(docs, text_col).select(*_FIELDS).collect())
 
 
 def _split(corpus: Corpus):
@@ -400,8 +499,8 @@ def _split(corpus: Corpus):
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, starts, ends = [], [], []
-                for i, text in enumerate(strings(batch.column(1))):
-                    for a, b in sentence_units(text, corpus):
+                for i, (text, words) in enumerate(zip(strings(batch.column(1)), batch.column(2).to_pylist())):
+                    for a, b in sentence_units(text, of_row(corpus, words)):
                         rows.append(i), starts.append(a), ends.append(b)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["_id", "sent_start", "sent_end"])
 
@@ -415,7 +514,7 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units. Null and blank texts give no rows; null and repeated ids stay as they are. The statistics are those of
     ``docs`` unless given.
     """
-    corpus = corpus or corpus_statistics(docs, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    rows, corpus = with_statistics(rows, corpus, rows)
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(_split(corpus), f"_id {kind}, sent_start bigint, sent_end bigint").withColumnRenamed("_id", id_col)

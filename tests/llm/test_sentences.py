@@ -84,3 +84,12 @@ def test_the_document_is_asked_before_the_corpus():
     # An unlisted abbreviation of any length that the document itself has before lower case or a number.
     for word in ("Abteil", "Präfektur"):
         assert len(sentence_units(f"It was the {word}. of old. We saw {word}. Zuta there.", common)) == 2
+
+
+def test_what_the_corpus_says_does_not_depend_on_its_size(spark):
+    rare = ["The plant of Zuta Xyz. said it was left. The people left." for _ in range(10)]
+    for n in (0, 3000):
+        texts = [(i, t) for i, t in enumerate(rare + ["The road was long and it was open to all of them there. " * 100] * n + ["It was the Xyz. Plant of old."])]
+        docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+        got = sentences.split_sentences(docs).filter(f"doc_id = {len(texts) - 1}").collect()
+        assert len(got) == 1, n
