@@ -7,7 +7,6 @@ are summed from blocks or from sums over vectors, and greedy choices take one pa
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -111,28 +110,60 @@ def mmr_by_scores(items: DataFrame, doc_scores: DataFrame, n: int, diversity: fl
 # Choosing a set that is least alike.
 
 
-def least_alike(sim: np.ndarray, n: int, exact: int = 20) -> tuple[list[int], bool]:
-    """The ``n`` indices with the smallest sum of similarities; greedy, and said so, beyond ``exact`` items."""
+def least_alike(sim: np.ndarray, n: int, exact: int = 30) -> tuple[list[int], bool]:
+    """The ``n`` indices with the smallest sum of similarities, the first such set in order; greedy, and said so, beyond ``exact`` items."""
     m = len(sim)
     if m <= n:
         return list(range(m)), True
-    if m <= exact:
-        best, found = np.inf, ()
-        for c in combinations(range(m), n):
-            total = sim[np.ix_(c, c)].sum()
-            if total < best - 1e-12:
-                best, found = total, c
-        return list(found), True
-    i, j = np.unravel_index(np.argmin(sim + np.eye(m) * 9), sim.shape)
+    chosen = _least_alike_greedy(sim, n)
+    if m > exact:
+        return chosen, False
+    return _branch_and_bound(sim, n), True
+
+
+def _least_alike_greedy(sim: np.ndarray, n: int) -> list[int]:
+    if n < 2:
+        return list(range(n))
+    i, j = np.unravel_index(np.argmin(sim + np.eye(len(sim)) * 9), sim.shape)
     chosen = sorted((int(i), int(j)))
     while len(chosen) < n:
         cost = sim[:, chosen].sum(axis=1)
         cost[chosen] = np.inf
         chosen.append(int(np.argmin(cost)))
-    return chosen, False
+    return chosen
 
 
-def max_sum(items: DataFrame, n: int = 5, nearest: int = 20) -> DataFrame:
+def _branch_and_bound(sim: np.ndarray, n: int) -> list[int]:
+    """Sets are grown in order of their indices. One with r items to come costs at least what it costs so far, and r of
+    the items left with, each, their similarities to the set and half of their r - 1 smallest ones among those left."""
+    m = len(sim)
+    pair = sim * (1 - np.eye(m))
+    free = pair + np.diag(np.full(m, np.inf))
+    # least[k][r]: for each item, half of the sum of the r smallest similarities to items from k on.
+    least = [np.cumsum(np.hstack([np.zeros((m, 1)), np.sort(free[:, k:], axis=1)]), axis=1).T / 2 for k in range(m + 1)]
+    best = sorted(_least_alike_greedy(sim, n))
+    # As good sets as the greedy one may come before it.
+    total = pair[np.ix_(best, best)].sum() / 2 + 1e-9
+
+    def grow(chosen: list[int], k: int, cost: float, to: np.ndarray) -> None:
+        nonlocal best, total
+        r = n - len(chosen)
+        if r == 1:
+            i = k + int(np.argmin(to[k:]))
+            if cost + to[i] < total - 1e-12:
+                best, total = [*chosen, i], cost + to[i]
+            return
+        for i in range(k, m - r + 1):
+            rest = to[i:] + least[i][r - 1][i:]
+            if cost + np.partition(rest, r - 1)[:r].sum() >= total - 1e-12:
+                return
+            grow([*chosen, i], i + 1, cost + to[i], to + pair[i])
+
+    grow([], 0, 0.0, np.zeros(m))
+    return best
+
+
+def max_sum(items: DataFrame, n: int = 10, nearest: int = 30) -> DataFrame:
     """topic, id, score, exact: of the ``nearest`` items to the topic's mean, the ``n`` least alike.
 
     Only these few items of a topic come together, whatever its size.

@@ -3,6 +3,7 @@
 import importlib
 import math
 import sys
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -214,6 +215,18 @@ def test_least_alike():
     assert said and not also and cost(exact) <= cost(greedy) + 1e-12
 
 
+def test_least_alike_is_exact_for_ten_of_thirty(spark):
+    rng = np.random.default_rng(2)
+    for m, n in ((9, 3), (14, 6), (22, 4)):
+        u = blocks.units(rng.normal(size=(m, 4)))
+        got, said = rank_matrix.least_alike(sim := u @ u.T, n)
+        cost = lambda c: sim[np.ix_(c, c)].sum()
+        assert said and abs(cost(got) - min(cost(c) for c in combinations(range(m), n))) < 1e-9
+    data = [("t", i, [float(x) for x in rng.normal(0.3, 1, 8)]) for i in range(40)]
+    got = rank_matrix.max_sum(spark.createDataFrame(data, "topic string, id bigint, vec array<double>")).collect()
+    assert len(got) == 10 and all(r.exact for r in got)
+
+
 def test_clusters(spark):
     sim = np.eye(6)
     for i, j in ((0, 1), (1, 2), (3, 4)):
