@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import lookup
-from ..functions.vectors import cosine, mean_vectors, unit
+from ..functions.vectors import cosine, dot, mean_vectors, unit
 from ..session import durable
 from .blocks import pairwise, units
 from .rank_doc import top
@@ -455,14 +455,110 @@ def whitened(items: DataFrame, local: int = LOCAL) -> DataFrame:
     return found.unionByName(large.join(F.broadcast(maps), "topic").select("topic", "id", "vec", "mean", "axes").mapInPandas(project, f"topic {kind}, id bigint, vec array<double>"))
 
 
+def _components(near: np.ndarray) -> np.ndarray:
+    """For each item the first item of its connected component."""
+    label = np.arange(len(near))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _reach(least: float):
+    """Items in reach of each, its own included."""
+
+    def kernel(left: dict, right: dict, same: bool) -> dict:
+        return {"id": left["id"], "n": (units(left["vec"]) @ units(right["vec"]).T >= least).sum(axis=1)}
+
+    return kernel
+
+
+def _links(least: float):
+    """Links of two blocks' items: each but the first of a component to that, so no more than there are items."""
+
+    def kernel(left: dict, right: dict, same: bool) -> dict:
+        u, ids = np.concatenate([units(left["vec"]), units(right["vec"])]), np.concatenate([left["id"], right["id"]])
+        if same:
+            u, ids = u[: len(left["id"])], left["id"]
+        root = _components(u @ u.T >= least)
+        far = np.flatnonzero(root != np.arange(len(root)))
+        return {"a": ids[far], "b": ids[root[far]]}
+
+    return kernel
+
+
+def _nearest(least: float):
+    """The nearest item of the other side in reach, the smaller id of equals."""
+
+    def kernel(left: dict, right: dict, same: bool) -> dict:
+        sim = units(left["vec"]) @ units(right["vec"]).T
+        best = np.round(sim, 12).argmax(axis=1)
+        most = sim[np.arange(len(sim)), best]
+        found = np.flatnonzero(most >= least)
+        return {"id": left["id"][found], "core": right["id"][best[found]], "s": np.round(most[found], 12)}
+
+    return kernel
+
+
+def _labels(space: DataFrame, least: float, min_samples: int) -> DataFrame:
+    """topic, id, label of clustered items as :func:`density_clusters` has them, by blocks of any number of items."""
+    space = durable(space)
+    counts = pairwise(space, None, "topic", "id", _reach(least), "id bigint, n bigint").groupBy("topic", "id").agg(F.sum("n").alias("n"))
+    dense = durable(counts.select("topic", "id", (F.col("n") >= min_samples).alias("_core")))
+    marked = durable(space.join(dense, ["topic", "id"]))
+    core, rest = marked.filter("_core").drop("_core"), marked.filter("NOT _core").drop("_core")
+    links = pairwise(core, None, "topic", "id", _links(least), "a bigint, b bigint", half=True)
+    links = durable(links.unionByName(links.select("topic", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = durable(core.select("topic", "id", F.col("id").alias("label")))
+    while True:
+        met = links.join(label.select("topic", F.col("id").alias("b"), F.col("label").alias("_l")), ["topic", "b"]).groupBy("topic", F.col("a").alias("id")).agg(F.min("_l").alias("_l"))
+        new = label.join(met, ["topic", "id"], "left").select("topic", "id", "label", F.least("label", F.coalesce("_l", "label")).alias("_new"))
+        ahead = label.select("topic", F.col("id").alias("_new"), F.col("label").alias("_to"))
+        new = durable(new.join(ahead, ["topic", "_new"]).select("topic", "id", F.col("label").alias("_old"), F.least("_new", "_to").alias("label")))
+        still = new.filter("label <> _old").isEmpty()
+        label = new.drop("_old")
+        if still:
+            break
+    border = pairwise(rest, core, "topic", "id", _nearest(least), "id bigint, core bigint, s double").groupBy("topic", "id").agg(F.max_by("core", F.struct("s", -F.col("core"))).alias("_c"))
+    joined = border.join(label.select("topic", F.col("id").alias("_c"), "label"), ["topic", "_c"]).select("topic", "id", "label")
+    return label.unionByName(joined)
+
+
+def _projected(items: DataFrame, n: int) -> DataFrame:
+    """The vectors among ``n`` principal components of their topic, from sums by topic; signs as in :func:`principal_components`."""
+    kind = items.schema["topic"].dataType.simpleString()
+    sums = _sums(items.withColumn("x", F.lit(1.0)), kind, lambda v, x: np.concatenate([[len(v)], v.sum(axis=0), (v.T @ v).ravel()]))
+
+    def axes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            maps, means = [], []
+            for s in b["_s"]:
+                d = int((np.sqrt(4 * len(s) - 3) - 1) / 2)
+                mean = s[1 : d + 1] / s[0]
+                _, found = np.linalg.eigh(s[d + 1 :].reshape(d, d) / s[0] - np.outer(mean, mean))
+                found = found[:, ::-1][:, :n]
+                maps.append((found * np.sign(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])])).ravel())
+                means.append(mean)
+            yield pd.DataFrame({"topic": b["topic"], "mean": means, "axes": maps})
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"topic": b["topic"], "id": b["id"], "vec": [(v - m) @ a.reshape(len(m), -1) for v, m, a in zip(b["vec"], b["mean"], b["axes"])]})
+
+    # One map a large topic.
+    maps = sums.mapInPandas(axes, f"topic {kind}, mean array<double>, axes array<double>")
+    return items.join(F.broadcast(maps), "topic").select("topic", "id", "vec", "mean", "axes").mapInPandas(project, f"topic {kind}, id bigint, vec array<double>")
+
+
 def cluster_medoids(items: DataFrame, least: float = 0.3, min_samples: int = 2, components: int = 0, most: int = LOCAL) -> DataFrame:
     """topic, id, cluster, n: of each density cluster the item nearest to its centre, clusters in order of their ids' mean.
 
-    With ``components`` the clusters are sought among that many principal components. A topic's clusters are sought
-    among the ``most`` items nearest to its mean, in which noise belongs to no cluster; every other item then joins the
-    cluster of the nearest medoid and is counted in ``n``, so no task holds more than ``most`` of a topic.
+    With ``components`` the clusters are sought among that many principal components. Noise belongs to no cluster.
+    Topics of up to ``most`` items are one task's matrix; larger ones are clustered by blocks, with equal results.
     """
-    near = top(_with_relevance(items), ["topic"], "relevance", ["id"], most).select("topic", "id", "vec")
+    small, large = split_by_size(items.select("topic", "id", "vec"), most)
 
     def medoids(ids: np.ndarray, vectors: np.ndarray, rows: pd.DataFrame) -> dict:
         u = units(vectors)
@@ -474,10 +570,17 @@ def cluster_medoids(items: DataFrame, least: float = 0.3, min_samples: int = 2,
             centre = u[own].mean(axis=0)
             found.append((float(ids[own].mean()), ids[own[np.argmax(np.round(u[own] @ centre, 12))]], len(own)))
         found.sort()
-        return {"id": [f[1] for f in found], "cluster": range(len(found)), "n": [f[2] for f in found], "vec": [vectors[np.flatnonzero(ids == f[1])[0]] for f in found]}
+        return {"id": [f[1] for f in found], "cluster": range(len(found)), "n": [f[2] for f in found]}
 
-    found = durable(_per_topic(near, medoids, "id bigint, cluster int, n bigint, vec array<double>"))
-    far = items.select("topic", "id", "vec").join(near.select("topic", "id"), ["topic", "id"], "left_anti")
-    joined = far.join(found.select("topic", "cluster", F.col("vec").alias("_m")), "topic").groupBy("topic", "id").agg(F.max_by("cluster", F.struct(cosine(F.col("vec"), F.col("_m")), -F.col("cluster"))).alias("cluster"))
-    more = joined.groupBy("topic", "cluster").agg(F.count(F.lit(1)).alias("_more"))
-    return found.join(more, ["topic", "cluster"], "left").select("topic", "id", "cluster", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n"))
+    out = _per_topic(small, medoids, "id bigint, cluster int, n bigint")
+    large = durable(large.withColumn("vec", F.coalesce(unit(F.col("vec")), F.transform("vec", lambda x: F.lit(0.0)))))
+    if large.isEmpty():
+        return out
+    label = durable(_labels(_projected(large, components) if components else large, least, min_samples))
+    own = large.join(label, ["topic", "id"])
+    centres = mean_vectors(own, ["topic", "label"], out="_centre")
+    near = F.round(dot(F.col("vec"), F.col("_centre")), 12)
+    # A large topic's clusters are sorted in one task: a row each.
+    found = own.join(centres, ["topic", "label"]).groupBy("topic", "label").agg(F.max_by("id", F.struct(near, -F.col("id"))).alias("id"), F.avg("id").alias("_at"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("topic").orderBy("_at", "id")
+    return out.unionByName(found.select("topic", "id", (F.row_number().over(order) - 1).alias("cluster"), "n"))

@@ -3,6 +3,7 @@
 import importlib
 import math
 import sys
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -238,6 +239,18 @@ def test_clusters(spark):
     assert sorted(r.n for r in whole.collect()) == [4, 8] and sum(r.n for r in rank_matrix.cluster_medoids(df, 0.5, most=10).collect()) == 12
 
 
+def test_clusters_of_large_topics(spark, monkeypatch):
+    monkeypatch.setattr(rank_matrix, "pairwise", partial(blocks.pairwise, size=16))
+    rng = np.random.default_rng(4)
+    centres = blocks.units(rng.normal(size=(4, 6)))
+    points = [c + rng.normal(0, 0.12, 6) for k, c in enumerate(centres) for _ in range((40, 25, 9, 5)[k])] + list(rng.normal(size=(12, 6)))
+    data = [("t", 1000 - 7 * i, [float(x) for x in p]) for i, p in enumerate(points)] + [("u", i, [1.0, i / 9, 0.0, 0.0, 0.0, 0.0]) for i in range(5)]
+    df = spark.createDataFrame(data, "topic string, id bigint, vec array<double>")
+    for args in ((0.9, 2, 0), (0.85, 4, 0), (0.999, 3, 2)):
+        whole = sorted(rank_matrix.cluster_medoids(df, *args).collect())
+        assert sorted(rank_matrix.cluster_medoids(df, *args, most=20).collect()) == whole and len(whole) > 3, args
+
+
 def test_fusion_of_models(spark):
     schema = "topic string, doc string, candidate string, score double"
     a = spark.createDataFrame([("t", "d", "x", 3.0), ("t", "d", "y", 1.0), (None, "e", "z", 2.0)], schema)
