@@ -29,13 +29,26 @@ def finite(c: str | Column) -> Column:
 def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, hot_rows: int = 200_000) -> DataFrame:
     """Inner join of rows with one row per key, where ``count`` says how many rows a key has.
 
-    A key with more than ``hot_rows`` rows would put them all into one task of a shuffle join. There are
-    at most (number of rows / hot_rows) such keys, so these alone are broadcast; all others take the
-    ordinary join. Null keys match nothing, as in any join. ``count`` itself is dropped.
+    A key with more than ``hot_rows`` rows would put them all into one task of a shuffle join. Its row is broadcast
+    instead and its rows stay where they are; what goes through the shuffle are the rows of the other keys alone.
+    Null keys match nothing, as in any join. ``count`` itself is dropped.
     """
     hot = groups.filter(F.col(count) > hot_rows).drop(count)
     cold = groups.filter(F.col(count) <= hot_rows).drop(count)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(cold, keys))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
+def spread_lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, hot_rows: int = 200_000) -> DataFrame:
+    """As :func:`lookup`, for rows of ``groups`` that are too large to broadcast.
+
+    A hot key's rows go to ceil(count / hot_rows) tasks in turn, and its row of ``groups`` to each of these. Only the
+    keys and numbers of tasks of hot keys are broadcast.
+    """
+    parts = F.ceil(F.col(count) / hot_rows).cast("int")
+    hot = groups.filter(F.col(count) > hot_rows).select(*keys, parts.alias("_parts"))
+    salted = rows.withColumn("_turn", F.monotonically_increasing_id()).join(F.broadcast(hot), keys, "left").withColumn("_turn", F.pmod("_turn", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return salted.join(groups.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count), [*keys, "_turn"]).drop("_turn")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import lookup, null_safe_key
+from ..functions.keys import null_safe_key
 from ..session import durable
 from .blocks import pairwise, units
 from .rank_doc import POSITION_FACTOR
-from .ranking import count_above
+from .ranking import HOT_VALUES, count_above, hot_groups
 
 #: ``k`` of reciprocal rank fusion.
 RRF_K = 60
@@ -26,25 +26,29 @@ def aggregate_scores(scores: DataFrame, how: str) -> DataFrame:
     return scores.groupBy("topic", "candidate").agg(of("score").alias("score"), F.count("score").alias("n_docs"))
 
 
-def mean_of_top_half(scores: DataFrame) -> DataFrame:
+def mean_of_top_half(scores: DataFrame, hot_rows: int = HOT_VALUES) -> DataFrame:
     """topic, candidate, score, n_docs: the mean of the scores that reach the candidate's median.
 
-    The median lies between the middle values where their number is even. It is found from counts of greater values,
-    so no task holds all scores of a candidate.
+    The median lies between the middle values where their number is even. A candidate with more than ``hot_rows``
+    scores has it from counts of greater values, so no task holds all of its scores.
     """
-    rows = scores.filter(F.col("score").isNotNull()).withColumn("_g", null_safe_key("topic", "candidate"))
-    counts = durable(rows.groupBy("_g", "score").agg(F.count(F.lit(1)).alias("_c")))
-    above = count_above(counts, "_g", "score", "_c")
-    sizes = counts.groupBy("_g").agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    placed = lookup(above, sizes.withColumn("_k2", F.col("_k")), ["_g"], "_k2")
-    begins = F.col("above")
-    covers = lambda p: (begins <= p) & (p < begins + F.col("_c"))
-    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    medians = placed.groupBy("_g").agg(((F.max(F.when(covers(low), F.col("score"))) + F.max(F.when(covers(high), F.col("score")))) / 2).alias("_median"), F.max("_n").alias("n_docs"), F.count(F.lit(1)).alias("_k"))
-    upper = lookup(counts, medians, ["_g"], "_k").filter(F.col("score") >= F.col("_median"))
-    means = upper.groupBy("_g").agg((F.sum(F.col("score") * F.col("_c")) / F.sum("_c")).alias("score"), F.max("n_docs").alias("n_docs"))
-    names = rows.groupBy("_g").agg(F.first("topic").alias("topic"), F.first("candidate").alias("candidate"))
-    return means.join(names, "_g").select("topic", "candidate", "score", "n_docs")
+    rows = scores.filter(F.col("score").isNotNull()).select("topic", "candidate", "score").withColumn("_g", null_safe_key("topic", "candidate"))
+    hot = hot_groups(rows, "_g", hot_rows)
+    whole = Window.partitionBy("topic", "candidate")
+    cold = rows if hot is None else rows.join(F.broadcast(hot), "_g", "left_anti")
+    upper = cold.withColumn("_median", F.expr("percentile(score, 0.5)").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
+    out = upper.groupBy("topic", "candidate").agg(F.avg(F.when(F.col("score") >= F.col("_median"), F.col("score"))).alias("score"), F.max("_n").alias("n_docs"))
+    if hot is None:
+        return out
+    counts = durable(rows.join(F.broadcast(hot), "_g", "left_semi").groupBy("topic", "candidate", "_g", "score").agg(F.count(F.lit(1)).alias("_c")))
+    above = count_above(counts, "_g", "score", "_c", hot_rows)
+    # One row for each hot candidate from here on: they are broadcast.
+    sizes = F.broadcast(counts.groupBy("_g").agg(F.sum("_c").alias("_n")))
+    covers = lambda p: (F.col("above") <= p) & (p < F.col("above") + F.col("_c"))
+    middle = lambda p: F.max(F.when(covers(p), F.col("score")))
+    medians = above.join(sizes, "_g").groupBy("_g").agg(((middle(F.floor((F.col("_n") - 1) / 2)) + middle(F.floor(F.col("_n") / 2))) / 2).alias("_median"), F.max("_n").alias("_n"))
+    upper = counts.join(F.broadcast(medians), "_g").filter(F.col("score") >= F.col("_median"))
+    return out.unionByName(upper.groupBy("topic", "candidate").agg((F.sum(F.col("score") * F.col("_c")) / F.sum("_c")).alias("score"), F.max("_n").alias("n_docs")))
 
 
 def average_rank(scores: DataFrame, keys: Sequence[str], score: str = "score") -> Column:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from phraselode.functions import stem, text, vectors
 from phraselode.functions.geodesic import haversine_km, vincenty_km
-from phraselode.functions.keys import lookup, null_safe_key
+from phraselode.functions.keys import lookup, null_safe_key, spread_lookup
 from phraselode.operators import blocks, chunking, embedding, evaluate, geo, masking, nearby, rank_doc, rank_matrix, rank_topic
 from phraselode.operators.ranking import count_above
 from pyspark.sql import functions as F
@@ -39,6 +39,37 @@ def test_lookup_of_hot_keys_equals_a_join(spark):
     assert lookup(left, groups, ["k"], "n", 50).count() == 500
 
 
+def shuffled_rows(df) -> int:
+    """How many rows all shuffles of a query write."""
+    conf, names = df.sparkSession.conf, ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    kept = [conf.get(n) for n in names]
+    for n, v in zip(names, ("false", "-1")):
+        conf.set(n, v)
+    try:
+        df.collect()
+        total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Exchange":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return total
+    finally:
+        for n, v in zip(names, kept):
+            conf.set(n, v)
+
+
+def test_rows_of_hot_keys_do_not_go_through_the_shuffle(spark):
+    left = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") < 39_000, 0).otherwise(F.col("id") % 400).alias("k"), "id")
+    groups = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert shuffled_rows(lookup(left, groups, ["k"], "n", 1000)) < 5_000 < 39_000 < shuffled_rows(lookup(left, groups, ["k"], "n"))
+    # Where the other side is too large to broadcast, a hot key's rows are dealt out.
+    spread = spread_lookup(left, groups.withColumn("name", F.col("k")), ["k"], "n", 1000)
+    assert rows(spread.select("k", "id"), "id") == rows(left, "id")
+    per_task = spread.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert per_task <= 2 * 40_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("hot", [5, 100_000])
 def test_count_above(spark, hot):
     rng = np.random.default_rng(0)
