@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity with items that are not split unless they exceed it.
 
 Method: sum-of-squares packing. With N(g) open containers that have room g left, an item goes to the room for
-which the sum of N(g) squared becomes smallest. A task packs its own items; what its open containers hold at the
-end, a bounded rest, goes on to a few tasks of a next round, and so on until one round closes everything.
+which the sum of N(g) squared becomes smallest. A task packs its own items, in an order drawn by hash, and keeps a
+bounded number of containers of each room open. Of what is open at the end, a bounded number of items goes on to
+the fewer tasks of a next round, the rest stays as it is.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from pyspark.sql import types as T
 from ..functions.keys import union_all
 from ..session import durable
 
+#: Open containers of one room that a task keeps: in a random order more are met only where nothing can fill them.
+OPEN = 512
+#: Items that a task passes on to the next round.
+PASSED = 2048
+
 
 class SumOfSquares:
     """Open containers by the room they have left."""
@@ -59,6 +65,11 @@ class SumOfSquares:
             counts[left] += 1
         return number, left
 
+    def close_oldest(self, room: int) -> int:
+        """Takes the container that has had this room longest out of the open ones."""
+        self.counts[room] -= 1
+        return self.open[room].pop(0)
+
 
 def pack(sizes: list[int], capacity: int) -> list[int]:
     """The container of each item, in the order given."""
@@ -66,42 +77,85 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     return [bins.put(s)[0] for s in sizes]
 
 
-def _columns(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+class Task:
+    """Packs one task's rows and gives each out with its container as soon as that closes."""
+
+    def __init__(self, capacity: int, most_open: int = OPEN):
+        self.bins, self.most_open = SumOfSquares(capacity), most_open
+        self.held: dict[int, list[tuple]] = {}
+        self.full: int | None = None  # the last container closed: rows without size go there
+        self.empty: list[tuple] = []
+
+    def put(self, row: tuple, size: int) -> list[tuple]:
+        """The rows, with their container, of a container that this one closes."""
+        if not size:
+            if self.full is not None:
+                return [(*row, self.full)]
+            self.empty.append(row)
+            return []
+        number, left = self.bins.put(size)
+        self.held.setdefault(number, []).append(row)
+        if left and len(self.bins.open[left]) > self.most_open:
+            number, left = self.bins.close_oldest(left), 0
+        return [] if left else self._close(number)
+
+    def _close(self, number: int) -> list[tuple]:
+        self.full = number
+        rows = [*self.held.pop(number, ()), *self.empty]
+        self.empty = []
+        return [(*r, number) for r in rows]
+
+    def finish(self, spare: int, passed: int) -> list[tuple]:
+        """The rows left, with the container or, for up to ``passed`` rows of those with most room, None: they go on."""
+        out: list[tuple] = []
+        left = [(room, n) for room in range(self.bins.capacity, 0, -1) for n in self.bins.open[room]]
+        for room, n in left:
+            passed -= len(self.held.get(n, ()))
+            if room <= spare or passed < 0:
+                out += self._close(n)
+            else:
+                out += [(*r, None) for r in self.held.pop(n)]
+        if self.empty:  # nothing closed: they have a container of their own
+            out += self._close(self.bins.made)
+        return out
+
+
+def _columns(rows: list[tuple], kind: pa.DataType, base: int) -> pa.RecordBatch:
     parts = zip(*rows) if rows else ([],) * 5
     kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(parts, kinds)], ["_id", "part", "tok_start", "n_tokens", "container"])
+    columns = [list(x) for x in parts]
+    columns[4] = [None if n is None else base | n for n in columns[4]]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["_id", "part", "tok_start", "n_tokens", "container"])
 
 
-def _round(capacity: int, number: int, last: bool, spare: int):
+def _round(capacity: int, number: int, last: bool, spare: int, most_open: int, passed: int):
     """Packs a task's rows (_id, part, tok_start, n_tokens); container is null for the rows that go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = (number << 56) | (TaskContext.get().partitionId() << 32)
-        bins, held, kind = SumOfSquares(capacity), {}, None
+        base, task, kind = (number << 56) | (TaskContext.get().partitionId() << 32), Task(capacity, most_open), None
         for batch in batches:
             kind, done = batch.schema.field(0).type, []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                at, left = bins.put(row[3])
-                held.setdefault(at, []).append(row)
-                if not left:
-                    done += [(*r, base | at) for r in held.pop(at)]
-            yield _columns(done, kind)
+                done += task.put(row, row[3])
+            yield _columns(done, kind, base)
         if kind is not None:
-            yield _columns([(*r, base | at if last or room <= spare else None) for room in range(1, capacity + 1) for at in bins.open[room] for r in held[at]], kind)
+            yield _columns(task.finish(spare, 0 if last else passed), kind, base)
 
     return run
 
 
-def fill_containers(sizes: DataFrame, id_col: str, size_col: str, capacity: int, spare: int | None = None, narrowing: int = 16) -> DataFrame:
+def fill_containers(sizes: DataFrame, id_col: str, size_col: str, capacity: int, spare: int | None = None, narrowing: int = 16, most_open: int = OPEN, passed: int = PASSED) -> DataFrame:
     """``id_col``, part, tok_start, n_tokens, container: every row of ``sizes`` is in a container of ``capacity``.
 
     A row above the capacity is split: parts of exactly the capacity, each alone in a container, and the rest as an
     item. Others are part 0. Null and zero sizes take no room and share a container with others. Ids may be null
-    or repeated. A container with at most ``spare`` left (capacity / 200 by default) isn't opened again in a later
-    round; each round has a ``narrowing``-th of the tasks of the one before, the last has one, which gets the open
-    containers of at most ``narrowing`` tasks.
+    or repeated. A task keeps up to ``most_open`` containers of each room open; a container with at most ``spare``
+    left (capacity / 200 by default) isn't opened again in a later round. A round has a ``narrowing``-th of the tasks
+    of the one before, each of which passes on at most ``passed`` items: no task of a later round, the last with one
+    task included, gets more than narrowing x passed rows, whether or not the items fit together. Which items share
+    a container depends on how the input is partitioned.
     """
     spare = capacity // 200 if spare is None else spare
     size = F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0))
@@ -110,14 +164,17 @@ def fill_containers(sizes: DataFrame, id_col: str, size_col: str, capacity: int,
     start = F.col("part").cast("bigint") * capacity
     items = rows.select("_id", "part", start.alias("tok_start"), F.least(F.lit(capacity), F.col("_size") - start).cast("bigint").alias("n_tokens"))
     schema = T.StructType([*items.schema.fields, T.StructField("container", T.LongType())])
+    # The method's bounds hold for sizes in random order; this one is the same in a rerun, and nothing leaves its task.
+    items = items.sortWithinPartitions(F.xxhash64("_id", "part", "n_tokens"))
     out, number, tasks = [], 0, None
     while True:
-        packed = durable(items.mapInArrow(_round(capacity, number, tasks == 1, spare), schema))
+        packed = durable(items.mapInArrow(_round(capacity, number, tasks == 1, spare, most_open, passed), schema))
         out.append(packed.filter(F.col("container").isNotNull()))
         if tasks == 1:
             break
         tasks = max(1, -(-packed.rdd.getNumPartitions() // narrowing))
         number += 1
-        # Big items first leaves the small ones to close what is open; the order also makes a round repeatable.
-        items = packed.filter(F.col("container").isNull()).drop("container").repartition(tasks, "_id", "part").sortWithinPartitions(F.desc("n_tokens"), "_id", "part")
+        # Big items first leaves the small ones to close what is open; the order also makes a round repeatable. The
+        # rows that go on are read from neighbouring parts of what was written, without a shuffle.
+        items = packed.filter(F.col("container").isNull()).drop("container").coalesce(tasks).sortWithinPartitions(F.desc("n_tokens"), "_id", "part")
     return union_all(out).withColumnRenamed("_id", id_col)

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from phraselode.llm import encode, packing, perplexity, pieces, repetition
 from phraselode.llm.sentences import Corpus
+from pyspark.sql import functions as F
 
 DOCS = "doc_id bigint, text string, lang string, ids string, key string, _id string, part string, share string"
 
@@ -80,6 +81,31 @@ def test_containers(spark):
     assert packing.fill_containers(df.limit(0), "doc_id", "n", 100).count() == 0
 
 
+@pytest.mark.parametrize("low,high", [(1025, 1025), (1500, 1500), (1, 2048), (0, 3)])
+def test_what_a_task_keeps_and_passes_on_is_bounded(low, high):
+    sizes = np.random.default_rng(4).integers(low, high + 1, 5000).tolist()
+    task, out, kept = packing.Task(2048, most_open=64), [], 0
+    for i, size in enumerate(sizes):
+        out += task.put((i, size), size)
+        kept = max(kept, int(task.bins.counts.max()))
+    rest = task.finish(10, 100)
+    assert kept <= 64 + 1 and sum(1 for r in rest if r[2] is None) <= 100
+    assert sorted(r[0] for r in out + rest) == list(range(5000))
+    filled = collections.Counter()
+    for _, size, at in out + rest:
+        filled[at] += size if at is not None else 0
+    assert max(filled.values()) <= 2048
+
+
+def test_items_that_do_not_fit_together_are_not_carried_along(spark):
+    df = spark.range(0, 20_000, 1, 64).select(F.col("id").alias("doc_id"), F.lit(1025).alias("n"))
+    rows = packing.fill_containers(df, "doc_id", "n", 2048, narrowing=4)
+    assert rows.select("doc_id").distinct().count() == rows.count() == rows.select("container").distinct().count() == 20_000
+    # Items that complete one another find their like although a task keeps few of each.
+    pairs = df.withColumn("n", F.when(F.col("doc_id") % 2 == 0, 1025).otherwise(1023))
+    assert packing.fill_containers(pairs, "doc_id", "n", 2048, narrowing=4).select("container").distinct().count() <= 10_000 * 1.07
+
+
 def test_repeated_share(spark):
     unit = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=60))
     texts = [None, "", "…", "short", unit, unit + " - " + unit.upper(), "A" * 40, unit[:29] * 1 + "zz" + unit[:29], "x" + unit + "\n" + unit * 3, unit]
