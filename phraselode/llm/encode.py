@@ -2,10 +2,11 @@
 
 Method: overlapping chunk encoding. A long text is cut into chunks that overlap; every chunk is pre-tokenised
 by itself, in parallel; two neighbours are stitched at the first pre-token boundary that both have in their
-overlap, since from there on a left-to-right pre-tokeniser goes on alike; then the pieces between the stitches
-are encoded. A text that fits into one chunk is one piece and needs no stitch. A text that has a seam without a
-common boundary (a run of one kind of character longer than the overlap) is one piece as a whole, so the ids
-are exact in every case.
+overlap and where the pre-tokeniser resynchronises: where a run of letters, digits or other marks ends, every parse
+has a boundary, wherever it began. Then the pieces between the stitches are encoded. A text that fits into one chunk
+is one piece and needs no stitch. Chunks whose overlap has no such boundary (a run of one kind of character longer
+than the overlap) are one piece together, so the ids are exact in every case. Copies of a chunk merge where they are
+read, before anything is pre-tokenised.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import spread_lookup
+from ..session import durable
 from .arrow_text import slices, strings
 
 #: Where the vocabulary files of public tokenizers lie, on every executor.
@@ -29,7 +32,13 @@ BYTE_BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that this public vocabulary's pre-tokeniser uses.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# No alternative of the pattern goes on behind letters but with letters, behind digits but with digits, or from other
+# marks to white space: such a place is a boundary of every parse.
+RESYNC = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=\s)"
+
 CHUNK, OVERLAP = 8192, 512
+#: Copies of one long text whose rows a task gets.
+COPIES = 1000
 
 _loaded: dict[str, object] = {}
 
@@ -56,13 +65,17 @@ def decode(ids, path: str = BYTE_BPE_50K) -> str:
     return tokenizer(path).decode_bytes([int(i) for i in ids]).decode("utf-8", "replace")
 
 
-def boundaries(text: str) -> list[int]:
-    """Where the text's pre-tokens begin."""
-    if "pattern" not in _loaded:
+def _compiled(pattern: str):
+    if pattern not in _loaded:
         import regex
 
-        _loaded["pattern"] = regex.compile(PATTERN)
-    return [m.start() for m in _loaded["pattern"].finditer(text)]
+        _loaded[pattern] = regex.compile(pattern)
+    return _loaded[pattern]
+
+
+def boundaries(text: str) -> list[int]:
+    """Where the text's pre-tokens begin."""
+    return [m.start() for m in _compiled(PATTERN).finditer(text)]
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -84,92 +97,106 @@ def _with_ids(path: str, keep: list[str]):
 
 
 def _chunks(chunk: int, overlap: int):
-    """Cuts each text into overlapping chunks: key, number, count, offset, text."""
+    """Cuts each text into overlapping chunks: key, number, offset, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                starts = range(0, len(text), chunk)
-                for few in itertools.batched(enumerate(starts), 64):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(few)), pa.array([k for k, _ in few], pa.int32()), pa.array([len(starts)] * len(few), pa.int32()), pa.array([s for _, s in few], pa.int64()), pa.array([text[s : s + chunk + overlap] for _, s in few])],
-                        ["key", "chunk", "chunks", "begin", "text"],
-                    )
+                for few in itertools.batched(enumerate(range(0, len(text), chunk)), 64):
+                    columns = [pa.array([key] * len(few), pa.binary()), pa.array([k for k, _ in few], pa.int32()), pa.array([s for _, s in few], pa.int64()), pa.array([text[s : s + chunk + overlap] for _, s in few])]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "chunk", "begin", "text"])
 
     return run
 
 
 def _seams(chunk: int, overlap: int):
-    """Pre-tokenises each chunk; keeps the boundaries in its first and last ``overlap`` characters.
-
-    Boundaries behind which the pre-tokeniser has not yet seen a further character are left out of the tail:
-    what follows the chunk could still move them. The last token's end is such a one, its start is not.
-    """
+    """Pre-tokenises each chunk; keeps the resynchronising boundaries in its first and last ``overlap`` characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
             heads, tails = [], []
-            for begin, text in zip(batch.column(3).to_pylist(), strings(batch.column(4))):
-                at = boundaries(text)
-                heads.append([begin + p for p in at if p < overlap])
-                tails.append([begin + p for p in at if p >= chunk])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["key", "chunk", "chunks", "head", "tail"])
+            for begin, text in zip(at["begin"].to_pylist(), strings(at["text"])):
+                own = set(boundaries(text))
+                found = lambda low, high: [begin + m.start() for m in _compiled(RESYNC).finditer(text, low, min(high + 1, len(text))) if m.start() in own and m.start() < high]  # noqa: B023, E731
+                heads.append(found(0, overlap)), tails.append(found(chunk - 1, chunk + overlap))
+            yield pa.RecordBatch.from_arrays([at["key"], at["chunk"], pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["key", "chunk", "head", "tail"])
+
+    return run
+
+
+def _encode_parts(path: str):
+    """Cuts each chunk's text to its own part, from the stitch behind it to the one before it, or where the next chunk
+    begins. A part that is a piece is encoded, others keep their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                at = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+                own = [t[f - b : e - b] for t, b, f, e in zip(strings(at["text"]), *(at[n].to_pylist() for n in ("begin", "cut_from", "cut_to")))]
+                alone = [n == 1 for n in at["in_piece"].to_pylist()]
+                ids = _lists([encode(t if x else None, path) for t, x in zip(own, alone)])
+                yield pa.RecordBatch.from_arrays([at["key"], at["n"], at["piece"], at["chunk"], ids, pa.array([None if x else t for t, x in zip(own, alone)], pa.string())], ["key", "n", "piece", "chunk", "ids", "text"])
 
     return run
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts each chunk's text to the piece between its two stitches."""
-    for batch in batches:
-        at = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("begin", "cut_from", "cut_to")}
-        texts = strings(batch.column(batch.schema.get_field_index("text")))
-        cut = [t[(0 if f is None else f - b) : (None if e is None else e - b)] for t, b, f, e in zip(texts, at["begin"], at["cut_from"], at["cut_to"])]
-        keep = ["key", "chunk"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(cut, pa.string())], [*keep, "text"])
+def _assemble(path: str):
+    """The ids of each text from its parts in order; parts of one piece that have texts are joined and encoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, lists = [], batch.column(2)
+            for i in range(batch.num_rows):
+                parts = lists[i].values
+                pieces, ids, texts, done = parts.field("piece").to_pylist(), parts.field("ids"), strings(parts.field("text")), []
+                begin = 0
+                for end in range(1, len(pieces) + 1):
+                    if end == len(pieces) or pieces[end] != pieces[begin]:
+                        done.append(ids[begin].values.to_numpy() if texts[begin] is None else encode("".join(texts[begin:end]), path))
+                        begin = end
+                out.append(np.concatenate(done))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(out)], ["key", "n", "ids"])
+
+    return run
 
 
 def _long_texts(rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """key, ids for rows of key, text; a key may come several times, always with the same text."""
-    chunks = rows.mapInArrow(_chunks(chunk, overlap), "key string, chunk int, chunks int, begin bigint, text string").repartition("key", "chunk")
-    seams = chunks.mapInArrow(_seams(chunk, overlap), "key string, chunk int, chunks int, head array<bigint>, tail array<bigint>").dropDuplicates(["key", "chunk"])
+    """key, ids, n for rows of key, text; a key may come ``n`` times, always with the same text."""
+    cut_up = rows.mapInArrow(_chunks(chunk, overlap), "key binary, chunk int, begin bigint, text string").filter("key IS NOT NULL AND chunk IS NOT NULL")
+    # Read twice, shuffled once: both readers take all columns, so that the second reuses the exchange.
+    chunks = cut_up.groupBy("key", "chunk").agg(F.first("begin").alias("begin"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    seams = chunks.mapInArrow(_seams(chunk, overlap), "key binary, chunk int, head array<bigint>, tail array<bigint>")
     by_doc = Window.partitionBy("key").orderBy("chunk")
     cuts = (
-        seams.withColumn("cut_to", F.array_min(F.array_intersect("tail", F.lead("head").over(by_doc))))
-        .withColumn("cut_from", F.lag("cut_to").over(by_doc))
-        .withColumn("stitched", F.count("cut_to").over(Window.partitionBy("key")) == F.col("chunks") - 1)
-        .select("key", "chunk", "cut_from", "cut_to", "stitched")
-    )
-    pieces = (
-        chunks.join(cuts.filter("stitched").drop("stitched"), ["key", "chunk"])
-        .select("key", "chunk", "begin", "cut_from", "cut_to", "text")
-        .mapInArrow(_pieces, "key string, chunk int, text string")
-        .mapInArrow(_with_ids(path, ["key", "chunk"]), "key string, chunk int, ids array<int>")
-        .groupBy("key")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    )
-    whole = (
-        rows.join(cuts.filter("NOT stitched AND chunk = 0").select("key"), "key", "left_semi")
-        .dropDuplicates(["key"])
-        .select("key", "text")
-        .mapInArrow(_with_ids(path, ["key"]), "key string, ids array<int>")
+        seams.withColumn("stitch", F.array_min(F.array_intersect("tail", F.lead("head").over(by_doc))))
+        .withColumn("before", F.lag("stitch").over(by_doc))
+        .withColumn("piece", F.count("before").over(by_doc))
+        .withColumn("in_piece", F.count(F.lit(1)).over(Window.partitionBy("key", "piece")))
+        .select("key", "chunk", "piece", "in_piece", F.coalesce("before", F.col("chunk").cast("bigint") * chunk).alias("cut_from"), F.coalesce("stitch", (F.col("chunk").cast("bigint") + 1) * chunk).alias("cut_to"))
     )
-    return pieces.unionByName(whole)
+    parts = chunks.join(cuts, ["key", "chunk"]).mapInArrow(_encode_parts(path), "key binary, n bigint, piece bigint, chunk int, ids array<int>, text string")
+    # Parts of pieces of several chunks are rare, and the only texts that are shuffled again.
+    gathered = parts.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("chunk", "piece", "ids", "text"))).alias("parts"))
+    return gathered.mapInArrow(_assemble(path), "key binary, n bigint, ids array<int>")
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE_50K, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE_50K, chunk: int = CHUNK, overlap: int = OVERLAP, copies: int = COPIES) -> DataFrame:
     """``id_col``, ids: one row for every row of ``docs``, in no order.
 
     Null and empty texts have the empty list. Null and repeated ids stay as they are. Other columns of ``docs``
-    are not read. No special tokens; their strings in a text are ordinary text.
+    are not read. No special tokens; their strings in a text are ordinary text. Copies of a text longer than
+    ``chunk`` are encoded once; a task puts the ids to at most about ``copies`` of its rows.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     of_type = rows.schema["_id"].dataType.simpleString()
     is_long: Column = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = rows.filter(~is_long).mapInArrow(_with_ids(path, ["_id"]), f"_id {of_type}, ids array<int>")
-    # A long text is known by its digest: copies are encoded once, and their rows join the result again.
-    long = rows.filter(is_long).withColumn("key", F.sha2("text", 256))
-    ids = _long_texts(long.select("key", "text"), path, chunk, overlap)
-    out = short.unionByName(long.select("_id", "key").join(ids, "key").select("_id", "ids"))
+    # A long text is known by its digest: its rows join the result again.
+    long = rows.filter(is_long).withColumn("key", F.unhex(F.sha2("text", 256)))
+    # Written once: both the join and the search for texts with many copies read it.
+    encoded = durable(_long_texts(long.select("key", "text"), path, chunk, overlap))
+    out = short.unionByName(spread_lookup(long.select("_id", "key"), encoded, ["key"], "n", copies).select("_id", "ids"))
     return out.select(F.col("_id").alias(id_col), "ids")
 
 

@@ -28,6 +28,40 @@ def test_chunks_give_the_ids_of_the_whole(spark):
     assert got == {i: encode.encode(t).tolist() for i, t in enumerate(texts)}
 
 
+def test_every_parse_has_the_resynchronising_boundaries():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices("ab1's  ?\n汉é…", k=60))
+        own = set(encode.boundaries(text))
+        sure = {m.start() for m in encode._compiled(encode.RESYNC).finditer(text)}
+        assert sure <= own
+        for begin in range(1, 59):
+            assert {p for p in sure if p > begin} <= {begin + p for p in encode.boundaries(text[begin:])}
+
+
+def test_copies_of_a_long_text_are_encoded_once(spark):
+    text = LONG[0]
+    df = spark.createDataFrame([(i, text) for i in range(300)], "doc_id bigint, text string").repartition(4)
+    counted = spark.sparkContext.accumulator(0)
+    kept = encode._encode_parts
+
+    def counting(path):
+        def run(batches):
+            for b in batches:
+                counted.add(b.num_rows)
+                yield from kept(path)([b])
+
+        return run
+
+    encode._encode_parts = counting
+    try:
+        rows = encode.encode_documents(df, chunk=1024, overlap=64, copies=20).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        encode._encode_parts = kept
+    assert counted.value == -(-len(text) // 1024)
+    assert len(rows) == 300 and {tuple(r.ids) for r in rows} == {tuple(encode.encode(text).tolist())}
+
+
 def test_null_and_repeated_ids_stay(spark):
     texts = [LONG[0], LONG[0], LONG[1], "a", None]
     got = encode.encode_documents(docs(spark, texts, [None, 1, 1, None, 1]), chunk=256, overlap=48).collect()
