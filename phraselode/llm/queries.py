@@ -85,18 +85,24 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.repeated_share(_table(spark, folder, "documents")).filter(F.col("share") >= 1 / 3).select("doc_id")
+    """What the language's lower band of perplexity rejects, and then has a third of its characters repeated by exact count."""
+    judged = repetition.self_perplexity(_table(spark, folder, "documents"), share=1 / 3)
+    return judged.filter((F.col("band") == "low") & (F.col("share") >= 1 / 3)).select("doc_id")
 
 
 def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repeated_share(_table(spark, folder, "documents"))
 
 
+def p10_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.self_perplexity(_table(spark, folder, "documents")).withColumns({c: F.round(c, 6) for c in ("share", "perplexity")})
+
+
 def p10_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.document_perplexity(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_points, p3_found, p3_counts, p4_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share, p10_perplexity)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_points, p3_found, p3_counts, p4_found, p6_found, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_share, p10_bands, p10_perplexity)}
 
 _CELLS = "(SELECT topic, doc, candidate AS term, sum(n) AS n FROM (SELECT DISTINCT topic, doc, candidate, n FROM incidence WHERE candidate IS NOT NULL AND n >= 1) GROUP BY 1, 2, 3)"
 

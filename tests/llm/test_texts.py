@@ -151,6 +151,49 @@ def test_repeated_share(spark):
     assert repetition.repeated_share(docs(spark, [])).count() == 0
 
 
+def brute_cells(text, run):
+    """Of each character with a context: r, m, k1, k2, k3 without the character itself."""
+    low, out = [c for c in text.lower() if c.isalnum()], []
+    for i in range(run - 1, len(low)):
+        context = low[i - run + 1 : i]
+        others = collections.Counter(low[j] for j in range(run - 1, len(low)) if j != i and low[j - run + 1 : j] == context)
+        if others:
+            out.append((others[low[i]], sum(others.values()), *(sum(1 for n in others.values() if (n == k if k < 3 else n >= 3)) for k in (1, 2, 3))))
+    return collections.Counter(out)
+
+
+@given(st.lists(st.text("ab c"), max_size=4))
+@settings(deadline=None)
+def test_what_predicts_characters(texts):
+    times, cells, n = repetition.Runs(texts, 4).cells()
+    for d, text in enumerate(texts):
+        assert {tuple(c[1:].tolist()): k for c, k in zip(cells, n) if c[0] == d} == dict(brute_cells(text, 4))
+        low = "".join(c for c in text if c.isalnum())
+        found = collections.Counter(collections.Counter(low[i : i + 4] for i in range(len(low) - 3)).values())
+        assert times[:, d].tolist() == [found[k] for k in (1, 2, 3, 4)]
+
+
+def test_the_lower_band_rejects_every_text_that_repeats_a_third(spark):
+    rng, texts = random.Random(6), [None, "", "…", "short"]
+    fresh = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for pieces_of in (30, 31, 45, 200):
+        for share in (0.0, 0.34, 0.4, 0.9):
+            # Each repeated stretch occurs twice only, with other text around: the least favourable form.
+            units = [fresh(pieces_of) for _ in range(8)]
+            new = int(16 * pieces_of / 2 / max(share, 0.05)) - 8 * pieces_of - 8 * pieces_of if share else 400
+            texts.append("".join(u + fresh(max(1, new // 16)) for u in units + (units if share else [])))
+    texts += ["a" * 100, "ab" * 60, "x" * 29, "0" * 31, fresh(60) * 20]
+    got = {r.doc_id: r for r in repetition.self_perplexity(docs(spark, texts)).collect()}
+    assert len(got) == len(texts) and [got[i].band for i in range(4)] == ["none"] * 3 + ["kept"]
+    for i, t in enumerate(texts):
+        low = np.array([ord(c) for c in (t or "").lower() if c.isalnum()], np.uint32)
+        assert (got[i].n_kept, got[i].n_repeated) == (len(low), repetition._plain(low, 30))
+        assert got[i].share < 1 / 3 or got[i].band == "low"
+        assert got[i].n_repeated or got[i].band != "low"
+    assert sum(1 for r in got.values() if r.share >= 1 / 3) > 10
+    assert repetition.self_perplexity(docs(spark, []), lang_col=None).count() == 0
+
+
 @given(st.lists(st.text("ab c"), max_size=6))
 @settings(deadline=None)
 def test_repetition_against_brute_force(texts):
