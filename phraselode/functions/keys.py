@@ -39,16 +39,30 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, hot_
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
+def hot_keys(counts: DataFrame, keys: list[str], count: str, hot_rows: int) -> DataFrame:
+    """keys, _parts of the keys with more than ``hot_rows`` rows: the number of tasks that these are dealt out to."""
+    return counts.filter(F.col(count) > hot_rows).select(*keys, F.ceil(F.col(count) / hot_rows).cast("int").alias("_parts"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with _turn: those of a hot key in turn 0 to _parts - 1, others 0. The hot keys are broadcast, without anything else."""
+    turned = rows.withColumn("_turn", F.monotonically_increasing_id()).join(F.broadcast(hot), keys, "left")
+    return turned.withColumn("_turn", F.pmod("_turn", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+
+
+def copied(groups: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, copied for every _turn of it."""
+    return groups.join(F.broadcast(hot), keys, "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+
 def spread_lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, hot_rows: int = 200_000) -> DataFrame:
     """As :func:`lookup`, for rows of ``groups`` that are too large to broadcast.
 
     A hot key's rows go to ceil(count / hot_rows) tasks in turn, and its row of ``groups`` to each of these. Only the
     keys and numbers of tasks of hot keys are broadcast.
     """
-    parts = F.ceil(F.col(count) / hot_rows).cast("int")
-    hot = groups.filter(F.col(count) > hot_rows).select(*keys, parts.alias("_parts"))
-    salted = rows.withColumn("_turn", F.monotonically_increasing_id()).join(F.broadcast(hot), keys, "left").withColumn("_turn", F.pmod("_turn", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    return salted.join(groups.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count), [*keys, "_turn"]).drop("_turn")
+    hot = hot_keys(groups, keys, count, hot_rows)
+    return dealt(rows, hot, keys).join(copied(groups, hot, keys).drop(count), [*keys, "_turn"]).drop("_turn")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
