@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encode as tokens
-from .arrow_text import slices, strings
-from .sentences import Corpus, of_row, paragraphs, sentence_units, with_statistics
+from .sentences import Corpus, document_units, paragraphs, with_statistics
 
 LIMIT, OVERLAP = 2000, 200
 LEVELS = ("paragraph", "sentence", "word", "none")
@@ -44,13 +43,13 @@ def token_prefix(text: str, path: str = tokens.BYTE_BPE_50K) -> list[int]:
     return sizes
 
 
-def spans_at(text: str, level: str, corpus: Corpus, prefix: Sequence[int], limit: int, overlap: int = 0) -> Spans:
+def spans_at(text: str, level: str, corpus: Corpus | dict[str, int], prefix: Sequence[int], limit: int, overlap: int = 0) -> Spans:
     """The parts of a text at a level. At ``none`` they are the stretches without white space, those above the limit
     cut so that a piece has room for the overlap and the next part."""
     if level == "paragraph":
         return paragraphs(text)
     if level == "sentence":
-        return sentence_units(text, corpus)
+        return document_units(text, corpus.said if isinstance(corpus, Corpus) else corpus)
     words = [m.span() for m in _WORD.finditer(text)]
     if level == "word":
         return words
@@ -65,7 +64,7 @@ def spans_at(text: str, level: str, corpus: Corpus, prefix: Sequence[int], limit
     return out
 
 
-def coarsest(text: str, corpus: Corpus, prefix: Sequence[int], limit: int, overlap: int) -> tuple[str, Spans]:
+def coarsest(text: str, corpus: Corpus | dict[str, int], prefix: Sequence[int], limit: int, overlap: int) -> tuple[str, Spans]:
     """The coarsest level at which every part is within the limit, and its parts."""
     for level in LEVELS[:-1]:
         spans = spans_at(text, level, corpus, prefix, limit)
@@ -105,22 +104,15 @@ def cut(text: str, spans: Spans, prefix: Sequence[int], limit: int, overlap: int
         begin = max(begin, out[-1][0] + 1) if begin < after else after
 
 
-def _pieces(limit: int, overlap: int, corpus: Corpus, measure):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                rows, part, begins, ends, levels = [], [], [], [], []
-                for i, (text, words) in enumerate(zip(strings(batch.column(1)), batch.column(2).to_pylist())):
-                    prefix = measure(text)
-                    if prefix[len(text)] <= limit:
-                        continue
-                    level, spans = coarsest(text, of_row(corpus, words), prefix, limit, overlap)
-                    for k, (a, b) in enumerate(cut(text, spans, prefix, limit, overlap) or [(0, 0)]):
-                        rows.append(i), part.append(k), begins.append(a), ends.append(b), levels.append(level)
-                cols = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(part, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(levels, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["_id", "part", "piece_start", "piece_end", "boundary"])
+def _pieces(limit: int, overlap: int, measure):
+    def pieces(text: str, said: dict[str, int]) -> list[tuple]:
+        prefix = measure(text)
+        if prefix[len(text)] <= limit:
+            return []
+        level, spans = coarsest(text, said, prefix, limit, overlap)
+        return [(k, a, b, level) for k, (a, b) in enumerate(cut(text, spans, prefix, limit, overlap) or [(0, 0)])]
 
-    return run
+    return pieces
 
 
 def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, measure=char_prefix, corpus: Corpus | None = None) -> DataFrame:
@@ -135,7 +127,6 @@ def split_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("the overlap must be below the limit")
     whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     # No measure counts more than four units for a code point.
-    rows, corpus = with_statistics(whole.filter(F.length("text") > (limit if measure is char_prefix else limit // 4)), corpus, whole)
-    kind = rows.schema["_id"].dataType.simpleString()
-    out = rows.mapInArrow(_pieces(limit, overlap, corpus, measure), f"_id {kind}, part int, piece_start bigint, piece_end bigint, boundary string")
-    return out.withColumnRenamed("_id", id_col)
+    rows = whole.filter(F.length("text") > (limit if measure is char_prefix else limit // 4))
+    kinds = {"part": pa.int32(), "piece_start": pa.int64(), "piece_end": pa.int64(), "boundary": pa.string()}
+    return with_statistics(rows, whole, corpus, _pieces(limit, overlap, measure), kinds).withColumnRenamed("_id", id_col)

@@ -1,27 +1,31 @@
 """Sentence units of documents in many languages and scripts.
 
-Method: document-centred disambiguation. Well-known abbreviations are listed by whether a sentence can end with them.
-For other words, and for those that may end one, it counts what they and the next word do elsewhere: first in the
-document itself, and where that says nothing in the whole corpus, whose statistics Spark counts over all texts. The
-statistics of frequent words are sent to all tasks, those of the others are joined to the texts that ask for them. Scripts have their own end marks, and Thai ends a unit with white space.
+Method: document-centred disambiguation. Whether a word with a stop is an abbreviation and whether the next word is a
+name is settled by what both do elsewhere, where it is unambiguous: first in the document itself; where that says
+nothing, in the whole corpus, whose statistics Spark counts over all texts; where that says nothing either, by a list
+of well-known abbreviations. The statistics of frequent words are sent to all tasks. Texts whose decisions ask for rarer
+words that have statistics, which the first pass finds out, are split once more with those joined to them. Scripts have
+their own end marks, and Thai ends a unit with white space.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import ChainMap, Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import copied, dealt, hot_keys
 from ..session import durable
 from .arrow_text import slices, strings
 
-# Abbreviations that something always follows in the same sentence, by language, without the last stop.
+# Abbreviations that something always follows in the same sentence, by language, without the last stop. These lists are
+# the last resort, for words that neither the document nor the corpus knows.
 _FOLLOWED = """
 mr mrs ms messrs dr prof gen lt col maj sgt capt cpl adm cmdr st ft mt rev hon gov sen rep pres supt fig figs eq eqs
 sec secs vol vols no nos pp p ch art cf vs v approx ca i.e e.g viz resp est
@@ -34,7 +38,7 @@ tj tzn np m.in dr hab inż ks św ul al pl os prof mjr płk por rys tab zob
 د أ م
 डॉ श्री प्रो
 """
-# Abbreviations that may also be the last word of a sentence.
+# Abbreviations that may also be the last word of a sentence.
 _MAY_END = """
 etc a.m p.m am pm u.n u.s u.k u.s.a e.u d.c co inc ltd corp bros plc llc jr ph.d m.d b.a m.a b.sc m.sc dept univ
 jan feb mar apr jun jul aug sep sept oct nov dec mon tue tues wed thu thur thurs fri sat sun et al al min max avg
@@ -42,9 +46,9 @@ usw u.s.w ff e.v gmbh jh std
 itd itp r w
 т.д т.п др г гг в вв
 """
-# Abbreviations of a year or century; the name behind one goes on with the sentence.
+# Abbreviations of a year or century; the name behind one goes on with the sentence.
 _OF_YEAR = "r г гг w в вв"
-# German months, which follow an ordinal written with a stop.
+# German months, which follow an ordinal written with a stop.
 _MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember"
 
 FOLLOWED, MAY_END, OF_YEAR, MONTHS = (frozenset(x.split()) for x in (_FOLLOWED, _MAY_END, _OF_YEAR, _MONTHS))
@@ -56,6 +60,11 @@ LEAST = 5
 #: Share of all words counted from which a word's statistics are sent to all tasks; at most 1 / share words reach it.
 #: The others are joined to the texts, so it decides how they get there and nothing else.
 SENT_SHARE = 2e-5
+#: What the corpus says of a word: written in lower case; begins sentences; an abbreviation, by what follows its stop; a
+#: title, before names only; ordinary, though met with a stop; mostly before a capital; follows the stop of a number.
+COMMON, STARTER, ABBREVIATION, TITLE, ORDINARY, TENDS, ORDINAL = (1 << k for k in range(7))
+LISTED = 1 << 7  # an abbreviation by the list alone
+FIRM = 1 << 8  # an abbreviation that is hardly ever met before a capital
 
 _STOPS = ".!?…‽⁇⁈⁉"
 _WIDE = "。！？｡．⋯"
@@ -71,12 +80,10 @@ _NEXT = re.compile(r"[^\w\s]*([^\W_]+)")
 _BEFORE = re.compile(r"[^\s“”„«»‹›\"()\[\]（）「」—–,;:!?¿¡/]+$")
 _OPENERS = "(['‘“„\"«¿¡"
 _THAI = re.compile(r"[ก-๛]")
-_SPECIAL = FOLLOWED | MAY_END | OF_YEAR
-_STOP_CONTEXT = re.compile(r"(?:^|(?<=[\s(\[“„\"«'‘]))([^\W\d_](?:[\w'’-]|\.(?=\w))*)\.\s+[\"“„«'‘(\[¿¡]?(\w\w?)")
-_SEGMENTS = re.compile(r"(?<=[.!?…])\s+|\n\s*\n")
-_MARKS = re.compile(rf"[{_STOPS}؟۔]")
-_WORD = re.compile(r"[^\W_]+")
+_DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
 _STARTS = re.compile(r"(?:^|[!?…]\s+|[\n\r]\s*[\n\r]\s*)([^\W\d_]+)")
+_FIRST = re.compile(r"[^\W\d_]+")
+_NEXT_TOKEN = re.compile(r"\w+\.?")
 
 
 @dataclass
@@ -86,6 +93,112 @@ class Corpus:
     common: frozenset[str] = frozenset()  # words that occur in lower case
     starters: frozenset[str] = frozenset()  # words that begin sentences
     stops: dict[str, tuple[int, int]] = field(default_factory=dict)  # word before a stop: times before a capital, times before lower case or a number
+    said: dict[str, int] | None = None  # all of it as flags
+
+    def __post_init__(self):
+        if self.said is None:
+            self.said = {w: COMMON for w in self.common}
+            for w in self.starters:
+                self.said[w] = self.said.get(w, 0) | STARTER
+            for w, (capital, other) in self.stops.items():
+                kind = ABBREVIATION if 4 * other > capital + other else ORDINARY
+                self.said[w] = self.said.get(w, 0) | kind | (TENDS if capital > other else 0) | (FIRM if other > 4 * (capital + 1) else 0)
+
+
+class Asking(dict):
+    """What is known of frequent words; remembers the others that are asked for."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.asked: set[str] = set()
+
+    def __missing__(self, word: str) -> int:
+        self.asked.add(word)
+        return 0
+
+
+class Silent(dict):
+    """What is known, and nothing of other words."""
+
+    def __missing__(self, word: str) -> int:
+        return 0
+
+
+class Words:
+    """What one text has of words, where it is unambiguous: the words with a stop before lower case, before a number, and
+    before a capital, with the next word; the words behind a number with a stop, and behind another word with one; how
+    often a form occurs."""
+
+    def __init__(self, text: str):
+        cased = not (text.islower() or text.isupper())
+        self.parts = parts = text.split() if cased else []
+        self.counts = Counter(parts)
+        self.before_lower, self.before_number, self.before_capital = {}, {}, {}
+        self.ordinal, self.begins = set(), set()
+        self.ending: set[str] = set()  # words with a stop before one that the text has in lower case too: they end sentences
+        self._names: dict[str, int] = {}
+        for i, part in enumerate(parts[:-1]):
+            if part[-1] == ".":
+                self._stop(part[:-1].lstrip(_OPENERS), parts[i + 1])
+
+    def _stop(self, word: str, token: str) -> None:
+        if not word:
+            return
+        if word.isdigit():
+            if len(word) <= 2 and (m := _FIRST.match(token)):
+                self.ordinal.add(m[0].lower())
+            return
+        m = _NEXT_TOKEN.match(token.lstrip(_OPENERS))
+        if not m or not word[0].isalpha() or word[-1] == ".":
+            return
+        # A single letter with a stop is an initial, as good as a name.
+        after = m[0] if len(m[0]) == 2 else m[0].rstrip(".")
+        word, first = word.lower(), after[0]
+        if first.islower() and not _mixed(after):
+            self.before_lower[word] = self.before_lower.get(word, 0) + 1
+        elif first.isdigit():
+            self.before_number[word] = self.before_number.get(word, 0) + 1
+        else:
+            self.before_capital[word, after] = True
+            self.begins.add(after.lower())
+            if self.has_lower(after):
+                self.ending.add(word)
+
+    def has_lower(self, word: str) -> bool:
+        """Whether the text has a word that is given as a name in lower case as well."""
+        low = word.lower()
+        return low != word and (low in self.counts or low + "," in self.counts)
+
+    def times(self, form: str) -> int:
+        """How often a form of a word occurs, with no stop of its own."""
+        get = self.counts.get
+        return get(form, 0) + get(form + ",", 0) + get(form + ";", 0) + get(form + ":", 0)
+
+    def name(self, word: str) -> int:
+        """How often the word, given in lower case, occurs as a name within sentences: behind a word or comma."""
+        if word not in self._names:
+            name, n = word[:1].upper() + word[1:], 0
+            for form in (name, name + ",", name + ";", name + ":") if name != word else ():
+                at = -1
+                for _ in range(self.counts.get(form, 0)):
+                    at = self.parts.index(form, at + 1)
+                    n += at > 0 and (self.parts[at - 1][-1].isalnum() or self.parts[at - 1][-1] in ",;:")
+            self._names[word] = n
+        return self._names[word]
+
+    def inner(self) -> list[str]:
+        """The tokens within sentences, that is behind a word or comma."""
+        parts, begin, out = self.parts, 0, []
+        for end in (*(i for i, p in enumerate(parts) if p[-1] in ".!?…"), len(parts) - 1):
+            segment = parts[begin : end + 1]
+            begin, joined = end + 1, " ".join(segment)
+            # Where a stretch has no capital at all, names are in lower case too.
+            if segment and not joined.islower() and not joined.isupper():
+                out += [b for a, b in zip(segment, segment[1:]) if a[-1].isalnum() or a[-1] in ",;:"]
+        return out
+
+
+_EDGES = ",;:!?()[]\"'“”„«»…"
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -109,37 +222,39 @@ def trimmed(text: str, begin: int, end: int) -> tuple[int, int]:
 class _Document:
     """Decisions for one text. Evidence from the document is gathered when a decision first asks for it."""
 
-    def __init__(self, text: str, corpus: Corpus):
-        self.text, self.corpus = text, corpus
-        self._before_lower: set[str] | None = None
+    def __init__(self, text: str, said: dict[str, int]):
+        self.text, self.said = text, said
+        self._words: Words | None = None
+        self._danda = "।" in text
+
+    @property
+    def words(self) -> Words:
+        if self._words is None:
+            self._words = Words(self.text)
+        return self._words
 
     def is_common(self, word: str) -> bool:
         """Whether the word, given in lower case, is one that is written so: by how often the document has it in lower case
-        and as a name within sentences, and by the corpus where that is equal or the document has no case."""
-        lower, names = (self.times(word), self.times(word[:1].upper() + word[1:])) if self.text_has_case() else (0, 0)
-        return lower > names or lower == names and word in self.corpus.common
-
-    def times(self, form: str) -> int:
-        """How often the document has this form of a word within sentences: behind a word or comma and white space, and with no stop of its own."""
-        n, at, size = 0, self.text.find(form), len(self.text)
-        while at >= 0 and form:
-            end, i = at + len(form), at - 1
-            while i >= 0 and self.text[i].isspace():
-                i -= 1
-            if 0 <= i < at - 1 and (self.text[i].isalnum() or self.text[i] in ",;:") and (end == size or not (self.text[end].isalnum() or self.text[end] in "'’-_.")):
-                n += 1
-            at = self.text.find(form, end)
-        return n
-
-    def met_before_lower(self, word: str) -> bool:
-        """Whether the document has the word with a stop before lower case or a number."""
-        if self._before_lower is None:
-            self._before_lower = {m[1].lower() for m in _STOP_CONTEXT.finditer(self.text) if (m[2].islower() or m[2][0].isdigit()) and not _mixed(m[2])}
-        return word in self._before_lower
-
-    def is_abbreviation(self, word: str) -> bool:
-        """Whether the document has the word as an abbreviation: with a stop before lower case or a number, and as no word of its own."""
-        return word.isalpha() and not self.is_common(word) and self.met_before_lower(word) and not self.times(word[:1].upper() + word[1:])
+        and as a name within sentences, and by the corpus where that is equal."""
+        lower, names = self.words.times(word), self.words.name(word)
+        return lower > names or lower == names and bool(self.said[word] & COMMON)
+
+    def starts(self, word: str) -> bool:
+        """Whether the word begins sentences even where case is missing."""
+        return bool(self.said[word] & STARTER)
+
+    def kind(self, word: str, this: int = 0) -> int:
+        """TITLE, ABBREVIATION (with TENDS if a sentence mostly ends with it, LISTED if only the list has it) or ORDINARY, 0 if nothing is known; ``this``
+        is 1 where the place that is asked for is itself before lower case or a number."""
+        own = self.words
+        alone = not own.times(word) and not own.name(word) and word not in own.ending
+        if alone and own.before_lower.get(word, 0) > this:
+            return ABBREVIATION
+        if said := self.said[word] & (TITLE | ABBREVIATION | ORDINARY | TENDS | FIRM):
+            return said
+        if alone and own.before_number.get(word, 0) > this:
+            return ABBREVIATION
+        return TITLE if word in FOLLOWED and word not in _AMBIGUOUS else ABBREVIATION | LISTED if word in MAY_END and word not in _AMBIGUOUS else 0
 
     def units(self) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -215,11 +330,11 @@ class _Document:
         if not spaced and not word[:1].isupper():
             return False
         if word[:1].islower() and not _mixed(word):
-            return not self.text_has_case() and word in self.corpus.starters and mark == "." and not whole
+            return not self.text_has_case() and self.starts(word) and mark == "." and not whole
         if mark in ".…":
             return True
         if whole and word.isupper() and len(word) > 1 and inner.upper() == inner:
-            return word.lower() in self.corpus.starters
+            return self.starts(word.lower())
         # A quotation at the beginning that asks or cries: a name behind it says whose it is.
         return not whole or self.is_common(word.lower()) or word[:1].isdigit()
 
@@ -243,7 +358,7 @@ class _Document:
             return False
         lower = word[:1].islower() and not _mixed(word)
         if mark in "!?؟۔‽⁇⁈⁉":
-            return not lower or word in self.corpus.starters or part[begin : m.start()].islower()
+            return not lower or self.starts(word) or part[begin : m.start()].islower()
         if mark == "…" or _dots(marks):
             free = m.start() > 0 and part[m.start() - 1].isspace()
             return not lower and not (free and _caseless(part, m.start(), word))
@@ -251,13 +366,12 @@ class _Document:
 
     def _ends_without_space(self, part: str, begin: int, m: re.Match, pos: int, word: str, mark: str) -> bool:
         """Two sentences run together: an ordinary word, a mark, a capitalised word."""
-        before = _BEFORE.search(part, max(begin, m.start() - 40), m.start())
-        last = before.group() if before else ""
+        last = _token_before(part, begin, m.start())
         closed = m.end() - m.start() > 1 and part[m.end() - 1] in "”»\"')]）"
         if not part[pos].isalnum():
             return part[pos] in "“«„¿¡(" and word[:1].isupper() and mark != "…" and (len(last) > 1 or closed)
         if mark in "!?؟":
-            return not word[:1].islower() and not word[:1].isdigit() or word in self.corpus.starters
+            return not word[:1].islower() and not word[:1].isdigit() or self.starts(word)
         if _dots(m.group()) or not word or word[:1].isdigit():
             return closed and bool(word)
         if closed:
@@ -268,55 +382,66 @@ class _Document:
         if end < len(part) and part[end] in "._@" and part[end + 1 : end + 2].isalnum():
             return False  # a host or file name
         if word[:1].isupper():
-            return (len(word) == 1 or word[1:].islower() or last.isupper()) and last.lower() not in FOLLOWED and not (last[:1].isupper() and last.lower() in MAY_END)
+            kind = self.kind(last.lower())
+            return (len(word) == 1 or word[1:].islower() or last.isupper()) and not kind & TITLE and not (last[:1].isupper() and kind & ABBREVIATION)
         if word[:1].islower():
-            return word in self.corpus.starters and last.lower() in self.corpus.common
+            return self.starts(word) and bool(self.said[last.lower()] & COMMON)
         return True  # a script without case
 
     def _stop_ends(self, part: str, begin: int, at: int, word: str, lower: bool) -> bool:
-        before = _BEFORE.search(part, max(begin, at - 40), at)
-        last = before.group() if before else ""
+        last = _token_before(part, begin, at)
         t = _plain(last.lower().lstrip("'‘’-"))
-        if len(t) > 6 and word[:1].isupper() and t.isalpha() and t not in _SPECIAL and not self.is_abbreviation(t):
-            return True
+        low = word.lower()
         if not t:
-            return not lower or word in self.corpus.starters
+            return not lower or self.starts(word)
         if t[-1].isdigit():
-            if t.isdigit() and len(t) <= 2 and word.lower() in MONTHS:
+            if t.isdigit() and len(t) <= 2 and self._follows_ordinals(low):
                 return False
-            return not lower or word in self.corpus.starters
-        low = word.lower()
+            return not lower or self.starts(word)
+        if self._danda and _DEVANAGARI.search(t):
+            return False  # such a text ends its sentences with another mark
         caseless = word.isupper() and _caseless(part, at, word)
+        kind = self.kind(t, int(lower or word[:1].isdigit()))
         number_before = (len(t) == 1 or t in OF_YEAR) and part[max(0, at - len(last) - 3) : at - len(last)].rstrip()[-1:].isdigit()
-        if t in OF_YEAR and number_before:
+        if number_before and (kind & (TITLE | ABBREVIATION) or t in OF_YEAR):
             # The year's abbreviation: a name goes on, an ordinary word begins the next sentence.
             return not lower and self.is_common(low) and not caseless
         if len(t) == 1 and t.isalpha():
             if number_before:  # a unit
-                return not lower or low in self.corpus.starters
+                return not lower or self.starts(low)
             if len(word) == 1 and word.isalpha() and re.match(rf"\s*{word}\.", part[at + 1 : at + 8]):
                 return False  # an abbreviation or name of several letters
-            return not (t in FOLLOWED or t in OF_YEAR or last.isupper() or caseless or lower)
-        if t in FOLLOWED and (t not in _AMBIGUOUS or word[:1].isdigit() or last[:1].isupper()):
+            return not (kind & (TITLE | ABBREVIATION) or t in FOLLOWED or t in OF_YEAR or last.isupper() or t.upper() == t.lower() or caseless or lower)
+        if t in _AMBIGUOUS and kind & (TITLE | ABBREVIATION) == 0 and (word[:1].isdigit() or last[:1].isupper()):
+            kind = TITLE if t in FOLLOWED else ABBREVIATION | LISTED if t in MAY_END else 0
+        if kind & TITLE:
             return False
-        capital, other = self.corpus.stops.get(t, (0, 0))
-        if t in MAY_END and t not in _AMBIGUOUS or "." in t or t in MAY_END and (word[:1].isdigit() or last[:1].isupper()):
-            tends = capital > other
+        if kind & ABBREVIATION or "." in t:
+            tends = bool(kind & TENDS)
             if lower or caseless:
-                return tends and (low in self.corpus.starters or not lower and not self.is_common(low))
+                return tends and (self.starts(low) or not lower and not self.is_common(low))
             if word[:1].isdigit():
                 return tends
-            return tends or capital + other == 0 or self.is_common(low)
-        if len(t) <= 6 and other > 4 * (capital + 1):
-            return False  # the corpus has it as an abbreviation
+            return tends or kind == 0 or bool(kind & LISTED) or (self.starts(low) if kind & FIRM else self.is_common(low))
         if lower:
-            if low in self.corpus.starters:
-                return True
-            return not (len(t) <= 4 and self.met_before_lower(t)) and self.is_common(t)
-        if self.is_abbreviation(t) and not word[:1].isdigit():
-            return self.is_common(low)
+            return self.starts(low) or self.is_common(t)
         return True
 
+    def _follows_ordinals(self, word: str) -> bool:
+        return bool(self.said[word] & ORDINAL) or word in MONTHS
+
+
+def _token_before(part: str, begin: int, at: int) -> str:
+    """What stands before a mark without white space, brackets, quotation marks and the like in it. A token above 4,096
+    characters is cut: it is no word."""
+    width = 40
+    while True:
+        low = max(begin, at - width)
+        m = _BEFORE.search(part, low, at)
+        if m is None or m.start() > low or low == begin or width > 4096:
+            return m.group() if m else ""
+        width *= 8
+
 
 def _plain(token: str) -> str:
     """The token, without accents if only so it is a known abbreviation."""
@@ -341,170 +466,160 @@ def _caseless(part: str, at: int, word: str) -> bool:
     return len(word) > 1 and word.isupper() and around.upper() == around and any(c.isupper() for c in around[:-3])
 
 
+def document_units(text: str, said: dict[str, int]) -> list[tuple[int, int]]:
+    """Begin and end of a text's units, by what is said of words; a word that is missing there must give 0."""
+    return _Document(text, said if isinstance(said, (Asking, Silent)) else Silent(said)).units()
+
+
 def sentence_units(text: str | None, corpus: Corpus | None = None) -> list[tuple[int, int]]:
     """Begin and end of the units of a text; none for null and blank texts."""
-    return _Document(text, corpus or Corpus()).units() if text else []
+    return document_units(text, (corpus or Corpus()).said) if text else []
+
+
+_COUNTS = ("lower", "names", "capital", "unseen", "other", "first", "ordinal", "begins")
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, lower, names, capital, other, first of each run of texts: times within sentences in lower case and as a
-    name, times with a stop before a capital and before lower case or a number, times as a first word."""
+    """A word's counts in each run of texts: times within sentences in lower case and as a name; with a stop before a
+    capital, before one whose word the text has nowhere in lower case, and before lower case or a number; as a first
+    word; behind a number with a stop; behind another word with a stop."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            tokens, stops, starts = Counter(), Counter(), Counter()
+            lower, names, capital, unseen, other, first, ordinal, begins = counts = tuple(Counter() for _ in _COUNTS)
+            tokens: Counter[str] = Counter()
             for text in strings(batch.column(0)):
                 if not text or text.islower() or text.isupper():
                     continue
-                # Where a stretch has no capital at all, names are in lower case too.
-                for segment in _SEGMENTS.split(text):
-                    if not segment.islower() and not segment.isupper():
-                        inner = segment.split()
-                        tokens.update(b for a, b in zip(inner, inner[1:]) if a[-1].isalnum() or a[-1] in ",;:")
-                parts = text.split()
-                stops.update((a, b.lstrip(_OPENERS)[:1]) for a, b in zip(parts, parts[1:]) if a[-1] == ".")
-                starts.update(_STARTS.findall(text))
-            lower, names, capital, other, first = (Counter() for _ in range(5))
+                words = Words(text)
+                tokens.update(words.inner())
+                # Once a text: what one text repeats says no more about a word.
+                other.update(words.before_lower.keys() | words.before_number.keys())
+                for word, after in words.before_capital:
+                    capital[word] += 1
+                    # A word without case tells nothing about names.
+                    if after[0].isupper() and not words.has_lower(after):
+                        unseen[word] += 1
+                first.update({w.lower() for w in _STARTS.findall(text)})
+                ordinal.update(words.ordinal)
+                begins.update(words.begins)
             for token, n in tokens.items():
-                word = token.strip(".,;:!?()[]\"'“”„«»…")
-                if word.isalpha() and (word == word.lower() or len(word) == 1 or not word.isupper()):
-                    (lower if word == word.lower() else names)[word.lower()] += n
-            for (word, b), n in stops.items():
-                word = word[:-1].lstrip(_OPENERS)
-                if b.isalnum() and word[:1].isalpha() and not word.endswith("."):
-                    (other if b.islower() or b.isdigit() else capital)[word.lower()] += n
-            for word, n in starts.items():
-                first[word.lower()] += n
-            counts = (lower, names, capital, other, first)
-            words = list(set().union(*counts))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["word", *_COUNTS])
-
-
-_COUNTS = ("lower", "names", "capital", "other", "first")
-
-
-def _corpus(rows: Iterable[tuple]) -> Corpus:
-    """From word, common, starter, capital, other."""
-    common, starters, stops = set(), set(), {}
-    for word, is_common, starter, capital, other in rows:
-        if is_common:
-            common.add(word)
-        if starter:
-            starters.add(word)
-        if capital + other >= LEAST:
-            stops[word] = (capital, other)
-    return Corpus(frozenset(common), frozenset(starters), stops)
+                form = token.strip(_EDGES)
+                if form.isalpha():
+                    low = form.lower()
+                    if form == low:
+                        lower[low] += n
+                    elif len(form) == 1 or not form.isupper():
+                        names[low] += n
+            known = list(set().union(*counts))
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), *(pa.array([c[w] for w in known], pa.int64()) for c in counts)], ["word", *_COUNTS])
+
+
+def _flags() -> Column:
+    """What a word's counts say, as flags."""
+    c = {n: F.col(n) for n in _COUNTS}
+    common = (c["lower"] >= LEAST) & (c["lower"] > 4 * c["names"])
+    stops = c["capital"] + c["other"]
+    # A sentence goes on in lower case or with a number behind an abbreviation; behind an ordinary word only by mistake.
+    abbreviation = (stops >= LEAST) & (4 * c["other"] > stops)
+    # Of the words that begin sentences, texts have many in lower case as well; names they don't.
+    title = (c["capital"] >= 2 * LEAST) & ((c["capital"] - c["unseen"]) * 25 <= c["capital"]) & ~abbreviation & ((c["lower"] + c["names"]) * 10 < stops)
+    # Some names are spelt like a word. One may begin sentences too; what is never met in lower case tells nothing where case is missing.
+    starter = common & (c["first"] >= LEAST)
+    ordinal = (c["ordinal"] >= LEAST) & (c["ordinal"] > c["names"]) & (c["ordinal"] > c["begins"]) & ~common
+    kinds = ((common, COMMON), (starter, STARTER), (abbreviation, ABBREVIATION), (title, TITLE), ((stops >= LEAST) & ~abbreviation & ~title, ORDINARY), ((stops >= LEAST) & (c["capital"] > c["other"]), TENDS), (ordinal, ORDINAL), (abbreviation & (c["other"] > 4 * (c["capital"] + 1)), FIRM))
+    return sum((F.when(k, f).otherwise(0) for k, f in kinds), F.lit(0)).cast("int")
 
 
 def _counted(docs: DataFrame, text_col: str) -> DataFrame:
-    """word, common, starter, capital, other, total of the words that say anything."""
+    """word, said, capital, other, total of the words of which anything can be said."""
     sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_contexts, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
     sums = sums.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS))
-    common = (F.col("lower") >= LEAST) & (F.col("lower") > 4 * F.col("names"))
-    # Some names are spelt like a word. One may begin sentences too; what is never met in lower case tells nothing where case is missing.
-    known = sums.select("word", common.alias("common"), (common & (F.col("first") >= LEAST)).alias("starter"), "capital", "other", sum(F.col(c) for c in _COUNTS).alias("total"))
-    return durable(known.filter(F.col("common") | (F.col("capital") + F.col("other") >= LEAST)))
-
-
-def _around(part: str) -> tuple[str, tuple[str, ...]]:
-    """The first word of a part between white space, and the words at its marks if it has any."""
-    m = _WORD.search(part)
-    words: set[str] = set()
-    for mark in _MARKS.finditer(part):
-        words.update(_WORD.findall(part, mark.end())[:1])
-        if before := _BEFORE.search(part, max(0, mark.start() - 40), mark.start()):
-            for last in {before.group(), _MARKS.split(before.group())[-1]}:
-                words.update((last.lower(), _plain(last.lower().lstrip("'‘’-"))))
-        words.add("")
-    return m.group() if m else "", tuple(words | {w.lower() for w in words})
-
-
-def _asked(text: str, seen: dict[str, tuple[str, tuple[str, ...]]]) -> set[str]:
-    """The words of a text that its decisions may ask the corpus for: those on both sides of every mark. ``seen`` keeps parts."""
-    words, after = set(), False
-    for part in text.split():
-        found = seen.get(part)
-        if found is None:
-            found = seen[part] = _around(part)
-        if after and found[0]:
-            words.update((found[0], found[0].lower()))
-            after = False
-        if found[1]:
-            words.update(found[1])
-            after = True
-    words.discard("")
-    return words
-
-
-def _ask(sent: Corpus):
-    known = sent.common | sent.stops.keys()
+    known = sums.select("word", _flags().alias("said"), "capital", "other", sum(F.col(c) for c in _COUNTS).alias("total"))
+    return durable(known.filter(F.col("said") > 0))
+
+
+#: A text's results: rows of whole numbers and strings.
+Each = Callable[[str, dict[str, int]], list[tuple]]
+
+#: Rows of one text that a task gets.
+COPIES = 10_000
+
+
+def _first_pass(each: Each, kinds: dict[str, pa.DataType], frequent: dict[str, int]):
+    """From _id, text, _key: the results of each text by what is known of frequent words, as an array, and the other
+    words it asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = Asking(frequent)
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows, words, seen = [], [], {}
-                for i, text in enumerate(strings(batch.column(1))):
-                    asked = _asked(text, seen) - known if text else ()
-                    rows += [i] * len(asked)
-                    words += asked
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string())], ["_key", "word"])
+                rows, asked, sizes, n_asked = [], [], [0], [0]
+                for text in strings(batch.column(1)):
+                    said.asked.clear()
+                    rows += each(text, said) if text else ()
+                    asked += said.asked
+                    sizes.append(len(rows)), n_asked.append(len(asked))
+                fields = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())]
+                lists = [pa.ListArray.from_arrays(pa.array(n, pa.int32()), x) for n, x in ((sizes, pa.StructArray.from_arrays(fields, list(kinds))), (n_asked, pa.array(asked, pa.string())))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["_id", "_key", "rows", "asked"])
 
     return run
 
 
-_FIELDS = ("word", "common", "starter", "capital", "other")
+def _again(each: Each, kinds: dict[str, pa.DataType], known: dict[str, int]):
+    """From _id, text, _words: a row for each result, by what is known and what is said of the text's own words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                owner, rows = [], []
+                for i, (text, words) in enumerate(zip(strings(batch.column(1)), batch.column(2).to_pylist())):
+                    found = each(text, Silent({**known, **{w["word"]: w["said"] for w in words}} if words else known)) if text else ()
+                    owner += [i] * len(found)
+                    rows += found
+                fields = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *fields], ["_id", *kinds])
+
+    return run
 
 
-def with_statistics(rows: DataFrame, corpus: Corpus | None, of: DataFrame) -> tuple[DataFrame, Corpus]:
-    """``rows`` (_id, text) with _words, what the corpus ``of`` (text) says of the rarer words that a text asks for; and what it says of frequent ones.
+def with_statistics(rows: DataFrame, of: DataFrame, corpus: Corpus | None, each: Each, kinds: dict[str, pa.DataType]) -> DataFrame:
+    """_id and the results of ``each`` for every text of ``rows`` (_id, text), by what the texts ``of`` (text) say of words.
 
-    A given ``corpus`` stands for all of it. A rarer word has at most a fixed share of the words, so no key is hot.
+    Frequent words are sent to all tasks. A text that asks for others is done again if any of them has statistics;
+    both passes give the same where they are given the same. A given ``corpus`` stands for all of it.
     """
-    kind = "array<struct<word:string,common:boolean,starter:boolean,capital:bigint,other:bigint>>"
+    id_kind = rows.schema["_id"].dataType.simpleString()
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}
+    columns = [(n, names[k]) for n, k in kinds.items()]
+    flat = f"_id {id_kind}, " + ", ".join(f"{n} {k}" for n, k in columns)
+    said_of = "array<struct<word:string,said:int>>"
     if corpus:
-        return rows.withColumn("_words", F.lit(None).cast(kind)), corpus
+        return rows.withColumn("_words", F.lit(None).cast(said_of)).mapInArrow(_again(each, kinds, corpus.said), flat)
     counted = _counted(of, "text")
     most = (counted.agg(F.sum("total")).first()[0] or 0) * SENT_SHARE
-    sent = _corpus(tuple(r) for r in counted.filter(F.col("total") >= most).select(*_FIELDS).collect())
+    frequent = {r.word: r.said for r in counted.filter(F.col("total") >= most).select("word", "said").collect()}
     keyed = rows.withColumn("_key", F.unhex(F.md5("text")))
-    asked = keyed.filter("text IS NOT NULL").select("_key", "text").mapInArrow(_ask(sent), "_key binary, word string")
-    found = asked.join(counted.filter(F.col("total") < most).select(*_FIELDS), "word").groupBy("_key").agg(F.collect_set(F.struct(*_FIELDS)).alias("_words"))
-    return keyed.join(found, "_key", "left").select("_id", "text", "_words"), sent
-
-
-def of_row(corpus: Corpus, words: list[dict] | None) -> Corpus:
-    """The corpus for a text with statistics of its own."""
-    if not words:
-        return corpus
-    own = _corpus(tuple(w[f] for f in _FIELDS) for w in words)
-    return Corpus(_Both(corpus.common, own.common), _Both(corpus.starters, own.starters), ChainMap(own.stops, corpus.stops))
-
-
-class _Both:
-    """Membership in either of two sets, neither copied."""
-
-    def __init__(self, a: frozenset[str], b: frozenset[str]):
-        self.a, self.b = a, b
-
-    def __contains__(self, word: str) -> bool:
-        return word in self.b or word in self.a
+    struct = ",".join(f"{n}:{k}" for n, k in columns)
+    first = durable(keyed.select("_id", "text", "_key").mapInArrow(_first_pass(each, kinds, frequent), f"_id {id_kind}, _key binary, rows array<struct<{struct}>>, asked array<string>"))
+    asked = first.filter("_key IS NOT NULL").select("_key", F.explode("asked").alias("word")).distinct()
+    rarer = counted.filter(F.col("total") < most).select("word", "said")
+    found = durable(asked.join(rarer, "word").groupBy("_key").agg(F.collect_set(F.struct("word", "said")).alias("_words")))
+    if found.isEmpty():
+        return first.select("_id", F.inline("rows"))
+    # A text may have many copies: their rows are dealt out.
+    hot = hot_keys(first.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), ["_key"], "n", COPIES)
+    once = copied(found, hot, ["_key"])
+    settled = dealt(first, hot, ["_key"]).join(once.select("_key", "_turn"), ["_key", "_turn"], "left_anti").select("_id", F.inline("rows"))
+    again = dealt(keyed, hot, ["_key"]).join(once, ["_key", "_turn"]).select("_id", "text", "_words").mapInArrow(_again(each, kinds, frequent), flat)
+    return settled.unionByName(again)
 
 
 def corpus_statistics(docs: DataFrame, text_col: str = "text") -> Corpus:
     """All that the texts say about words, at once; for corpora whose words fit into memory."""
-    return _corpus(tuple(r) for r in _counted(docs, text_col).select(*_FIELDS).collect())
-
-
-def _split(corpus: Corpus):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                rows, starts, ends = [], [], []
-                for i, (text, words) in enumerate(zip(strings(batch.column(1)), batch.column(2).to_pylist())):
-                    for a, b in sentence_units(text, of_row(corpus, words)):
-                        rows.append(i), starts.append(a), ends.append(b)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["_id", "sent_start", "sent_end"])
-
-    return run
+    rows = _counted(docs, text_col).select("word", "said", "capital", "other").collect()
+    of = lambda flag: frozenset(r.word for r in rows if r.said & flag)
+    return Corpus(of(COMMON), of(STARTER), {r.word: (r.capital, r.other) for r in rows if r.capital + r.other >= LEAST}, {r.word: r.said for r in rows})
 
 
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpus: Corpus | None = None) -> DataFrame:
@@ -515,6 +630,4 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` unless given.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows, corpus = with_statistics(rows, corpus, rows)
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(_split(corpus), f"_id {kind}, sent_start bigint, sent_end bigint").withColumnRenamed("_id", id_col)
+    return with_statistics(rows, rows, corpus, document_units, {"sent_start": pa.int64(), "sent_end": pa.int64()}).withColumnRenamed("_id", id_col)

@@ -93,3 +93,26 @@ def test_what_the_corpus_says_does_not_depend_on_its_size(spark):
         docs = spark.createDataFrame(texts, "doc_id bigint, text string")
         got = sentences.split_sentences(docs).filter(f"doc_id = {len(texts) - 1}").collect()
         assert len(got) == 1, n
+
+
+def test_lists_are_the_last_resort(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    corpus = sentences.corpus_statistics(docs)
+    texts = [r.text for r in docs.collect() if r.text]
+    with_lists = [set(sentence_units(t, corpus)) for t in texts]
+    for name in ("FOLLOWED", "MAY_END", "OF_YEAR", "MONTHS", "_AMBIGUOUS"):
+        monkeypatch.setattr(sentences, name, frozenset())
+    without = [set(sentence_units(t, corpus)) for t in texts]
+    both = sum(len(a & b) for a, b in zip(with_lists, without))
+    assert both > 0.99 * sum(map(len, with_lists)) and both > 0.99 * sum(map(len, without))
+
+
+@pytest.mark.parametrize("copies", [2, 10_000])
+def test_words_joined_say_the_same_as_words_sent(spark, monkeypatch, copies):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.filter("doc_id < 20")).unionByName(docs.filter("doc_id < 10"))
+    monkeypatch.setattr(sentences, "SENT_SHARE", 0.0)
+    sent = sorted(map(tuple, sentences.split_sentences(docs).collect()))
+    monkeypatch.setattr(sentences, "SENT_SHARE", 2.0)
+    monkeypatch.setattr(sentences, "COPIES", copies)
+    assert sorted(map(tuple, sentences.split_sentences(docs).collect())) == sent
