@@ -2,28 +2,32 @@
 
 Points are hashed to grid cells: rows of equal latitude, each cut into columns of about the same width on the
 ground. A point lies in one cell and asks all cells that its circle can touch, usually one to four; distances
-decide in the end. Columns wrap around at 180 degrees and close around the poles. Regions are cut into cells too;
-a cell keeps only the boundary's edges in its range of latitude, so a ray to the east can be counted in the cell.
+decide in the end. Columns wrap around at 180 degrees and close around the poles. Regions are cut into cells too; a
+cell keeps whether its south-west corner is inside and the boundary's edges that reach it, so that a point is settled
+by the edges between it and the corner.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import copied, dealt, hot_keys
 from ..session import durable
 
 EARTH_KM = 6371.0088
 #: Points of a cell that one task compares with those that ask for the cell.
 HOT_CELL = 20_000
-#: Degrees of a region's cells, and the most of these cells that are broadcast.
+#: Degrees of a region's cells, the most bytes of these that are broadcast, and the points of a cell that one task gets otherwise.
 REGION_CELL = 2.0
-BROADCAST_CELLS = 200_000
+BROADCAST_BYTES = 64_000_000
+POINTS = 200_000
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
@@ -107,7 +111,9 @@ def near_pairs(points: DataFrame, id_col: str, km: float, hot_cell: int = HOT_CE
     asks = asks.join(F.broadcast(hot), "_cell", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     a, b = asks.alias("a"), homes.alias("b")
     both = a.join(b, (F.col("a._cell") == F.col("b._cell")) & (F.col("a._part") == F.col("b._part")) & (F.col("a._id") < F.col("b._id")) & (F.abs(F.col("a.lat") - F.col("b.lat")) <= reach))
-    apart = great_circle_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+    # Equal points, such as places found again and again, need no trigonometry.
+    equal = (F.col("a.lat") == F.col("b.lat")) & (F.col("a.lon") == F.col("b.lon"))
+    apart = F.when(equal, 0.0).otherwise(great_circle_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")))
     return both.select(F.col("a._id").alias("first_id"), F.col("b._id").alias("second_id"), apart.alias("km")).filter(F.col("km") <= km)
 
 
@@ -126,45 +132,74 @@ def _edges(boundary: str | None) -> list[tuple[float, float, float, float]]:
     return out
 
 
-def _region_cells(step: float):
+_EDGE = ("x1", "y1", "x2", "y2")
+
+
+def region_cells(edges: list[tuple[float, float, float, float]], step: float) -> Iterator[tuple[int, int, bool, list[dict]]]:
+    """row, column, whether the south-west corner is inside, and the edges that reach the cell; cells outside are left out."""
+    lows = [(min(e[0], e[2]), min(e[1], e[3])) for e in edges]
+    highs = [(max(e[0], e[2]), max(e[1], e[3])) for e in edges]
+    west, east = math.floor(min(x for x, _ in lows) / step), math.floor(max(x for x, _ in highs) / step)
+    reached: dict[tuple[int, int], list[dict]] = {}
+    for e, low, high in zip(edges, lows, highs):
+        edge = dict(zip(_EDGE, e))
+        # Cells are closed here: an edge along a side belongs to both.
+        for r in range(math.ceil(low[1] / step) - 1, math.floor(high[1] / step) + 1):
+            for c in range(math.ceil(low[0] / step) - 1, math.floor(high[0] / step) + 1):
+                reached.setdefault((r, c), []).append(edge)
+    for r in range(math.floor(min(y for _, y in lows) / step), math.floor(max(y for _, y in highs) / step) + 1):
+        y = r * step
+        meets = sorted(x1 if y == y1 else x2 if y == y2 else (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges if (y1 > y) != (y2 > y))
+        for c in range(west, east + 1):
+            inside, own = (len(meets) - bisect_right(meets, c * step)) % 2 == 1, reached.get((r, c), [])
+            if inside or own:
+                yield r, c, inside, own
+
+
+def _cells_of(step: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.float64()) for n in _EDGE]))
         for batch in batches:
             for key, boundary in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                edges = _edges(boundary)
-                if not edges:
-                    continue
-                west, east = math.floor(min(min(e[0], e[2]) for e in edges) / step), math.floor(max(max(e[0], e[2]) for e in edges) / step)
-                south, north = math.floor(min(min(e[1], e[3]) for e in edges) / step), math.floor(max(max(e[1], e[3]) for e in edges) / step)
-                rows, columns, kept = [], [], []
-                for r in range(south, north + 1):
-                    own = [e for e in edges if min(e[1], e[3]) <= (r + 1) * step and max(e[1], e[3]) >= r * step]
-                    for c in range(west, east + 1):
-                        right = [dict(zip(("x1", "y1", "x2", "y2"), e)) for e in own if max(e[0], e[2]) >= c * step]
-                        if right:
-                            rows.append(r), columns.append(c), kept.append(right)
-                kind = pa.list_(pa.struct([(n, pa.float64()) for n in ("x1", "y1", "x2", "y2")]))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(columns, pa.int32()), pa.array(kept, kind)], ["region_id", "_row", "_column", "edges"])
+                if edges := _edges(boundary):
+                    rows, columns, inside, kept = zip(*region_cells(edges, step))
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(columns, pa.int32()), pa.array(inside), pa.array(kept, kind)], ["region_id", "_row", "_column", "inside", "edges"])
 
     return run
 
 
-def containing(points: DataFrame, regions: DataFrame, id_col: str, region_id: str, boundary: str, step: float = REGION_CELL) -> DataFrame:
+def containing(points: DataFrame, regions: DataFrame, id_col: str, region_id: str, boundary: str, step: float = REGION_CELL, broadcast_bytes: int = BROADCAST_BYTES, points_of_cell: int = POINTS) -> DataFrame:
     """region_id, point_id for every point within a region; its boundary's edges are straight in degrees.
 
     ``boundary`` is WKT, longitude first. Holes are outside, pieces of a multipolygon inside. A null or unreadable
-    boundary contains nothing; neither do regions with a null id. The regions' cells are broadcast up to
-    BROADCAST_CELLS of them; beyond, the join shuffles and splits hot cells at run time.
+    boundary contains nothing; neither do regions with a null id. An edge is kept once for each cell that it reaches.
+    The cells are counted in bytes and broadcast up to ``broadcast_bytes``; beyond, points meet them by a shuffle in
+    which a task gets at most about ``points_of_cell`` points of a cell.
     """
     named = regions.filter(F.col(region_id).isNotNull()).select(F.col(region_id).cast("bigint").alias("_k"), F.col(boundary).cast("string").alias("_b"))
-    cells = durable(named.mapInArrow(_region_cells(step), "region_id bigint, _row int, _column int, edges array<struct<x1: double, y1: double, x2: double, y2: double>>"))
-    if cells.count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
+    cells = durable(named.mapInArrow(_cells_of(step), "region_id bigint, _row int, _column int, inside boolean, edges array<struct<x1: double, y1: double, x2: double, y2: double>>"))
+    size = cells.agg(F.sum(F.size("edges") * 40 + 64)).first()[0] or 0
     at = points.select(F.col(id_col).alias("point_id"), "lat", "lon", F.floor(F.col("lat") / step).cast("int").alias("_row"), F.floor(F.col("lon") / step).cast("int").alias("_column"))
-
-    def crossed(n: Column, e: Column) -> Column:
-        spans = (e["y1"] > F.col("lat")) != (e["y2"] > F.col("lat"))
-        meets = (e["x2"] - e["x1"]) * (F.col("lat") - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return n + F.when(spans & (F.col("lon") < meets), 1).otherwise(0)
-
-    inside = F.aggregate("edges", F.lit(0), crossed) % 2 == 1
-    return at.join(cells, ["_row", "_column"]).filter(inside).select("region_id", "point_id")
+    keys = ["_row", "_column"]
+    if size <= broadcast_bytes:
+        met = at.join(F.broadcast(cells), keys)
+    else:
+        hot = hot_keys(at.groupBy(*keys).count(), keys, "count", points_of_cell)
+        met = dealt(at, hot, keys).join(copied(cells, hot, keys), [*keys, "_turn"])
+    west, south = F.col("_column") * step, F.col("_row") * step
+
+    def between(at: Column, a: Column, b: Column, p: Column, q: Column) -> Column:
+        """Where the edge from (a, p) to (b, q) has the coordinate ``at``; exact at its ends."""
+        return F.when(at == a, p).when(at == b, q).otherwise((q - p) * (at - a) / F.nullif(b - a, F.lit(0.0)) + p)
+
+    def crossed(inside: Column, e: Column) -> Column:
+        """From the corner along the west side to the point's latitude, then east to the point. The path runs a touch east
+        of the side and, by less than that, north of corner and point: so an edge through the corner is above it if it rises."""
+        x_meets, y_meets = between(F.col("lat"), e["y1"], e["y2"], e["x1"], e["x2"]), between(west, e["x1"], e["x2"], e["y1"], e["y2"])
+        rises = (e["y2"] > e["y1"]) == (e["x2"] > e["x1"])
+        above = lambda y: (y_meets > y) | ((y_meets == y) & rises & (e["y1"] != e["y2"]))
+        eastward = ((e["y1"] > F.col("lat")) != (e["y2"] > F.col("lat"))) & (x_meets > west) & (x_meets <= F.col("lon"))
+        northward = ((e["x1"] > west) != (e["x2"] > west)) & (above(south) != above(F.col("lat")))
+        return inside != (F.coalesce(eastward, F.lit(False)) != F.coalesce(northward, F.lit(False)))
+
+    return met.filter(F.aggregate("edges", F.col("inside"), crossed)).select("region_id", "point_id")

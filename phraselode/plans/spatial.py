@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import nearby
+from ..session import durable
 from .geography import PLACES, km
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of places at most 1 km apart, and the area that contains each place."""
-    places = nearby.possible_points(spark.read.parquet(f"{folder}/topic_doc_coordinates.parquet"), "loc_id")
+    # Read four times below; the notations are parsed once.
+    places = durable(nearby.possible_points(spark.read.parquet(f"{folder}/topic_doc_coordinates.parquet"), "loc_id"))
     near = nearby.near_pairs(places, "loc_id", 1.0)
     inside = nearby.containing(places, spark.read.parquet(f"{folder}/areas.parquet"), "loc_id", "area_id", "boundary")
     return near.select(F.lit("near").alias("kind"), "first_id", "second_id").unionByName(

@@ -446,3 +446,33 @@ def test_the_library_does_without_the_llm_package(monkeypatch):
     names = list(entry.queries())
     assert "p5_found" in names and not any(n.startswith(("p1_", "p6_", "p10_")) for n in names)
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_regions_against_rays_through_all_edges(spark):
+    rng = np.random.default_rng(7)
+    regions, edges_of = [], {}
+    for k in range(12):
+        # Corners on whole degrees, so many lie on the cells' sides; some rings have long sides along them.
+        angles = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        corners = [(int(x), int(y)) for x, y in zip(20 * k - 120 + np.round(rng.uniform(2, 9, 9) * np.cos(angles)), np.round(rng.uniform(2, 9, 9) * np.sin(angles)))]
+        if k % 3 == 0:
+            x = 20 * k - 120
+            corners = [(x - 6, -4), (x + 6, -4), (x + 6, 4), (x, 4), (x, 2), (x - 6, 2)]
+        regions.append((k, "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*corners, corners[0]]) + "))"))
+        edges_of[k] = [(*p, *q) for p, q in zip(corners, [*corners[1:], corners[0]]) if p != q]
+    # Latitudes of corners, and longitudes of cells' sides, are met; points on edges aren't.
+    points = [(i, float(rng.integers(-9, 10)) + (0.25 if i % 2 else 0.0), float(rng.integers(-130, 120)) + (0.37 if i % 3 else 0.0)) for i in range(1500)]
+
+    def meets(e, lat):
+        return (e[2] - e[0]) * (lat - e[1]) / (e[3] - e[1]) + e[0]
+
+    def on_edge(e, lat, lon):
+        return min(e[0], e[2]) <= lon <= max(e[0], e[2]) and min(e[1], e[3]) <= lat <= max(e[1], e[3]) and abs((e[2] - e[0]) * (lat - e[1]) - (e[3] - e[1]) * (lon - e[0])) < 1e-9
+
+    points = [p for p in points if not any(on_edge(e, p[1], p[2]) for es in edges_of.values() for e in es)]
+    want = sorted((k, i) for i, lat, lon in points for k, es in edges_of.items() if sum((e[1] > lat) != (e[3] > lat) and lon < meets(e, lat) for e in es) % 2)
+    at = spark.createDataFrame(points, "loc_id bigint, lat double, lon double")
+    areas = spark.createDataFrame(regions, "area_id bigint, boundary string")
+    assert len(want) > 100
+    for how in ({}, {"step": 0.7}, {"broadcast_bytes": 0, "points_of_cell": 3}):
+        assert sorted((r.region_id, r.point_id) for r in nearby.containing(at, areas, "loc_id", "area_id", "boundary", **how).collect()) == want
