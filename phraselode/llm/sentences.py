@@ -81,7 +81,8 @@ _BEFORE = re.compile(r"[^\s“”„«»‹›\"()\[\]（）「」—–,;:!?¿
 _OPENERS = "(['‘“„\"«¿¡"
 _THAI = re.compile(r"[ก-๛]")
 _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
-_STARTS = re.compile(r"(?:^|[!?…]\s+|[\n\r]\s*[\n\r]\s*)([^\W\d_]+)")
+_SEGMENTS = re.compile(r"(?<=[.!?…]) ")
+_INNER = re.compile(r"(?<=[\w,;:]) (\S+)")
 _FIRST = re.compile(r"[^\W\d_]+")
 _NEXT_TOKEN = re.compile(r"\w+\.?")
 
@@ -131,15 +132,26 @@ class Words:
 
     def __init__(self, text: str):
         cased = not (text.islower() or text.isupper())
-        self.parts = parts = text.split() if cased else []
-        self.counts = Counter(parts)
+        self.parts = text.split() if cased else []
+        self.line = " ".join(self.parts)
         self.before_lower, self.before_number, self.before_capital = {}, {}, {}
         self.ordinal, self.begins = set(), set()
         self.ending: set[str] = set()  # words with a stop before one that the text has in lower case too: they end sentences
         self._names: dict[str, int] = {}
-        for i, part in enumerate(parts[:-1]):
-            if part[-1] == ".":
-                self._stop(part[:-1].lstrip(_OPENERS), parts[i + 1])
+        self._counts: dict[str, int] | None = None
+        self.forms = set(self.parts)
+        before = ""
+        for sentence in self.line.split(". "):
+            if before:
+                token, gap, _ = sentence.partition(" ")
+                self._stop(before.lstrip(_OPENERS), token if gap else token + ".")
+            before = sentence.rpartition(" ")[2]
+
+    @property
+    def counts(self) -> dict[str, int]:
+        if self._counts is None:
+            self._counts = Counter(self.parts)
+        return self._counts
 
     def _stop(self, word: str, token: str) -> None:
         if not word:
@@ -167,7 +179,7 @@ class Words:
     def has_lower(self, word: str) -> bool:
         """Whether the text has a word that is given as a name in lower case as well."""
         low = word.lower()
-        return low != word and (low in self.counts or low + "," in self.counts)
+        return low != word and (low in self.forms or low + "," in self.forms)
 
     def times(self, form: str) -> int:
         """How often a form of a word occurs, with no stop of its own."""
@@ -178,7 +190,7 @@ class Words:
         """How often the word, given in lower case, occurs as a name within sentences: behind a word or comma."""
         if word not in self._names:
             name, n = word[:1].upper() + word[1:], 0
-            for form in (name, name + ",", name + ";", name + ":") if name != word else ():
+            for form in {name, name + ",", name + ";", name + ":"} & self.forms if name != word else ():
                 at = -1
                 for _ in range(self.counts.get(form, 0)):
                     at = self.parts.index(form, at + 1)
@@ -188,14 +200,8 @@ class Words:
 
     def inner(self) -> list[str]:
         """The tokens within sentences, that is behind a word or comma."""
-        parts, begin, out = self.parts, 0, []
-        for end in (*(i for i, p in enumerate(parts) if p[-1] in ".!?…"), len(parts) - 1):
-            segment = parts[begin : end + 1]
-            begin, joined = end + 1, " ".join(segment)
-            # Where a stretch has no capital at all, names are in lower case too.
-            if segment and not joined.islower() and not joined.isupper():
-                out += [b for a, b in zip(segment, segment[1:]) if a[-1].isalnum() or a[-1] in ",;:"]
-        return out
+        # Where a stretch has no capital at all, names are in lower case too.
+        return _INNER.findall(" . ".join([x for x in _SEGMENTS.split(self.line) if not x.islower() and not x.isupper()]))
 
 
 _EDGES = ",;:!?()[]\"'“”„«»…"
@@ -225,6 +231,7 @@ class _Document:
     def __init__(self, text: str, said: dict[str, int]):
         self.text, self.said = text, said
         self._words: Words | None = None
+        self._lower_text = text.lower()
         self._danda = "।" in text
 
     @property
@@ -246,13 +253,14 @@ class _Document:
     def kind(self, word: str, this: int = 0) -> int:
         """TITLE, ABBREVIATION (with TENDS if a sentence mostly ends with it, LISTED if only the list has it) or ORDINARY, 0 if nothing is known; ``this``
         is 1 where the place that is asked for is itself before lower case or a number."""
-        own = self.words
-        alone = not own.times(word) and not own.name(word) and word not in own.ending
-        if alone and own.before_lower.get(word, 0) > this:
+        # Only what the document has with a stop once more can be settled by it.
+        own = self.words if self._lower_text.count(word + ".") > 1 else None
+        alone = lambda: word not in own.ending and not own.times(word) and not own.name(word)
+        if own and own.before_lower.get(word, 0) > this and alone():
             return ABBREVIATION
         if said := self.said[word] & (TITLE | ABBREVIATION | ORDINARY | TENDS | FIRM):
             return said
-        if alone and own.before_number.get(word, 0) > this:
+        if own and own.before_number.get(word, 0) > this and alone():
             return ABBREVIATION
         return TITLE if word in FOLLOWED and word not in _AMBIGUOUS else ABBREVIATION | LISTED if word in MAY_END and word not in _AMBIGUOUS else 0
 
@@ -476,16 +484,15 @@ def sentence_units(text: str | None, corpus: Corpus | None = None) -> list[tuple
     return document_units(text, (corpus or Corpus()).said) if text else []
 
 
-_COUNTS = ("lower", "names", "capital", "unseen", "other", "first", "ordinal", "begins")
+_COUNTS = ("lower", "names", "capital", "unseen", "other", "ordinal", "begins")
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A word's counts in each run of texts: times within sentences in lower case and as a name; with a stop before a
-    capital, before one whose word the text has nowhere in lower case, and before lower case or a number; as a first
-    word; behind a number with a stop; behind another word with a stop."""
+    capital, before one whose word the text has nowhere in lower case, and before lower case or a number; behind a number with a stop; behind another word with a stop."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            lower, names, capital, unseen, other, first, ordinal, begins = counts = tuple(Counter() for _ in _COUNTS)
+            lower, names, capital, unseen, other, ordinal, begins = counts = tuple(Counter() for _ in _COUNTS)
             tokens: Counter[str] = Counter()
             for text in strings(batch.column(0)):
                 if not text or text.islower() or text.isupper():
@@ -499,7 +506,6 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     # A word without case tells nothing about names.
                     if after[0].isupper() and not words.has_lower(after):
                         unseen[word] += 1
-                first.update({w.lower() for w in _STARTS.findall(text)})
                 ordinal.update(words.ordinal)
                 begins.update(words.begins)
             for token, n in tokens.items():
@@ -524,7 +530,7 @@ def _flags() -> Column:
     # Of the words that begin sentences, texts have many in lower case as well; names they don't.
     title = (c["capital"] >= 2 * LEAST) & ((c["capital"] - c["unseen"]) * 25 <= c["capital"]) & ~abbreviation & ((c["lower"] + c["names"]) * 10 < stops)
     # Some names are spelt like a word. One may begin sentences too; what is never met in lower case tells nothing where case is missing.
-    starter = common & (c["first"] >= LEAST)
+    starter = common & (c["begins"] >= LEAST)
     ordinal = (c["ordinal"] >= LEAST) & (c["ordinal"] > c["names"]) & (c["ordinal"] > c["begins"]) & ~common
     kinds = ((common, COMMON), (starter, STARTER), (abbreviation, ABBREVIATION), (title, TITLE), ((stops >= LEAST) & ~abbreviation & ~title, ORDINARY), ((stops >= LEAST) & (c["capital"] > c["other"]), TENDS), (ordinal, ORDINAL), (abbreviation & (c["other"] > 4 * (c["capital"] + 1)), FIRM))
     return sum((F.when(k, f).otherwise(0) for k, f in kinds), F.lit(0)).cast("int")
