@@ -40,8 +40,11 @@ def run_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def identifier_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """What identifiers the lines of the documents hold."""
-    lines = table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    """What identifiers the lines of the documents are, and lines made of them so that every kind occurs."""
+    found = table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    line = F.col("line")
+    made = F.array(line, F.concat(F.lit("10.1234/"), F.md5(line)), (F.lit(100000) + F.length(line)).cast("string"), F.lit("ISSN: 1"), F.concat(F.lit("https://"), line), F.lit("doi 10.1/x"))
+    lines = found.select(F.explode(made).alias("line"))
     return lines.groupBy(readers.identifier_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -57,6 +60,7 @@ ORACLES = {
     "refs_semi": "SELECT doc_id FROM documents WHERE doc IN (SELECT doc FROM gold WHERE doc IS NOT NULL)",
     "missing_anti": "SELECT DISTINCT topic, doc, candidate FROM candidates c WHERE candidate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM scores s WHERE s.topic = c.topic AND s.doc = c.doc AND s.candidate = c.candidate AND s.score IS NOT NULL AND NOT isnan(s.score))",
     "geoparse_extract_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "identifier_kinds": r"SELECT CASE WHEN regexp_matches(line, '\b10\.\d{4,9}/\S+') THEN 'DOI' WHEN regexp_matches(line, '(?i)\bpmid:?\s*\d+') THEN 'PMID' WHEN regexp_matches(line, '\b\d{4}-\d{3}[\dX]\b') THEN 'ISSN' WHEN regexp_matches(line, '(?i)https?://|www\.|\b[a-z0-9-]+\.[a-z0-9-]+\.[a-z]{2,}\b') THEN 'Web' ELSE 'Other' END AS kind, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1",
+    "identifier_kinds": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT unnest([line, '10.1234/' || md5(line), CAST(100000 + length(line) AS VARCHAR), 'ISSN: 1', 'https://' || line, 'doi 10.1/x']) AS line FROM l)
+SELECT CASE WHEN regexp_matches(line, '^10.[0-9]{4,9}[/=][-._;()/:a-zA-Z0-9]') THEN 'DOI' WHEN regexp_matches(line, '^[0-9]{6}') THEN 'PMID' WHEN starts_with(line, 'ISSN:') THEN 'ISSN' WHEN starts_with(line, 'http://') OR starts_with(line, 'https://') THEN 'Web' ELSE 'Other' END AS kind, count(*) AS n FROM k GROUP BY 1""",
     "incidence_sums": "SELECT topic, candidate, CAST(sum(n) AS BIGINT) AS n FROM (SELECT DISTINCT * FROM incidence WHERE candidate IS NOT NULL AND n IS NOT NULL) GROUP BY ALL",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,13 @@ def _words(x: str) -> str:
     return f"list_filter(string_split_regex({x}, '{_SPACE}+'), lambda w: w <> '')"
 
 
+def _unescaped(x: str) -> str:
+    return reduce(lambda y, b: f"replace({y}, '{b[0]}', '{b[1]}')", (("-LRB-", "("), ("-RRB-", ")"), ("-LSB-", "["), ("-RSB-", "]"), ("-LCB-", "{"), ("-RCB-", "}")), x)
+
+
+_swapped = "translate(text, ' .', '()')"
+
+
 def _docs(name: str, out, sql: str) -> None:
     """A query that computes one column of every document."""
 
@@ -42,7 +51,7 @@ _docs("clean_line_breaks", text.remove_line_breaks, r"regexp_replace(text, '[\n\
 _docs("clean_whitespace", text.squeeze, f"regexp_replace(text, '{_SPACE}{{2,}}', ' ', 'g')")
 _docs("stopword_filter", text.remove_stop_words, f"array_to_string(list_filter({_words('text')}, lambda w: NOT list_contains({_STOP}, w)), ' ')")
 _docs("content_words", lambda t: F.array_join(text.content_words(t), " "), f"array_to_string(list_filter({_words('lower(text)')}, lambda w: NOT list_contains({_STOP}, w)), ' ')")
-_docs("unescape_brackets", lambda t: text.unescape_brackets(F.replace(t, F.lit("("), F.lit("-LRB-"))), "replace(text, '(', '(')")
+_docs("unescape_brackets", lambda t: F.concat_ws("|", text.unescape_brackets(t), text.unescape_brackets(F.translate(t, " .", "()")), text.unescape_brackets(reduce(lambda x, b: F.replace(x, F.lit(b[1]), F.lit(b[0])), text.BRACKETS.items(), F.translate(t, "aeiotn", "()[]{}")))), f"concat_ws('|', {_unescaped('text')}, {_unescaped(_swapped)}, translate(text, 'aeiotn', '()[]{{}}'))")
 _docs("doc_truncate_words", lambda t: text.truncate_words(t, 50), f"array_to_string({_words('text')}[1:50], ' ')")
 _docs("clean_document", text.clean_document, "trim(replace(replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, '[ \\t\\r\\n,]+\\n', chr(10), 'g'), '(^|[^a-zA-Z0-9, \\t\\r\\n])\\n', '\\1' || chr(1), 'g'), chr(10), ' '), chr(1), chr(10)), '([ \\t\\r\\n])[ \\t\\r\\n]+', '\\1', 'g'), '[<>\\[\\]{}\\t]', ' ', 'g'), ' /p ' || chr(10), chr(10)), ' p ', chr(10)), ' ' || chr(10))")
 _docs("model_text", text.normalize_for_model, f"trim(regexp_replace(regexp_replace(text, '{_sql(text.PUNCTUATION)}', ' ', 'g'), '{_SPACE}{{2,}}', ' ', 'g'), ' ')")
@@ -220,6 +229,7 @@ def char_positions(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).withColumn("pos", at).select("cand_id", "pos", chunking.word_index(F.col("text"), F.col("pos"), F.col("candidate")).cast("bigint").alias("word_at"))
 
 
+O["annotated_texts"] = rf"WITH {_PAIRS} SELECT cand_id, md5(regexp_replace(text, '(?i)' || regexp_replace(candidate, '([\\\[\](){{}}.*+?^$|])', '\\\1', 'g') || '(?:$|([^\p{{L}}\p{{N}}]))', '[KP]\1', 'g')) AS annotated FROM p"
 O["char_positions"] = f"""WITH {_PAIRS}, x AS (SELECT cand_id, candidate, text, string_split(text, candidate) AS parts, len(string_split_regex(trim(text, ' '), '\\s+')) AS n FROM p),
 y AS (SELECT *, unnest(range(1, len(parts))) AS k FROM x), z AS (SELECT *, CAST(list_sum(list_transform(parts[1:k], lambda a: length(a))) + (k - 1) * length(candidate) AS INTEGER) AS pos FROM y)
 SELECT cand_id, pos, CAST(floor((pos + length(candidate) / 2) / (length(text) / n)) AS BIGINT) AS word_at FROM z"""

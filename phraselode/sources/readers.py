@@ -21,17 +21,20 @@ class Collection:
     gold: DataFrame
 
     def aligned(self) -> Collection:
-        """Only documents with gold, and gold of documents that are there; gold of whole topics stays with its topic."""
-        docs = self.documents.join(self.gold.filter("doc IS NOT NULL").select("doc").distinct(), "doc", "left_semi")
-        gold = self.gold.join(self.documents.select("doc"), "doc", "left_semi")
-        return Collection(docs.select(*self.documents.columns), gold.select(*self.gold.columns))
+        """Only documents with gold of their own, and gold of documents that are there. Documents are known by topic and
+        doc, a null topic being one like any other. Gold of whole topics goes, as it belongs to no document."""
+        same = lambda a, b: (F.col(f"{a}.doc") == F.col(f"{b}.doc")) & F.col(f"{a}.topic").eqNullSafe(F.col(f"{b}.topic"))
+        docs = self.documents.alias("d").join(self.gold.filter("doc IS NOT NULL").select("topic", "doc").distinct().alias("g"), same("d", "g"), "left_semi")
+        gold = self.gold.alias("g").join(self.documents.select("topic", "doc").alias("d"), same("g", "d"), "left_semi")
+        return Collection(docs, gold)
 
     def first(self, n: int) -> Collection:
         """The first ``n`` documents by name, all for -1."""
         if n < 0:
             return self
         docs = self.documents.orderBy("topic", "doc").limit(n)
-        return Collection(docs, self.gold.join(docs.select("doc"), "doc", "left_semi").select(*self.gold.columns))
+        own = F.col("g.topic").eqNullSafe(F.col("d.topic")) & (F.col("g.doc") == F.col("d.doc"))
+        return Collection(docs, self.gold.alias("g").join(docs.select("topic", "doc").alias("d"), own, "left_semi"))
 
     def only(self, doc: str) -> Collection:
         return Collection(self.documents.filter(F.col("doc") == doc), self.gold.filter(F.col("doc") == doc))
@@ -53,13 +56,14 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("doc"), F.col("value").alias("text"))
 
 
-def topic_json(spark: SparkSession, path: str, most_variants: int | None = None) -> Collection:
+def topic_json(spark: SparkSession, path: str, most_variants: int | None = None, lines: bool = False) -> Collection:
     """{topic: {documents: {doc: text}, keyphrases: [[variant, ...], ...]}}; the gold belongs to the topic.
 
+    A file is one object, or with ``lines`` each of its lines is one; a topic may come several times.
     ``most_variants`` keeps so many variants of a topic, counted through its clusters.
     """
     schema = "map<string, struct<documents: map<string, string>, keyphrases: array<array<string>>>>"
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("topic", "t"))
+    whole = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", schema)).alias("topic", "t"))
     docs = whole.select("topic", F.explode("t.documents").alias("doc", "text"))
     gold = whole.select("topic", F.posexplode("t.keyphrases").alias("cluster", "v")).select("topic", F.lit(None).cast("string").alias("doc"), "cluster", F.posexplode("v").alias("variant_pos", "phrase"))
     if most_variants is not None:
@@ -172,9 +176,9 @@ def load(spark: SparkSession, kind: str, *paths: str, stem: str | None = None, *
 # Places.
 
 
-def geoparse_json(spark: SparkSession, path: str) -> DataFrame:
-    """topic, doc, lat, lon: the distinct points of {topic: {doc: "[{'geo': {'lat': ..., 'lon': ...}, ...}, ...]"}}."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("topic", "d"))
+def geoparse_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """topic, doc, lat, lon: the distinct points of {topic: {doc: "[{'geo': {'lat': ..., 'lon': ...}, ...}, ...]"}}, an object a file or line."""
+    rows = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("topic", "d"))
     return entries_to_points(rows.select("topic", F.explode("d").alias("doc", "entries")))
 
 
@@ -220,8 +224,8 @@ def similarity_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sentence1", "sentence2", (F.col("score").try_cast("double") / 5).alias("score"), "split")
 
 
-# Kinds of identifiers and their patterns, the first that matches counts.
-_KINDS = {"DOI": r"\b10\.\d{4,9}/\S+", "PMID": r"(?i)\bpmid:?\s*\d+", "ISSN": r"\b\d{4}-\d{3}[\dX]\b", "Web": r"(?i)https?://|www\.|\b[a-z0-9-]+\.[a-z0-9-]+\.[a-z]{2,}\b"}
+# Kinds of identifiers and how a line of each begins, the first that matches counts.
+_KINDS = {"DOI": r"^10.\d{4,9}[/=][-._;()/:a-zA-Z0-9]+", "PMID": r"^[0-9]{6,8}", "ISSN": r"^ISSN:", "Web": r"^https?://"}
 
 
 def identifier_kind(line: Column) -> Column:

@@ -125,7 +125,7 @@ def test_pickle(spark, tmp_path):
 def test_small_readers(spark, tmp_path):
     (tmp_path / "s.tsv").write_text('sentence1\tsentence2\tscore\tsplit\na "b\tc\t2.5\ttrain\n')
     assert tuple(readers.similarity_pairs(spark, str(tmp_path / "s.tsv")).first()) == ('a "b', "c", 0.5, "train")
-    lines = spark.createDataFrame([("doi 10.1000/xyz",), ("PMID: 123",), ("ISSN 1234-567X",), ("see www.a.org",), ("plain",)], "l string")
+    lines = spark.createDataFrame([("10.1000/xyz",), ("12345678",), ("ISSN: 1234-567X",), ("https://www.a.org",), ("doi 10.1000/xyz",)], "l string")
     assert [r[0] for r in lines.select(readers.identifier_kind(F.col("l"))).collect()] == ["DOI", "PMID", "ISSN", "Web", "Other"]
 
 
