@@ -123,7 +123,15 @@ def _share(score: str) -> str:
 
 _POINTS = f"SELECT experiment, topic, result_id, count(*) OVER (PARTITION BY experiment, topic) AS n_items, {' + '.join(_share(s) for s in _SCORES)} AS points FROM {_ITEMS}"
 
+_KEPT = r"""k AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g') AS t FROM documents),
+g AS (SELECT doc_id, i, substring(t, i, 30) AS s FROM (SELECT doc_id, t, CAST(unnest(range(1, length(t) - 28)) AS BIGINT) AS i FROM k)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, s ORDER BY i) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, CAST(sum(least(30, coalesce(next - i, 30))) AS BIGINT) AS n_repeated FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM r) GROUP BY doc_id),
+f AS (SELECT doc_id, length(t) AS n_kept, coalesce(n_repeated, 0) AS n_repeated, CASE WHEN length(t) > 0 THEN coalesce(n_repeated, 0) / length(t) ELSE 0.0 END AS share FROM k LEFT JOIN c USING (doc_id))"""
+
 ORACLES = {
+    "p10_share": f"WITH {_KEPT} SELECT doc_id, n_kept, n_repeated, share FROM f",
+    "p10_found": f"WITH {_KEPT} SELECT doc_id FROM f WHERE share >= 1 / 3",
     "p2_points": f"SELECT experiment, topic, result_id, n_items, round(points, 9) AS points FROM ({_POINTS})",
     "p2_found": f"SELECT experiment, topic, result_id FROM (SELECT *, row_number() OVER (PARTITION BY experiment, topic ORDER BY round(points, 12) DESC, result_id) AS place FROM ({_POINTS}) WHERE n_items >= 40) WHERE place <= 5",
     "p3_counts": f"SELECT term, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_docs FROM {_CELLS} GROUP BY 1",
