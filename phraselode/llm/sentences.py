@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,7 @@ _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
 _SEGMENTS = re.compile(r"(?<=[.!?…]) ")
 _INNER = re.compile(r"(?<=[\w,;:]) (\S+)")
 _FIRST = re.compile(r"[^\W\d_]+")
+_GOES_ON = re.compile(rf"\s+[{re.escape(_OPENERS)}]*(\w\w?)")
 _NEXT_TOKEN = re.compile(r"\w+\.?")
 
 
@@ -231,7 +233,9 @@ class _Document:
     def __init__(self, text: str, said: dict[str, int]):
         self.text, self.said = text, said
         self._words: Words | None = None
-        self._lower_text = text.lower()
+        low = text.lower()
+        self._lower_text = low if len(low) == len(text) else text
+        self._places: dict[str, tuple[int, int]] = {}
         self._danda = "।" in text
 
     @property
@@ -253,14 +257,13 @@ class _Document:
     def kind(self, word: str, this: int = 0) -> int:
         """TITLE, ABBREVIATION (with TENDS if a sentence mostly ends with it, LISTED if only the list has it) or ORDINARY, 0 if nothing is known; ``this``
         is 1 where the place that is asked for is itself before lower case or a number."""
-        # Only what the document has with a stop once more can be settled by it.
-        own = self.words if self._lower_text.count(word + ".") > 1 else None
-        alone = lambda: word not in own.ending and not own.times(word) and not own.name(word)
-        if own and own.before_lower.get(word, 0) > this and alone():
+        lower, number = self._goes_on(word)
+        alone = lambda: word not in self.words.ending and not self.words.times(word) and not self.words.name(word)
+        if lower > this and alone():
             return ABBREVIATION
         if said := self.said[word] & (TITLE | ABBREVIATION | ORDINARY | TENDS | FIRM):
             return said
-        if own and own.before_number.get(word, 0) > this and alone():
+        if number > this and alone():
             return ABBREVIATION
         return TITLE if word in FOLLOWED and word not in _AMBIGUOUS else ABBREVIATION | LISTED if word in MAY_END and word not in _AMBIGUOUS else 0
 
@@ -435,6 +438,24 @@ class _Document:
             return self.starts(low) or self.is_common(t)
         return True
 
+    def _goes_on(self, word: str) -> tuple[int, int]:
+        """How often the document has the word with a stop before lower case, and before a number."""
+        if word not in self._places:
+            lower = number = 0
+            low, text, at = self._lower_text, self.text, -1
+            # Only what the document has with a stop once more can be settled by it.
+            n = low.count(word + ".")
+            for _ in range(n if n > 1 else 0):
+                at = low.find(word + ".", at + 1)
+                after = at + len(word) + 1
+                if at > 0 and text[at - 1].isalnum() or not text[after : after + 1].isspace():
+                    continue
+                m = _GOES_ON.match(text, after)
+                if m and not _mixed(m[1]):
+                    lower, number = lower + m[1][0].islower(), number + m[1][0].isdigit()
+            self._places[word] = (lower, number)
+        return self._places[word]
+
     def _follows_ordinals(self, word: str) -> bool:
         return bool(self.said[word] & ORDINAL) or word in MONTHS
 
@@ -488,10 +509,10 @@ _COUNTS = ("lower", "names", "capital", "unseen", "other", "ordinal", "begins")
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A word's counts in each run of texts: times within sentences in lower case and as a name; with a stop before a
+    """word, kind (a place in _COUNTS), n: a word's counts in each run of texts: times within sentences in lower case and as a name; with a stop before a
     capital, before one whose word the text has nowhere in lower case, and before lower case or a number; behind a number with a stop; behind another word with a stop."""
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 32_000_000):
             lower, names, capital, unseen, other, ordinal, begins = counts = tuple(Counter() for _ in _COUNTS)
             tokens: Counter[str] = Counter()
             for text in strings(batch.column(0)):
@@ -516,8 +537,9 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         lower[low] += n
                     elif len(form) == 1 or not form.isupper():
                         names[low] += n
-            known = list(set().union(*counts))
-            yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), *(pa.array([c[w] for w in known], pa.int64()) for c in counts)], ["word", *_COUNTS])
+            kinds = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c in counts])
+            words = [w for c in counts for w in c]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(kinds), pa.array([n for c in counts for n in c.values()], pa.int64())], ["word", "kind", "n"])
 
 
 def _flags() -> Column:
@@ -538,8 +560,8 @@ def _flags() -> Column:
 
 def _counted(docs: DataFrame, text_col: str) -> DataFrame:
     """word, said, capital, other, total of the words of which anything can be said."""
-    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_contexts, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
-    sums = sums.groupBy("word").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_contexts, "word string, kind int, n bigint")
+    sums = sums.groupBy("word").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(_COUNTS)))
     known = sums.select("word", _flags().alias("said"), "capital", "other", sum(F.col(c) for c in _COUNTS).alias("total"))
     return durable(known.filter(F.col("said") > 0))
 
