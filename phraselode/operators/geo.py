@@ -200,7 +200,11 @@ HSIC_LOCAL, BINS = 2048, 4096
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    """Squared distances, without an array of all differences at once; those of equal rows are exactly 0."""
+    out = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        out += (a[:, k, None] - b[None, :, k]) ** 2
+    return out
 
 
 def _widths(items: DataFrame, column: str, size: int) -> DataFrame:

@@ -314,31 +314,35 @@ def affinity_ranking(items: DataFrame, damping: float = 0.85, decay: float = 0.9
 
     def large(many: DataFrame) -> DataFrame:
         kind = many.schema["topic"].dataType.simpleString()
-        maps = _sums(many.withColumn("x", F.lit(1.0)), kind, lambda v, x: (v.T @ v).ravel())
+        sizes = many.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
 
-        def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def powered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = []
-                for v, g in zip(b["vec"], b["_s"]):
-                    gram = g.reshape(len(v), -1)
-                    q, c = power_sum(gram, decay, powers)
-                    out.append((float(_row_scale(v[None], q, c, gram)[0]), q.ravel(), c))
-                yield pd.DataFrame({"topic": b["topic"], "id": b["id"], "vec": b["vec"], "scale": [o[0] for o in out], "q": [o[1] for o in out], "c": [o[2] for o in out]})
+                made = [power_sum(g.reshape(int(len(g) ** 0.5), -1), decay, powers) for g in b["_s"]]
+                yield pd.DataFrame({"topic": b["topic"], "_n": b["_n"], "gram": b["_s"], "q": [q.ravel() for q, _ in made], "c": [c for _, c in made]})
 
-        # One Gram matrix a large topic.
-        state = durable(many.join(F.broadcast(maps), "topic").mapInPandas(scaled, f"topic {kind}, id bigint, vec array<double>, scale double, q array<double>, c double"))
+        # One row a large topic; a topic's matrices go to a task once for each slab of its rows.
+        grams = _sums(many.withColumn("x", F.lit(1.0)), kind, lambda v, x: (v.T @ v).ravel())
+        maps = durable(grams.join(sizes, "topic").mapInPandas(powered, f"topic {kind}, _n bigint, gram array<double>, q array<double>, c double"))
+
+        def scaled(rows: pd.DataFrame, of: pd.Series) -> pd.DataFrame:
+            v = np.stack(rows["vec"].to_numpy())
+            d = v.shape[1]
+            return pd.DataFrame({"topic": rows["topic"], "id": rows["id"], "vec": rows["vec"], "scale": _row_scale(v, of["q"].reshape(d, d), of["c"], of["gram"].reshape(d, d))})
+
+        state = durable(_by_slab(many, maps, scaled, f"topic {kind}, id bigint, vec array<double>, scale double"))
 
         def times(x: DataFrame) -> DataFrame:
-            """topic, id, y = (U q U' + c I) x."""
+            """topic, id, y = (U q U' + c I) x: q meets the vector U' x once a topic, the rows only a vector."""
             both = state.join(x, ["topic", "id"])
-            s = _sums(both.select("topic", "vec", "x"), kind, lambda v, w: v.T @ w)
 
-            def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for b in batches:
-                    y = [float(v @ (q.reshape(len(v), -1) @ t)) + c * w for v, q, t, c, w in zip(b["vec"], b["q"], b["_s"], b["c"], b["x"])]
-                    yield pd.DataFrame({"topic": b["topic"], "id": b["id"], "y": y})
+                    yield pd.DataFrame({"topic": b["topic"], "_n": b["_n"], "_t": [q.reshape(len(t), -1) @ t for q, t in zip(b["q"], b["_s"])], "_c": b["c"]})
 
-            return both.join(F.broadcast(s), "topic").mapInPandas(apply, f"topic {kind}, id bigint, y double")
+            s = _sums(both.select("topic", "vec", "x"), kind, lambda v, w: v.T @ w)
+            to = maps.drop("gram").join(s, "topic").mapInPandas(turned, f"topic {kind}, _n bigint, _t array<double>, _c double")
+            return lookup(both, to, ["topic"], "_n").select("topic", "id", (dot(F.col("vec"), F.col("_t")) + F.col("_c") * F.col("x")).alias("y"))
 
         scales = state.select("topic", "id", "scale")
 
@@ -360,6 +364,26 @@ def _row_scale(vectors: np.ndarray, q: np.ndarray, c: float, gram: np.ndarray) -
     return 1 / np.sqrt(np.maximum(squares, 1e-300))
 
 
+#: Rows of a topic that are computed with its matrix at once.
+SLAB = 1024
+
+
+def _by_slab(rows: DataFrame, maps: DataFrame, function: Callable[[pd.DataFrame, pd.Series], pd.DataFrame], out: str, slab: int | None = None) -> DataFrame:
+    """The function of every slab of a topic's rows and the topic's row of ``maps`` (with _n, its number of rows).
+
+    Rows are hashed into slabs by id; a matrix travels once for each of them, not with every row, and nothing is broadcast
+    but the names of hot topics.
+    """
+    slabs = F.ceil(F.col("_n") / (slab or SLAB)).cast("int")
+    placed = lookup(rows, maps.select("topic", "_n", slabs.alias("_slabs")), ["topic"], "_n").withColumn("_slab", F.pmod(F.xxhash64("id"), F.col("_slabs")).cast("int")).drop("_slabs")
+    copies = maps.withColumn("_slab", F.explode(F.sequence(F.lit(0), slabs - 1)))
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return function(left, right.iloc[0]) if len(left) and len(right) else pd.DataFrame(columns=[c.strip().split()[0] for c in out.split(",")])
+
+    return placed.groupBy("topic", "_slab").cogroup(copies.groupBy("topic", "_slab")).applyInPandas(both, out)
+
+
 def _sums(rows: DataFrame, kind: str, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """topic, _s: the sum over a topic's vectors of an array, first within each batch."""
 
@@ -443,16 +467,15 @@ def whitened(items: DataFrame, local: int = LOCAL) -> DataFrame:
         n, s, q = rows["n"].sum(), np.sum(np.stack(rows["s"].to_numpy()), axis=0), np.sum(np.stack(rows["q"].to_numpy()), axis=0)
         mean = s / n
         u, d, _ = np.linalg.svd(q.reshape(len(s), -1) / n - np.outer(mean, mean))
-        return pd.DataFrame({"topic": [rows["topic"].iloc[0]], "mean": [mean], "axes": [(u / np.sqrt(np.maximum(d, 1e-12))).ravel()]})
+        return pd.DataFrame({"topic": [rows["topic"].iloc[0]], "_n": [n], "mean": [mean], "axes": [(u / np.sqrt(np.maximum(d, 1e-12))).ravel()]})
 
-    maps = parts.groupBy("topic").applyInPandas(axes, f"topic {kind}, mean array<double>, axes array<double>")
+    maps = durable(parts.groupBy("topic").applyInPandas(axes, f"topic {kind}, _n bigint, mean array<double>, axes array<double>"))
 
-    def project(batches):
-        for b in batches:
-            v = np.stack([units(((r.vec - r.mean) @ r.axes.reshape(len(r.mean), -1))[None])[0] for r in b.itertuples()])
-            yield pd.DataFrame({"topic": b["topic"], "id": b["id"], "vec": list(v)})
+    def project(rows: pd.DataFrame, of: pd.Series) -> pd.DataFrame:
+        v = units((np.stack(rows["vec"].to_numpy()) - of["mean"]) @ of["axes"].reshape(len(of["mean"]), -1))
+        return pd.DataFrame({"topic": rows["topic"], "id": rows["id"], "vec": list(v)})
 
-    return found.unionByName(large.join(F.broadcast(maps), "topic").select("topic", "id", "vec", "mean", "axes").mapInPandas(project, f"topic {kind}, id bigint, vec array<double>"))
+    return found.unionByName(_by_slab(large.select("topic", "id", "vec"), maps, project, f"topic {kind}, id bigint, vec array<double>"))
 
 
 def _components(near: np.ndarray) -> np.ndarray:
@@ -533,23 +556,22 @@ def _projected(items: DataFrame, n: int) -> DataFrame:
 
     def axes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            maps, means = [], []
+            maps, means, sizes = [], [], []
             for s in b["_s"]:
                 d = int((np.sqrt(4 * len(s) - 3) - 1) / 2)
                 mean = s[1 : d + 1] / s[0]
                 _, found = np.linalg.eigh(s[d + 1 :].reshape(d, d) / s[0] - np.outer(mean, mean))
                 found = found[:, ::-1][:, :n]
                 maps.append((found * np.sign(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])])).ravel())
-                means.append(mean)
-            yield pd.DataFrame({"topic": b["topic"], "mean": means, "axes": maps})
+                means.append(mean), sizes.append(int(s[0]))
+            yield pd.DataFrame({"topic": b["topic"], "_n": sizes, "mean": means, "axes": maps})
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"topic": b["topic"], "id": b["id"], "vec": [(v - m) @ a.reshape(len(m), -1) for v, m, a in zip(b["vec"], b["mean"], b["axes"])]})
+    def project(rows: pd.DataFrame, of: pd.Series) -> pd.DataFrame:
+        v = (np.stack(rows["vec"].to_numpy()) - of["mean"]) @ of["axes"].reshape(len(of["mean"]), -1)
+        return pd.DataFrame({"topic": rows["topic"], "id": rows["id"], "vec": list(v)})
 
-    # One map a large topic.
-    maps = sums.mapInPandas(axes, f"topic {kind}, mean array<double>, axes array<double>")
-    return items.join(F.broadcast(maps), "topic").select("topic", "id", "vec", "mean", "axes").mapInPandas(project, f"topic {kind}, id bigint, vec array<double>")
+    maps = durable(sums.mapInPandas(axes, f"topic {kind}, _n bigint, mean array<double>, axes array<double>"))
+    return _by_slab(items.select("topic", "id", "vec"), maps, project, f"topic {kind}, id bigint, vec array<double>")
 
 
 def cluster_medoids(items: DataFrame, least: float = 0.3, min_samples: int = 2, components: int = 0, most: int = LOCAL) -> DataFrame:
