@@ -77,7 +77,7 @@ _EVENT = re.compile(rf"(?P<span>{_SPAN})|(?!\.\d)[{_STOPS}]+[{_CLOSERS}]*|[{_WID
 _BREAK = r"(?:\r\n|[\n\x0b\x0c\x85  ]|\r(?!\n))"
 _PARAGRAPHS = re.compile(rf"{_BREAK}\s*?{_BREAK}\s*| \s*")
 _SPACE = re.compile(r"\s+")
-_NEXT = re.compile(r"[^\w\s]*([^\W_]+)")
+_AHEAD = re.compile(r"(\s*)(?:[^\w\s]*([^\W_]+))?")
 _BEFORE = re.compile(r"[^\s“”„«»‹›\"()\[\]（）「」—–,;:!?¿¡/]+$")
 _OPENERS = "(['‘“„\"«¿¡"
 _THAI = re.compile(r"[ก-๛]")
@@ -257,11 +257,14 @@ class _Document:
     def kind(self, word: str, this: int = 0) -> int:
         """TITLE, ABBREVIATION (with TENDS if a sentence mostly ends with it, LISTED if only the list has it) or ORDINARY, 0 if nothing is known; ``this``
         is 1 where the place that is asked for is itself before lower case or a number."""
+        said = self.said[word] & (TITLE | ABBREVIATION | ORDINARY | TENDS | FIRM)
         lower, number = self._goes_on(word)
+        if said & ABBREVIATION and lower + number > this:
+            return said  # both say so
         alone = lambda: word not in self.words.ending and not self.words.times(word) and not self.words.name(word)
         if lower > this and alone():
             return ABBREVIATION
-        if said := self.said[word] & (TITLE | ABBREVIATION | ORDINARY | TENDS | FIRM):
+        if said:
             return said
         if number > this and alone():
             return ABBREVIATION
@@ -311,14 +314,11 @@ class _Document:
                 begin += 1
         return ends
 
-    def _following(self, part: str, pos: int) -> tuple[str, bool, bool]:
-        """The next word; whether white space comes before it; whether only opening marks do."""
-        spaced = pos < len(part) and part[pos].isspace()
-        p = pos
-        while p < len(part) and part[p].isspace():
-            p += 1
-        m = _NEXT.match(part, p)
-        return (m[1] if m else "", spaced, bool(m) and m.start(1) == p)
+    def _following(self, part: str, pos: int) -> tuple[str, bool, str]:
+        """The next word; whether white space comes before it; the first character that is none."""
+        m = _AHEAD.match(part, pos)
+        at = m.end(1)
+        return m[2] or "", at > pos, part[at : at + 1]
 
     def _span_ends(self, part: str, m: re.Match, begin: int) -> bool:
         """Whether a quotation or bracket that ends with an end mark also ends the sentence."""
@@ -329,9 +329,8 @@ class _Document:
         pos = m.end()
         if pos >= len(part):
             return True
-        word, spaced, _ = self._following(part, pos)
+        word, spaced, following = self._following(part, pos)
         whole = m.start() == begin
-        following = part[pos:].lstrip()[:1]
         if following in ",;:—–，、،；：-" or following and following in _STOPS + _WIDE + _OWN:
             return False
         if m.group()[0] in "([（《":
@@ -361,10 +360,9 @@ class _Document:
             return not (mark == "．" and part[pos].isdigit())
         if mark in _OWN and mark not in "؟۔":
             return True
-        word, spaced, bare = self._following(part, pos)
+        word, spaced, following = self._following(part, pos)
         if not spaced:
             return self._ends_without_space(part, begin, m, pos, word, mark)
-        following = part[pos:].lstrip()[:1]
         if following in ",;:)]»”" and following:
             return False
         lower = word[:1].islower() and not _mixed(word)
@@ -463,6 +461,9 @@ class _Document:
 def _token_before(part: str, begin: int, at: int) -> str:
     """What stands before a mark without white space, brackets, quotation marks and the like in it. A token above 4,096
     characters is cut: it is no word."""
+    token = part[part.rfind(" ", begin, at) + 1 or begin : at]
+    if token.isalnum():
+        return token
     width = 40
     while True:
         low = max(begin, at - width)
