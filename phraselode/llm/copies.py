@@ -2,9 +2,10 @@
 
 Method: dictionary encoding. Each Arrow batch's columns are dictionary-encoded; every distinct value is
 canonicalised once and gets an integer identifier; a record becomes the sorted tuple of its (field, value)
-integers; the compact tuples are grouped. The identifier is a 64-bit digest of the canonical value, so all tasks
-give the same value the same integer without exchanging a dictionary, and the tuple's key is a 128-bit digest.
-Copies carry 24 bytes through the shuffle, whatever the record's size.
+integers, a JSON object one integer for each of its own fields and values; the compact tuples are grouped. The
+identifier is a 128-bit digest of the canonical value, so all tasks give the same value the same integer without
+exchanging a dictionary, and the tuple's key is a 128-bit digest: among 10^13 values two differing ones share one
+with a probability of some 10^-13. Copies carry 24 bytes through the shuffle, whatever the record's size.
 """
 
 from __future__ import annotations
@@ -35,26 +36,27 @@ def words(text: str) -> str:
 
 
 def _identifier(kind: bytes, value: str) -> int:
-    return xxhash.xxh3_64_intdigest(kind + value.encode("utf-8", "surrogatepass")) | 1
+    return xxhash.xxh3_128_intdigest(kind + value.encode("utf-8", "surrogatepass")) | 1
 
 
 class Dictionary:
-    """Identifiers of a column's values: 0 for null."""
+    """Identifiers of a column's values: 0 for null, a sorted list for a value of several parts."""
 
-    def __init__(self, canonical: Callable[[str], str | None], kind: bytes):
+    def __init__(self, canonical: Callable[[str], str | list[str] | None], kind: bytes):
         self.canonical, self.kind, self.known = canonical, kind, {}
 
-    def __call__(self, value: str | None) -> int | None:
+    def __call__(self, value: str | None) -> int | list[int] | None:
         if value is None:
             return _NULL
         if value not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             canonical = self.canonical(value)
-            self.known[value] = None if canonical is None else _identifier(self.kind, canonical)
+            parts = isinstance(canonical, list)
+            self.known[value] = None if canonical is None else sorted(_identifier(self.kind, c) for c in canonical) if parts else _identifier(self.kind, canonical)
         return self.known[value]
 
-    def column(self, arr: pa.Array) -> list[int | None]:
+    def column(self, arr: pa.Array) -> list[int | list[int] | None]:
         coded = arr.dictionary_encode()
         ids = [self(v) for v in strings(coded.dictionary)]
         return [_NULL if i is None else ids[i] for i in coded.indices.to_pylist()]
@@ -72,6 +74,12 @@ def canonical_json(text: str) -> str | None:
     return json.dumps(_canonical(value)) if isinstance(value, dict) else None
 
 
+def canonical_fields(text: str) -> list[str] | None:
+    """The same by the object's own fields: name and value of each."""
+    whole = canonical_json(text)
+    return None if whole is None else [json.dumps(pair) for pair in json.loads(whole)[1:]]
+
+
 def _no_json(name: str):
     raise ValueError(name)
 
@@ -92,7 +100,7 @@ def _encoder(exact: list[str], by_words: list[str], sets: list[str], json_fields
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_is = Dictionary(lambda v: v, b"=")
         wordy = Dictionary(words, b"w")
-        objects = Dictionary(canonical_json, b"j")
+        objects = Dictionary(canonical_fields, b"j")
         no_words = _identifier(b"w", "")
         for batch in batches:
             at = dict(zip(batch.schema.names, batch.columns))
@@ -120,10 +128,11 @@ def _encoder(exact: list[str], by_words: list[str], sets: list[str], json_fields
             for i, key in enumerate(ids):
                 if key is None or any(columns[c][i] in (_NULL, _NO_CASE, no_words) for c in required):
                     continue
-                tup = [(f, columns[c][i]) for f, c in enumerate(order)]
+                values = [columns[c][i] for c in order]
+                tup = [(f, v) for f, x in enumerate(values) for v in (x if isinstance(x, list) else [x])]
                 for f, c in enumerate(sets, len(order)):
                     tup += [(f, -1)] if columns[c][i] is None else [(f, v) for v in columns[c][i]]
-                digest = xxhash.xxh3_128_digest(b"".join(struct.pack("<iQ", f, v % 2**64) for f, v in sorted(tup)))
+                digest = xxhash.xxh3_128_digest(b"".join(struct.pack("<i", f) + (v % 2**128).to_bytes(16, "little") for f, v in sorted(tup)))
                 a, b = struct.unpack("<qq", digest)
                 rows.append(key), k1.append(a), k2.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, k1, k2)], ["_id", "k1", "k2"])
