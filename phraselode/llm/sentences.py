@@ -572,6 +572,8 @@ Each = Callable[[str, dict[str, int]], list[tuple]]
 
 #: Rows of one text that a task gets.
 COPIES = 10_000
+#: The most bytes of texts' own words that are broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def _first_pass(each: Each, kinds: dict[str, pa.DataType], frequent: dict[str, int]):
@@ -634,8 +636,14 @@ def with_statistics(rows: DataFrame, of: DataFrame, corpus: Corpus | None, each:
     asked = first.filter("_key IS NOT NULL").select("_key", F.explode("asked").alias("word")).distinct()
     rarer = counted.filter(F.col("total") < most).select("word", "said")
     found = durable(asked.join(rarer, "word").groupBy("_key").agg(F.collect_set(F.struct("word", "said")).alias("_words")))
-    if found.isEmpty():
+    size = found.agg(F.sum(F.size("_words") * 48 + 64)).first()[0] or 0
+    if not size:
         return first.select("_id", F.inline("rows"))
+    if size <= BROADCAST_BYTES:
+        # Counted, so it may be sent: neither results nor texts are shuffled.
+        settled = first.join(F.broadcast(found.select("_key")), "_key", "left_anti").select("_id", F.inline("rows"))
+        again = keyed.join(F.broadcast(found), "_key").select("_id", "text", "_words").mapInArrow(_again(each, kinds, frequent), flat)
+        return settled.unionByName(again)
     # A text may have many copies: their rows are dealt out.
     hot = hot_keys(first.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), ["_key"], "n", COPIES)
     once = copied(found, hot, ["_key"])

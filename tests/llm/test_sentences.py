@@ -107,12 +107,13 @@ def test_lists_are_the_last_resort(spark, monkeypatch):
     assert both > 0.99 * sum(map(len, with_lists)) and both > 0.99 * sum(map(len, without))
 
 
-@pytest.mark.parametrize("copies", [2, 10_000])
-def test_words_joined_say_the_same_as_words_sent(spark, monkeypatch, copies):
+@pytest.mark.parametrize("copies,most", [(2, 0), (10_000, 0), (10_000, 32_000_000)])
+def test_words_joined_say_the_same_as_words_sent(spark, monkeypatch, copies, most):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.unionByName(docs.filter("doc_id < 20")).unionByName(docs.filter("doc_id < 10"))
     monkeypatch.setattr(sentences, "SENT_SHARE", 0.0)
     sent = sorted(map(tuple, sentences.split_sentences(docs).collect()))
     monkeypatch.setattr(sentences, "SENT_SHARE", 2.0)
     monkeypatch.setattr(sentences, "COPIES", copies)
+    monkeypatch.setattr(sentences, "BROADCAST_BYTES", most)
     assert sorted(map(tuple, sentences.split_sentences(docs).collect())) == sent
