@@ -641,13 +641,13 @@ def with_statistics(rows: DataFrame, of: DataFrame, corpus: Corpus | None, each:
         return first.select("_id", F.inline("rows"))
     if size <= BROADCAST_BYTES:
         # Counted, so it may be sent: neither results nor texts are shuffled.
-        settled = first.join(F.broadcast(found.select("_key")), "_key", "left_anti").select("_id", F.inline("rows"))
+        settled = first.filter("size(rows) > 0").join(F.broadcast(found.select("_key")), "_key", "left_anti").select("_id", F.inline("rows"))
         again = keyed.join(F.broadcast(found), "_key").select("_id", "text", "_words").mapInArrow(_again(each, kinds, frequent), flat)
         return settled.unionByName(again)
     # A text may have many copies: their rows are dealt out.
     hot = hot_keys(first.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), ["_key"], "n", COPIES)
     once = copied(found, hot, ["_key"])
-    settled = dealt(first, hot, ["_key"]).join(once.select("_key", "_turn"), ["_key", "_turn"], "left_anti").select("_id", F.inline("rows"))
+    settled = dealt(first.filter("size(rows) > 0"), hot, ["_key"]).join(once.select("_key", "_turn"), ["_key", "_turn"], "left_anti").select("_id", F.inline("rows"))
     again = dealt(keyed, hot, ["_key"]).join(once, ["_key", "_turn"]).select("_id", "text", "_words").mapInArrow(_again(each, kinds, frequent), flat)
     return settled.unionByName(again)
 

@@ -265,3 +265,11 @@ def test_words_by_script():
     assert len(perplexity._TOKEN.findall("में पानी बढ़ा")) == 3
     assert len(perplexity._TOKEN.findall("桥断了 ab")) == 4
     assert re.fullmatch(r"\d+", str(perplexity.word_hashes("x")[0]))
+
+
+def test_every_query_of_the_package_runs(spark):
+    from phraselode.llm import queries
+
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
+    for query in queries.QUERIES.values():
+        query(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
