@@ -16,7 +16,12 @@ class Config:
     min_len: int = 3
     max_words: int = 5
     top_n: int = 15
-    rank: str = "mean"  # a name of plans.pipeline.TOPIC_RANKS
+    extractor: str = "base"  # these names are keys of the tables in plans.pipeline
+    embedding: str = "mentions"
+    doc_rank: str = "embed"
+    mask: str = "all"
+    rank: str = "mean"
+    diversity: float = 0.5
     stem: bool = True
     places: str | None = None  # Parquet of topic, doc, lat, lon
     index: str = "moran"

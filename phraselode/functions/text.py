@@ -101,11 +101,12 @@ def clean_document(text: Column) -> Column:
     return F.trim(F.replace(F.replace(text, F.lit(" /p \n"), F.lit("\n")), F.lit(" p "), F.lit("\n")), F.lit(" \n"))
 
 
-def clean_phrase(phrase: Column) -> Column:
-    """A gold phrase in comparable form, before stemming; empty ones become null."""
+def clean_phrase(phrase: Column, stem: Callable[[Column], Column] | None = None) -> Column:
+    """A gold phrase in comparable form; empty ones become null. ``stem`` gets it before apostrophes are dropped."""
     phrase = F.trim(F.lower(phrase))
     phrase = F.replace(F.replace(phrase, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(""))
-    phrase = F.trim(F.replace(squeeze(remove_hyphens_and_dots(phrase)), F.lit("'"), F.lit("")))
+    phrase = squeeze(remove_hyphens_and_dots(phrase))
+    phrase = F.trim(F.replace(stem(phrase) if stem else phrase, F.lit("'"), F.lit("")))
     return F.when(phrase != "", phrase)
 
 

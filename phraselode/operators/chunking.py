@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, words
@@ -120,14 +120,28 @@ def prompt_phrases(sents: DataFrame, keys: Sequence[str] = ("topic", "doc"), dro
     return out
 
 
+def compatible_starts(sents: DataFrame, phrases: DataFrame, keys: Sequence[str] = ("topic", "doc")) -> DataFrame:
+    """``phrases`` (keys, sent, start, n_tokens) with compat_start: the tokens of all sentences up to and with the phrase's
+    own, and those of the phrases before it. It grows along a document but is no offset of a token."""
+    upto = Window.partitionBy(*keys).orderBy("sent")
+    lengths = sents.select(*keys, "sent", F.sum(F.size("tokens")).over(upto).alias("_upto"))
+    before = Window.partitionBy(*keys).orderBy("sent", "start").rowsBetween(Window.unboundedPreceding, -1)
+    own = phrases.withColumn("_before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return own.join(lengths, [*keys, "sent"]).withColumn("compat_start", F.col("_upto") + F.col("_before")).drop("_upto", "_before")
+
+
+def candidate_form(surface: Column) -> Column:
+    """A phrase in lower case with joined hyphens and stops."""
+    return F.trim(F.lower(F.replace(F.replace(surface, F.lit(" - "), F.lit("-")), F.lit(" ."), F.lit("."))))
+
+
 def candidates(phrases: DataFrame, keys: Sequence[str] = ("topic", "doc"), min_len: int = 0, max_words: int = 7) -> DataFrame:
     """keys, candidate, mentions, n_mentions, first_sent, first_start: one row for each phrase of a document.
 
     The candidate is the phrase in lower case with joined hyphens and stops; mentions is the sorted set of its surface
     forms. Phrases not longer than ``min_len`` characters or of more than ``max_words`` words are left out.
     """
-    form = F.trim(F.lower(F.replace(F.replace("surface", F.lit(" - "), F.lit("-")), F.lit(" ."), F.lit("."))))
-    kept = phrases.withColumn("candidate", form).filter((F.length("candidate") > min_len) & (F.size(words(F.col("candidate"))) <= max_words))
+    kept = phrases.withColumn("candidate", candidate_form(F.col("surface"))).filter((F.length("candidate") > min_len) & (F.size(words(F.col("candidate"))) <= max_words))
     first = F.min(F.struct("sent", "start"))
     out = kept.groupBy(*keys, "candidate").agg(F.array_sort(F.collect_set("surface")).alias("mentions"), F.count(F.lit(1)).alias("n_mentions"), first.alias("_f"))
     return out.select(*keys, "candidate", "mentions", "n_mentions", F.col("_f.sent").alias("first_sent"), F.col("_f.start").alias("first_start"))
@@ -135,8 +149,6 @@ def candidates(phrases: DataFrame, keys: Sequence[str] = ("topic", "doc"), min_l
 
 def longest_first(phrases: DataFrame, keys: Sequence[str] = ("topic", "doc")) -> DataFrame:
     """keys, surface, place: a document's distinct phrases, the longest first, equal lengths by their text."""
-    from pyspark.sql import Window
-
     unique = phrases.select(*keys, "surface").distinct()
     return unique.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.length("surface")), "surface")).cast("bigint"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesic import DECAYS, DISTANCES
@@ -47,8 +47,8 @@ def complete_cases(scores: DataFrame) -> DataFrame:
     return rows.join(whole.select("topic", "doc"), ["topic", "doc"], "left_semi")
 
 
-def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a: float = 500.0, distance: str = "haversine", band: float | None = None, include_self: bool = False) -> DataFrame:
-    """_g, i, j, w: the row-standardised weights of a group's points (keys, id, lat, lon) that aren't 0.
+def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a: float = 500.0, distance: str = "haversine", band: float | None = None, include_self: bool = False, standardise: bool = True) -> DataFrame:
+    """_g, i, j, w: the weights of a group's points (keys, id, lat, lon) that aren't 0, row-standardised or as they are.
 
     For groups whose matrix is wanted itself; the indices below don't make it.
     """
@@ -59,12 +59,9 @@ def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a:
         i, j = np.nonzero(w)
         return {"i": left["id"][i], "j": right["id"][j], "w": w[i, j]}
 
-    def sums(left: dict, right: dict, same: bool) -> dict:
-        return {"i": left["id"], "total": _weights(left, right, same, decay, a, distance, band, include_self).sum(axis=1)}
-
-    total = pairwise(items, None, "_g", "id", sums, "i bigint, total double").groupBy("_g", "i").agg(F.sum("total").alias("_t"))
-    w = pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double").join(total, ["_g", "i"])
-    return w.select("_g", "i", "j", F.try_divide("w", "_t").alias("w"))
+    w = pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double")
+    # A window over a point's weights: the distances are computed once, and its cells are as many as the result has.
+    return w.withColumn("w", F.try_divide("w", F.sum("w").over(Window.partitionBy("_g", "i")))) if standardise else w
 
 
 def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"), decay: str = "inv", a: float = 500.0, distance: str = "vincenty", band: float | None = None, include_self: bool = False) -> DataFrame:
@@ -134,8 +131,6 @@ def permuted(points: DataFrame, keys: Sequence[str], times: int, seed: int = 1,
 
     The observed arrangement counts as one of them. Permutations follow a hash of the seed, so they can be repeated.
     """
-    from pyspark.sql import Window
-
     rows = points.select(*keys, "lat", "lon", "x").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(times))))
     at = Window.partitionBy(*keys, "_r")
     numbered = rows.withColumn("_a", F.row_number().over(at.orderBy("lat", "lon", "x"))).withColumn("_b", F.row_number().over(at.orderBy(F.when(F.col("_r") > 0, F.xxhash64("lat", "lon", "x", "_r", F.lit(seed))), "lat", "lon", "x")))
@@ -177,6 +172,21 @@ def score_log_n(score: Column, n: Column, alpha: float) -> Column:
     return score + alpha * F.ln(F.nullif(n, F.lit(0)))
 
 
+def score_plus(score: Column, index: Column, alpha: float) -> Column:
+    """score + alpha index."""
+    return score + alpha * index
+
+
+def score_plus_log(score: Column, index: Column, alpha: float) -> Column:
+    """score + alpha ln index; null for an index of 0 or less."""
+    return score + alpha * F.ln(F.when(index > 0, index))
+
+
+def share_of_most(n: Column, *keys: str) -> Column:
+    """n over the greatest n of its group; null where that is 0."""
+    return F.try_divide(n, F.max(n).over(Window.partitionBy(*keys)))
+
+
 def fill_missing(score: Column, cosine: Column) -> Column:
     """The score, or (1 + 1.2e8 / 256^3) ln|cosine| where it is null or NaN."""
     from .rank_topic import MISSING_LENGTH, POSITION_FACTOR
@@ -186,8 +196,6 @@ def fill_missing(score: Column, cosine: Column) -> Column:
 
 def softmax(n: Column, *keys: str) -> Column:
     """e^n over the sum of its group, from the greatest so that nothing overflows."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys)
     e = F.exp(n - F.max(n).over(w))
     return e / F.sum(e).over(w)

@@ -101,6 +101,34 @@ for _n in _DECAY:
     _weights(_n)
 
 
+def _pairs_of(self_too: bool) -> str:
+    return f"p AS (SELECT topic, lat, lon, min(loc_id) AS id FROM places_ GROUP BY ALL), d AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0 ELSE {km('a', 'b')} END AS km FROM p a JOIN p b ON a.topic IS NOT DISTINCT FROM b.topic{'' if self_too else ' AND a.id <> b.id'})"
+
+
+def geo_weights_self(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights that count a point as its own neighbour."""
+    return geo.weight_table(_points(spark, folder), ["topic"], decay="exp", a=1 / 500, include_self=True).select("i", "j", rounded("w", 9).alias("w")).filter("w > 0")
+
+
+def geo_weights_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights that aren't standardised."""
+    return geo.weight_table(_points(spark, folder), ["topic"], decay="exp", a=1 / 500, standardise=False).select("i", "j", rounded("w", 9).alias("w")).filter("w > 0")
+
+
+O["geo_weights_self"] = f"WITH {PLACES}, {_pairs_of(True)}, w AS (SELECT i, j, exp(-km / 500) AS w FROM d), n AS (SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 9) AS w FROM w) SELECT * FROM n WHERE w > 0"
+O["geo_weights_raw"] = f"WITH {PLACES}, {_pairs_of(False)}, n AS (SELECT i, j, round(exp(-km / 500), 9) AS w FROM d) SELECT * FROM n WHERE w > 0"
+
+
+def geo_incidence_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean score of a candidate at its points, of the documents that mention it only."""
+    mentioned = table(spark, folder, "incidence").filter("n >= 1").select("topic", "doc", "candidate").distinct()
+    own = scores(spark, folder).join(mentioned, ["topic", "doc", "candidate"], "left_semi")
+    return geo.point_scores(own, places(spark, folder)).select("topic", "candidate", "lat", "lon", r6("x").alias("x"))
+
+
+O["geo_incidence_mean"] = f"WITH {SCORES}, {PLACES}, m_ AS (SELECT * FROM scores_ s WHERE EXISTS (SELECT 1 FROM incidence i WHERE i.topic = s.topic AND i.doc = s.doc AND i.candidate = s.candidate AND i.n >= 1)), x_ AS (SELECT s.topic, s.candidate, p.lat, p.lon, avg(s.score) AS x FROM m_ s JOIN (SELECT DISTINCT topic, doc, lat, lon FROM places_) p ON s.topic = p.topic AND s.doc = p.doc GROUP BY ALL) SELECT topic, candidate, lat, lon, round(x, 6) + 0.0 AS x FROM x_"
+
+
 def geo_point_mean(spark: SparkSession, folder: str) -> DataFrame:
     """The mean score of every candidate at every point of its documents."""
     return geo.point_scores(scores(spark, folder), places(spark, folder)).select("topic", "candidate", "lat", "lon", r6("x").alias("x"))
@@ -204,6 +232,20 @@ _results("geo_score_logn", lambda s, n: geo.score_log_n(s, n, 0.118), "semantic_
 _results("geo_rerank_power", lambda s, n: geo.rerank_power(s, F.col("getisord_g"), -0.5), "semantic_score * CASE WHEN getisord_g > 0 THEN getisord_g ** -0.5 END")
 
 
+_results("geo_score_plus_i", lambda s, n: geo.score_plus(s, F.col("moran_i"), 0.118), "semantic_score + 0.118 * moran_i")
+_results("geo_score_plus_log", lambda s, n: geo.score_plus_log(s, F.col("getisord_g"), 0.118), "semantic_score + 0.118 * CASE WHEN getisord_g > 0 THEN ln(getisord_g) END")
+_results("geo_score_filled", lambda s, n: geo.fill_missing(s, finite("moran_i")), "CASE WHEN semantic_score IS NULL OR isnan(semantic_score) THEN (1 + 1.2e8 / 16777216) * ln(nullif(abs(CASE WHEN NOT isnan(moran_i) THEN moran_i END), 0)) ELSE semantic_score END")
+
+
+def geo_share_of_most(spark: SparkSession, folder: str) -> DataFrame:
+    """n of each result over the greatest n of its experiment and topic."""
+    rows = table(spark, folder, "results").select("result_id", "experiment", "topic", "n").distinct()
+    return rows.select("result_id", "experiment", "topic", rounded(geo.share_of_most(F.col("n"), "experiment", "topic"), 9).alias("share"))
+
+
+O["geo_share_of_most"] = f"SELECT result_id, experiment, topic, {sql6('n / nullif(max(n) OVER (PARTITION BY experiment, topic), 0)', 9)} AS share FROM (SELECT DISTINCT result_id, experiment, topic, n FROM results)"
+
+
 def geo_index_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Results within the ranges of association; the filter reaches the scan."""
     rows = table(spark, folder, "results").filter("moran_i > -0.07 AND moran_i < 0.89 AND getisord_g > 0 AND getisord_g < 0.07 AND n > 1")
@@ -235,7 +277,7 @@ k AS (SELECT d.topic, d.id, sum(exp(-dx / (2 * wx))) AS k, sum(exp(-dy / (2 * wy
 g AS (SELECT topic, count(*) AS n, sum(kl) AS kl, sum(k) AS k, sum(l) AS l, sum(k * l) AS kxl FROM k GROUP BY topic)
 SELECT topic, n, round((kl - 2 / n * kxl + k * l / (n * n)) / (n * n), 7) + 0.0 AS hsic FROM g"""
 
-for _f in (valid_points, geo_point_statistics, geo_distance_vincenty, geo_distance_haversine, geo_point_mean, geo_complete_cases, geo_indices_all, geo_indices_vincenty, geo_topic_association, geo_all_places, geo_moran_permuted, geo_index_filter, geo_softmax, geo_hsic):
+for _f in (geo_weights_self, geo_weights_raw, geo_incidence_mean, geo_share_of_most, valid_points, geo_point_statistics, geo_distance_vincenty, geo_distance_haversine, geo_point_mean, geo_complete_cases, geo_indices_all, geo_indices_vincenty, geo_topic_association, geo_all_places, geo_moran_permuted, geo_index_filter, geo_softmax, geo_hsic):
     Q[_f.__name__] = _f
 
 QUERIES, ORACLES = Q, O

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stem, text
+from ..functions import stem, text, vectors
 from ..operators import chunking, masking
 from ..session import spread
-from .tables import gold, table
+from .tables import gold, rounded, table
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -82,7 +82,7 @@ def stem_words(spark: SparkSession, folder: str) -> DataFrame:
 
 def clean_keywords(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct cleaned and stemmed gold phrases of every topic."""
-    return clean_keywords_nostem(spark, folder).select("topic", stem.stemmed(F.col("phrase")).alias("phrase")).distinct()
+    return table(spark, folder, "gold").select("topic", text.clean_phrase(F.col("phrase"), stem.stemmed).alias("phrase")).filter(F.col("phrase").isNotNull()).distinct()
 
 
 _TOKEN = _sql(chunking.TOKEN)
@@ -234,7 +234,53 @@ O["char_positions"] = f"""WITH {_PAIRS}, x AS (SELECT cand_id, candidate, text,
 y AS (SELECT *, unnest(range(1, len(parts))) AS k FROM x), z AS (SELECT *, CAST(list_sum(list_transform(parts[1:k], lambda a: length(a))) + (k - 1) * length(candidate) AS INTEGER) AS pos FROM y)
 SELECT cand_id, pos, CAST(floor((pos + length(candidate) / 2) / (length(text) / n)) AS BIGINT) AS word_at FROM z"""
 
-for _f in (clean_keywords_nostem, standalone_punct_filter, length_filter, stem_words, clean_keywords, token_tags, np_chunks_base, np_chunks_bridge, np_chunks_prompt, np_candidates, np_longest_first, np_single_words, mention_offsets, hyphen_join, phrase_occurrences, mask_all, mask_first, mask_each, mask_subset_spans, annotated_texts, char_positions):
+def np_compat_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """Starts of phrases as two running sums of tokens."""
+    sents = _tagged(spark, folder)
+    found = chunking.compatible_starts(sents, chunking.noun_phrases(sents))
+    return found.select("topic", "doc", "sent", "start", "compat_start")
+
+
+O["np_compat_starts"] = f"""WITH {_SENTS}, {_islands('topic, doc, sent', 'tok')}, p AS ({_PHRASES.format(more='')}), l AS (SELECT topic, doc, sent, sum(len(tokens)) OVER (PARTITION BY topic, doc ORDER BY sent) AS upto FROM s)
+SELECT p.topic, p.doc, p.sent, p.start, CAST(upto + coalesce(sum(n_tokens) OVER (PARTITION BY p.topic, p.doc ORDER BY p.sent, p.start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS compat_start FROM p JOIN l ON p.topic = l.topic AND p.doc = l.doc AND p.sent = l.sent"""
+
+
+def lemmatized(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold phrases with their words replaced by a table's entries: here each word of a candidate without its last s."""
+    words_ = table(spark, folder, "candidates").select(F.explode(text.words(F.lower("candidate"))).alias("word")).filter("word LIKE '%s' AND length(word) > 3").distinct()
+    entries = words_.withColumn("lemma", F.expr("substring(word, 1, length(word) - 1)"))
+    rows = table(spark, folder, "gold").select("gold_id", F.regexp_replace("phrase", "[^a-zA-Z ]", "").alias("phrase")).filter("trim(phrase) <> ''")
+    return stem.replace_words(rows, "phrase", entries)
+
+
+O["lemmatized"] = f"""WITH e AS (SELECT DISTINCT unnest({_words('lower(candidate)')}) AS word FROM candidates), l AS (SELECT word FROM e WHERE word LIKE '%s' AND length(word) > 3),
+g AS (SELECT gold_id, regexp_replace(phrase, '[^a-zA-Z ]', '', 'g') AS phrase FROM gold), w AS (SELECT gold_id, unnest(string_split_regex(lower(trim(phrase, ' ')), ' +')) AS w, generate_subscripts(string_split_regex(lower(trim(phrase, ' ')), ' +'), 1) AS k FROM g WHERE trim(phrase, ' ') <> '')
+SELECT gold_id, string_agg(CASE WHEN word IS NOT NULL THEN w[:length(w) - 1] ELSE w END, ' ' ORDER BY k) AS phrase FROM w LEFT JOIN l ON w = word GROUP BY gold_id"""
+
+
+def pooled_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of a group's embeddings as tokens, pooled by mean and by maximum where a mask says so."""
+    rows = table(spark, folder, "embeddings").select("label", (F.col("vec_id") % 97).alias("part"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    groups = rows.groupBy("label", "part").agg(F.array_sort(F.collect_list(F.struct("vec_id", "vec"))).alias("t"))
+    tokens, mask = F.transform("t", lambda x: x["vec"]), F.transform("t", lambda x: (x["vec_id"] % 3 > 0).cast("double"))
+    out = groups.select("label", "part", vectors.pooled(tokens, mask).alias("mean"), vectors.pooled(tokens, mask, "max").alias("most"))
+    return out.select("label", "part", rounded(F.col("mean")[0], 6).alias("mean0"), rounded(F.col("mean")[3], 6).alias("mean3"), rounded(F.col("most")[0], 6).alias("most0"), rounded(F.col("most")[3], 6).alias("most3"))
+
+
+_POOL = "{f}(CASE WHEN vec_id % 3 > 0 THEN CAST(embedding[{d}] AS DOUBLE) END)"
+O["pooled_tokens"] = "SELECT label, vec_id % 97 AS part, " + ", ".join([*(f"round(coalesce({_POOL.format(f='avg', d=d + 1)}, 0), 6) + 0.0 AS mean{d}" for d in (0, 3)), *(f"round(coalesce({_POOL.format(f='max', d=d + 1)}, -1e9), 6) + 0.0 AS most{d}" for d in (0, 3))]) + " FROM embeddings GROUP BY 1, 2"
+
+
+def runs_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs by the day they were saved, with the stamp of the last and the days it took to load them."""
+    rows = table(spark, folder, "topic_runs").filter("saved_at IS NOT NULL")
+    late = F.datediff("loaded_at", "saved_at")
+    return rows.groupBy(F.to_date("saved_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("saved_at"), "yyyy_MM_dd_HH_mm").alias("last_run"), F.max(late).cast("bigint").alias("most_days_late"))
+
+
+O["runs_by_day"] = "SELECT CAST(saved_at AS DATE) AS day, count(*) AS n, strftime(max(saved_at), '%Y_%m_%d_%H_%M') AS last_run, max(date_diff('day', saved_at, loaded_at)) AS most_days_late FROM topic_runs WHERE saved_at IS NOT NULL GROUP BY 1"
+
+for _f in (np_compat_starts, lemmatized, pooled_tokens, runs_by_day, clean_keywords_nostem, standalone_punct_filter, length_filter, stem_words, clean_keywords, token_tags, np_chunks_base, np_chunks_bridge, np_chunks_prompt, np_candidates, np_longest_first, np_single_words, mention_offsets, hyphen_join, phrase_occurrences, mask_all, mask_first, mask_each, mask_subset_spans, annotated_texts, char_positions):
     Q[_f.__name__] = _f
 
 QUERIES, ORACLES = Q, O

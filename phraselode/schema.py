@@ -1,16 +1,6 @@
-"""Schemas of the tables, declared once and never inferred."""
+"""Schemas of a collection's two tables, declared once and never inferred."""
 
 from __future__ import annotations
 
 DOCUMENTS = "topic string, doc string, text string, lang string"
 GOLD = "topic string, doc string, cluster int, variant_pos int, phrase string"
-TOKENS = "topic string, doc string, sent int, tok int, text string, pos string"
-CANDIDATES = "topic string, doc string, candidate string, mentions array<string>, first_start int, first_end int, n_mentions int"
-DOC_VECTORS = "topic string, doc string, vec array<double>, doc_len int"
-CAND_VECTORS = "topic string, doc string, candidate string, vec array<double>"
-SCORES = "topic string, doc string, candidate string, score double"
-RANKING = "topic string, candidate string, score double, rank int, n_docs int"
-LOCATIONS = "topic string, doc string, lat double, lon double"
-WEIGHTS = "topic string, i int, j int, w double"
-GEO_INDEX = "topic string, candidate string, n_points int, moran_i double, geary_c double, getisord_g double"
-METRICS = "dataset string, evaluator string, metric string, value double"

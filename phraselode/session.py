@@ -20,6 +20,7 @@ def local_session(cpus: int | str | None = None, name: str = "phraselode", memor
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -43,7 +44,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that later readers neither recompute it nor lose it."""
+    """``df`` written once to the shared folder, so that later readers neither recompute it nor lose it.
+
+    Where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, Spark frees it when no plan refers to it any more,
+    so that an iteration keeps its last steps only.
+    """
     checkpoint_folder(df.sparkSession)
     done = df.checkpoint(eager=True)
     # A checkpoint keeps the estimated size of the plan it replaces, and a join's estimate is the product of its

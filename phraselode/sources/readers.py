@@ -169,7 +169,7 @@ def load(spark: SparkSession, kind: str, *paths: str, stem: str | None = None, *
     from ..functions.stem import stemmed
     from ..functions.text import clean_phrase
 
-    gold = found.gold.withColumn("raw", F.col("phrase")).withColumn("phrase", stemmed(clean_phrase(F.col("phrase")), stem)).filter("phrase IS NOT NULL")
+    gold = found.gold.withColumn("raw", F.col("phrase")).withColumn("phrase", clean_phrase(F.col("phrase"), lambda p: stemmed(p, stem))).filter("phrase IS NOT NULL")
     return Collection(found.documents, gold)
 
 

@@ -129,14 +129,39 @@ def test_small_readers(spark, tmp_path):
     assert [r[0] for r in lines.select(readers.identifier_kind(F.col("l"))).collect()] == ["DOI", "PMID", "ISSN", "Web", "Other"]
 
 
-@pytest.mark.parametrize("rank", list(pipeline.TOPIC_RANKS))
-def test_pipeline(spark, tmp_path, rank):
+def _runs():
+    """As many runs as there are rankings of topics; the other names take turns, so that each is met."""
+    tables = {"extractor": pipeline.EXTRACTORS, "embedding": pipeline.EMBEDDINGS, "doc_rank": pipeline.DOC_RANKS, "mask": pipeline.MASKS}
+    return [{"rank": r, **{k: list(t)[i % len(t)] for k, t in tables.items()}} for i, r in enumerate((*pipeline.TOPIC_RANKS, *pipeline.VECTOR_RANKS))]
+
+
+@pytest.mark.parametrize("how", _runs(), ids=lambda how: "-".join(how.values()))
+def test_pipeline(spark, tmp_path, how):
     (tmp_path / "t.json").write_text(json.dumps(TOPICS))
     spark.createDataFrame([("d01", "x", 59.9, 10.7), ("d01", "y", 60.4, 5.3)], "topic string, doc string, lat double, lon double").write.parquet(str(tmp_path / "places"))
-    config = Config(format="topic_json", paths=(str(tmp_path / "t.json"),), rank=rank, places=str(tmp_path / "places") if rank == "mean" else None)
+    config = Config(format="topic_json", paths=(str(tmp_path / "t.json"),), places=str(tmp_path / "places") if how["rank"] == "mean" else None, **how)
     out = pipeline.run(spark, config)
-    assert "rail tunnel" in {r.candidate for r in out["ranking"].collect()}
-    assert out["metrics"].filter("k = 0").first().recall >= 0.5
+    ranked = {r.candidate: r.score for r in out["ranking"].collect()}
+    if how["rank"] in ("medoids", "components"):
+        assert len(ranked) <= 4
+        return
+    assert "rail tunnel" in ranked or "old rail tunnel" in ranked
+    assert config.places or any(s is not None for s in ranked.values())
+    if how["extractor"] != "prompt_often":
+        assert out["metrics"].filter("k = 0").first().recall >= 0.5
+    with pytest.raises(ValueError):
+        pipeline.topic_scores(None, out["scores"], Config(rank="nothing"))
+
+
+def test_contexts(spark):
+    docs = spark.createDataFrame([("t", "d", "The rail tunnel is closed. A storm hit the rail tunnel.", "en")], "topic string, doc string, text string, lang string")
+    x = pipeline.extract(docs, Config())
+    spans = sorted((r.start, r.n, r.candidate) for r in x.spans().collect() if r.candidate == "rail tunnel")
+    tokens = {r.tok: r.vec for r in x.token_vectors().collect()}
+    assert [s[:2] for s in spans] == [(1, 2), (10, 2)] and len(tokens) == 13
+    got = {r.candidate: r.vec for r in pipeline.EMBEDDINGS["in_context"](x).collect()}["rail tunnel"]
+    want = [sum(tokens[s + k][i] for s, _, _ in spans for k in (0, 1)) / 4 for i in range(64)]
+    assert got == pytest.approx(want)
 
 
 def test_command_line():
