@@ -147,7 +147,7 @@ def test_pipeline(spark, tmp_path, how):
         return
     assert "rail tunnel" in ranked or "old rail tunnel" in ranked
     assert config.places or any(s is not None for s in ranked.values())
-    if how["extractor"] != "prompt_often":
+    if how["rank"] in ("mean", "mmr"):
         assert out["metrics"].filter("k = 0").first().recall >= 0.5
     with pytest.raises(ValueError):
         pipeline.topic_scores(None, out["scores"], Config(rank="nothing"))
