@@ -18,8 +18,8 @@ from ..functions.keys import lookup
 
 SIZE = 1024
 
-#: Gets the two blocks as dicts of arrays, and whether they are the same block; returns columns of rows.
-Kernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], bool], dict[str, np.ndarray | Sequence]]
+#: Gets the two blocks as dicts of arrays, and whether they are the same block; returns columns of rows, or parts of these one after another.
+Kernel = Callable[[dict[str, np.ndarray], dict[str, np.ndarray], bool], dict[str, np.ndarray | Sequence] | Iterator[dict[str, np.ndarray | Sequence]]]
 
 #: Gets items as a dict of arrays and the pairs to compute as two arrays of places; returns columns with a row an item.
 FlatKernel = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], dict[str, np.ndarray | Sequence]]
@@ -60,21 +60,42 @@ def _numpy(items: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def _run(kernel: Kernel, group: str, names: Sequence[str]):
+#: Rows of a kernel that are held before they go on.
+HELD = 1 << 16
+
+
+def _run(kernel: Kernel, group: str, names: Sequence[str], keyed: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
             left, right, same = (batch.column(at[n]) for n in ("left_items", "right_items", "same"))
-            got = [kernel(_numpy(left[i].values), _numpy(right[i].values), same[i].as_py()) for i in range(batch.num_rows)]
-            if not got:
-                continue
-            owner = np.repeat(np.arange(len(got)), [len(g[names[0]]) for g in got])
-            columns = [pa.array(np.concatenate([np.asarray(g[n]) for g in got])) for n in names]
-            yield pa.RecordBatch.from_arrays([batch.column(at[group]).take(pa.array(owner)), *columns], [group, *names])
+
+            def parts() -> Iterator[tuple[int, dict]]:
+                for i in range(batch.num_rows):
+                    got = kernel(_numpy(left[i].values), _numpy(right[i].values), same[i].as_py())
+                    yield from ((i, part) for part in ([got] if isinstance(got, dict) else got))
+
+            held, n = [], 0
+            for i, part in parts():
+                held.append((i, part))
+                n += len(part[names[0]])
+                if n >= HELD:
+                    yield _whole(batch.column(at[group]), held, group, names, keyed)
+                    held, n = [], 0
+            if held:
+                yield _whole(batch.column(at[group]), held, group, names, keyed)
 
     return run
 
 
+def _whole(keys: pa.Array, held: list[tuple[int, dict]], group: str, names: Sequence[str], keyed: bool) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate([np.asarray(part[n]) for _, part in held])) for n in names]
+    if not keyed:
+        return pa.RecordBatch.from_arrays(columns, [*names])
+    owner = np.repeat([i for i, _ in held], [len(part[names[0]]) for _, part in held])
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), *columns], [group, *names])
+
+
 #: Pairs of items that the many small groups of a batch are computed with at once.
 FLAT = 1_000_000
 
@@ -104,16 +125,17 @@ def _run_flat(flat: FlatKernel, group: str, names: Sequence[str]):
     return run
 
 
-def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None) -> DataFrame:
+def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None, keyed: bool = True) -> DataFrame:
     """group and the kernel's columns (``out`` is their schema) for every pair of blocks of a group.
 
     ``right`` None stands for ``left`` itself; ``half`` then gives each pair of blocks once. Items with a null group
     are left out; ids must be unique within a group and vectors of equal length. A group of one block meets itself
     where it is, without another shuffle; with ``flat`` (a row an item) many such groups are computed at once.
+    Without ``keyed`` the rows don't repeat their group, which is much where a pair is a row; that is for kernels without ``flat``.
     """
     kind = left.schema[group].dataType.simpleString()
     names = [c.strip().split()[0] for c in out.split(",")]
-    run = lambda met: met.select(group, "same", "left_items", "right_items").mapInArrow(_run(kernel, group, names), f"{group} {kind}, {out}")
+    run = lambda met: met.select(group, "same", "left_items", "right_items").mapInArrow(_run(kernel, group, names, keyed), f"{group} {kind}, {out}" if keyed else out)
     left = left.filter(F.col(group).isNotNull())
     counts = block_counts(left, group, size)
     a = in_blocks(left, counts, group, id_col)

@@ -7,7 +7,7 @@ a group's distance matrix never exists as rows and may be larger than any task's
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -19,14 +19,23 @@ from ..session import durable
 from .blocks import pairwise
 
 
-def _weights(left: dict, right: dict, same: bool, decay: str, a: float, distance: str, band: float | None, include_self: bool) -> np.ndarray:
-    d = DISTANCES[distance](left["lat"][:, None], left["lon"][:, None], right["lat"][None, :], right["lon"][None, :])
-    w = np.nan_to_num(DECAYS[decay](d, a))
-    if band is not None:
-        w = np.where(d <= band, w, 0.0)
-    if same and not include_self:
-        np.fill_diagonal(w, 0.0)
-    return w
+#: Pairs of points whose weights are computed at once: their arrays stay in a core's cache.
+SLAB = 1 << 14
+
+
+def _weights(left: dict, right: dict, same: bool, decay: str, a: float, distance: str, band: float | None, include_self: bool) -> Iterator[tuple[slice, np.ndarray]]:
+    """The weights of the points of two blocks, a few rows of the left block after another."""
+    step = max(1, SLAB // max(1, len(right["lat"])))
+    for begin in range(0, len(left["lat"]), step):
+        at = slice(begin, begin + step)
+        d = DISTANCES[distance](left["lat"][at, None], left["lon"][at, None], right["lat"][None, :], right["lon"][None, :])
+        w = np.nan_to_num(DECAYS[decay](d, a))
+        if band is not None:
+            w = np.where(d <= band, w, 0.0)
+        if same and not include_self:
+            row = np.arange(len(w))
+            w[row, begin + row] = 0.0
+        yield at, w
 
 
 def point_scores(scores: DataFrame, places: DataFrame, keys: Sequence[str] = ("topic", "candidate")) -> DataFrame:
@@ -47,21 +56,43 @@ def complete_cases(scores: DataFrame) -> DataFrame:
     return rows.join(whole.select("topic", "doc"), ["topic", "doc"], "left_semi")
 
 
-def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a: float = 500.0, distance: str = "haversine", band: float | None = None, include_self: bool = False, standardise: bool = True) -> DataFrame:
-    """_g, i, j, w: the weights of a group's points (keys, id, lat, lon) that aren't 0, row-standardised or as they are.
+#: Points of a block where the matrix itself is the result: fewer copies of blocks than elsewhere, since its cells leave in slabs.
+TABLE_BLOCK = 2048
 
-    For groups whose matrix is wanted itself; the indices below don't make it.
-    """
-    items = points.select(null_safe_key(*keys).alias("_g"), "id", "lat", "lon")
 
-    def cells(left: dict, right: dict, same: bool) -> dict:
-        w = _weights(left, right, same, decay, a, distance, band, include_self)
-        i, j = np.nonzero(w)
-        return {"i": left["id"][i], "j": right["id"][j], "w": w[i, j]}
+def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a: float = 500.0, distance: str = "haversine", band: float | None = None, include_self: bool = False, standardise: bool = True, places: int | None = None, keyed: bool = True) -> DataFrame:
+    """_g (if ``keyed``), i, j, w: the weights of a group's points (keys, id, lat, lon) that aren't 0, row-standardised or as they are.
 
-    w = pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double")
-    # A window over a point's weights: the distances are computed once, and its cells are as many as the result has.
-    return w.withColumn("w", F.try_divide("w", F.sum("w").over(Window.partitionBy("_g", "i")))) if standardise else w
+    For groups whose matrix is wanted itself; the indices below don't make it. With ``places``, weights are rounded to
+    these before those of 0 are left out.
+    """
+    items = points.select(null_safe_key(*keys).alias("_g"), "id", "lat", "lon")
+    how = (decay, a, distance, band, include_self)
+    if standardise:
+        items = durable(items)
+
+        def totals(left: dict, right: dict, same: bool) -> dict:
+            rows, columns = np.zeros(len(left["id"])), np.zeros(len(right["id"]))
+            for at, w in _weights(left, right, same, *how):
+                rows[at] = w.sum(axis=1)
+                columns += w.sum(axis=0)
+            return {"id": left["id"], "total": rows} if same else {"id": np.concatenate([left["id"], right["id"]]), "total": np.concatenate([rows, columns])}
+
+        # The distances are computed again for the cells: cells that wait for their row's sum would all be shuffled, points are few.
+        by_row = pairwise(items, None, "_g", "id", totals, "id bigint, total double", TABLE_BLOCK, half=True)
+        items = durable(items.join(by_row.groupBy("_g", "id").agg(F.sum("total").alias("total")), ["_g", "id"]))
+
+    def cells(left: dict, right: dict, same: bool) -> Iterator[dict]:
+        for at, w in _weights(left, right, same, *how):
+            if standardise:
+                total = left["total"][at, None]
+                w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+            if places is not None:
+                w = np.round(w, places)
+            i, j = np.nonzero(w)
+            yield {"i": left["id"][at][i], "j": right["id"][j], "w": w[i, j]}
+
+    return pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double", TABLE_BLOCK, keyed=keyed)
 
 
 def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"), decay: str = "inv", a: float = 500.0, distance: str = "vincenty", band: float | None = None, include_self: bool = False) -> DataFrame:
@@ -78,12 +109,17 @@ def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"),
 
     def sums(left: dict, right: dict, same: bool) -> dict:
         # Distances are symmetric: a pair of blocks gives both blocks' sums.
-        w = _weights(left, right, same, decay, a, distance, band, include_self)
         x, z = right["x"], left["x"]
-        if same:
-            return {"i": left["id"], "xi": z, "w": w.sum(axis=1), "wx": w @ x, "wxx": w @ (x * x)}
-        both = np.concatenate
-        return {"i": both([left["id"], right["id"]]), "xi": both([z, x]), "w": both([w.sum(axis=1), w.sum(axis=0)]), "wx": both([w @ x, z @ w]), "wxx": both([w @ (x * x), (z * z) @ w])}
+        of_x, of_z = (np.stack([np.ones(len(v)), v, v * v], 1) for v in (x, z))
+        rows, columns = np.zeros((len(z), 3)), np.zeros((len(x), 3))
+        for at, w in _weights(left, right, same, decay, a, distance, band, include_self):
+            rows[at] = w @ of_x
+            if not same:
+                columns += w.T @ of_z[at]
+        i, xi = left["id"], z
+        if not same:
+            i, xi, rows = np.concatenate([i, right["id"]]), np.concatenate([z, x]), np.concatenate([rows, columns])
+        return {"i": i, "xi": xi, "w": rows[:, 0], "wx": rows[:, 1], "wxx": rows[:, 2]}
 
     def flat(at: dict, i: np.ndarray, j: np.ndarray) -> dict:
         d = DISTANCES[distance](at["lat"][i], at["lon"][i], at["lat"][j], at["lon"][j])

@@ -91,7 +91,7 @@ def _points(spark: SparkSession, folder: str) -> DataFrame:
 
 def _weights(name: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return geo.weight_table(_points(spark, folder), ["topic"], **_HOW[name]).select("i", "j", rounded("w", 9).alias("w")).filter("w > 0")
+        return geo.weight_table(_points(spark, folder), ["topic"], places=9, keyed=False, **_HOW[name])
 
     Q[f"geo_weights_{name}"] = run
     O[f"geo_weights_{name}"] = f"WITH {PLACES}, p AS (SELECT topic, lat, lon, min(loc_id) AS id FROM places_ GROUP BY ALL), d AS (SELECT a.id AS i, b.id AS j, {km('a', 'b')} AS km FROM p a JOIN p b ON a.topic IS NOT DISTINCT FROM b.topic AND a.id <> b.id), w AS (SELECT i, j, {_DECAY[name]} AS w FROM d), n AS (SELECT i, j, round(w / nullif(sum(w) OVER (PARTITION BY i), 0), 9) AS w FROM w) SELECT * FROM n WHERE w > 0"
@@ -112,7 +112,7 @@ def geo_weights_self(spark: SparkSession, folder: str) -> DataFrame:
 
 def geo_weights_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Weights that aren't standardised."""
-    return geo.weight_table(_points(spark, folder), ["topic"], decay="exp", a=1 / 500, standardise=False).select("i", "j", rounded("w", 9).alias("w")).filter("w > 0")
+    return geo.weight_table(_points(spark, folder), ["topic"], decay="exp", a=1 / 500, standardise=False, places=9, keyed=False)
 
 
 O["geo_weights_self"] = f"WITH {PLACES}, {_pairs_of(True)}, w AS (SELECT i, j, exp(-km / 500) AS w FROM d), n AS (SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 9) AS w FROM w) SELECT * FROM n WHERE w > 0"
