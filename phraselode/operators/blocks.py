@@ -31,11 +31,12 @@ def block_counts(items: DataFrame, group: str, size: int) -> DataFrame:
     return sizes.withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int"))
 
 
-def in_blocks(items: DataFrame, counts: DataFrame, group: str, id_col: str) -> DataFrame:
+def in_blocks(items: DataFrame, counts: DataFrame, group: str, id_col: str, order: str | None = None) -> DataFrame:
     """group, _block, _blocks, items: arrays sorted by id."""
     placed = lookup(items, counts.withColumn("_k", F.col("_n")), [group], "_k")
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64(F.lit(7), id_col), F.col("_blocks")).cast("int"))
-    rest = [c for c in items.columns if c not in (group, id_col)]
+    block = F.least(F.floor(F.col(order) * F.col("_blocks")), F.col("_blocks") - 1) if order else F.pmod(F.xxhash64(F.lit(7), id_col), F.col("_blocks"))
+    placed = placed.withColumn("_block", block.cast("int"))
+    rest = [c for c in items.columns if c not in (group, id_col, order)]
     # A number of partitions of its own: these are few bytes, but each may be much work, so they aren't to be merged.
     placed = placed.repartition(_tasks(items), group, "_block")
     return placed.groupBy(group, "_block").agg(F.first("_blocks").alias("_blocks"), F.array_sort(F.collect_list(F.struct(id_col, *rest))).alias("items"))
@@ -125,26 +126,27 @@ def _run_flat(flat: FlatKernel, group: str, names: Sequence[str]):
     return run
 
 
-def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None, keyed: bool = True) -> DataFrame:
+def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None, keyed: bool = True, order: str | None = None) -> DataFrame:
     """group and the kernel's columns (``out`` is their schema) for every pair of blocks of a group.
 
     ``right`` None stands for ``left`` itself; ``half`` then gives each pair of blocks once. Items with a null group
     are left out; ids must be unique within a group and vectors of equal length. A group of one block meets itself
     where it is, without another shuffle; with ``flat`` (a row an item) many such groups are computed at once.
     Without ``keyed`` the rows don't repeat their group, which is much where a pair is a row; that is for kernels without ``flat``.
+    ``order`` names a column, evenly spread over 0 to 1 within a group, along which items are put into blocks instead of by hash.
     """
     kind = left.schema[group].dataType.simpleString()
     names = [c.strip().split()[0] for c in out.split(",")]
     run = lambda met: met.select(group, "same", "left_items", "right_items").mapInArrow(_run(kernel, group, names, keyed), f"{group} {kind}, {out}" if keyed else out)
     left = left.filter(F.col(group).isNotNull())
     counts = block_counts(left, group, size)
-    a = in_blocks(left, counts, group, id_col)
+    a = in_blocks(left, counts, group, id_col, order)
     if right is None:
         others, b = counts, a
     else:
         right = right.filter(F.col(group).isNotNull())
         others = block_counts(right, group, size)
-        b = in_blocks(right, others, group, id_col)
+        b = in_blocks(right, others, group, id_col, order)
     many = F.lit(True) if right is not None else F.col("_blocks") > 1
     to = lambda k: F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias(k)
     lefts = a.filter(many).join(others.select(group, F.col("_blocks").alias("_m")), group).select(group, F.col("_block").alias("_i"), to("_j"), F.col("items").alias("left_items"))
@@ -157,8 +159,10 @@ def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str,
     if right is None:
         alone = a.filter(F.col("_blocks") == 1)
         if flat:
-            found = found.unionByName(alone.select(group, F.col("items").alias("left_items")).mapInArrow(_run_flat(flat, group, names), f"{group} {kind}, {out}"))
-        else:
+            few = F.size("items") <= min(size, SIZE)
+            found = found.unionByName(alone.filter(few).select(group, F.col("items").alias("left_items")).mapInArrow(_run_flat(flat, group, names), f"{group} {kind}, {out}"))
+            alone = alone.filter(~few)
+        if not flat or size > SIZE:
             found = found.unionByName(run(alone.select(group, F.lit(True).alias("same"), F.col("items").alias("left_items"), F.col("items").alias("right_items"))))
     return found
 

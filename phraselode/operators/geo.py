@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesic import DECAYS, DISTANCES
-from ..functions.keys import finite, null_safe_key
+from ..functions.keys import finite, lookup, null_safe_key
 from ..session import durable
 from .blocks import pairwise
+from .far import weighted_sums
 
 
 #: Pairs of points whose weights are computed at once: their arrays stay in a core's cache.
@@ -95,12 +96,42 @@ def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a:
     return pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double", TABLE_BLOCK, keyed=keyed)
 
 
+#: Weights that :mod:`.far` can interpolate: smooth wherever points are apart, in proportion to how far they are.
+SMOOTH = ("inv", "arccot")
+#: Points of a block of such weights, and rows of latitude (half of the columns of longitude) of the cells that blocks are made of.
+FAR_BLOCK, CELL_ROWS = 2048, 32
+
+
+def _by_place(items: DataFrame, size: int) -> DataFrame:
+    """``items`` with _order: within a group of more than ``size``, about the share of points before this one along a curve through cells.
+
+    The curve is in Z-order, so that blocks of successive points lie together. Points of one cell are in no order.
+    """
+    counts = items.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    if counts.isEmpty():
+        return items.withColumn("_order", F.lit(0.0))
+    big = F.broadcast(counts)  # at most a row for each ``size`` points
+    cell = lambda c, low, span, n: F.least(F.greatest(F.floor((F.col(c) - low) / span * n), F.lit(0)), F.lit(n - 1)).cast("int")
+    y, x = cell("lat", -90, 180, CELL_ROWS), cell("lon", -180, 360, 2 * CELL_ROWS)
+    bit = lambda v, k, to: F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), to)
+    z = sum((bit(y, k, 2 * k) + bit(x, k, 2 * k + 1) for k in range((2 * CELL_ROWS).bit_length())), F.lit(0))
+    celled = items.join(big.select("_g"), "_g", "left_semi").withColumn("_z", z)
+    cells = celled.groupBy("_g", "_z").agg(F.count(F.lit(1)).alias("_k")).join(big, "_g")
+    up = Window.partitionBy("_g").orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_g", "_z", "_k", (F.coalesce(F.sum("_k").over(up), F.lit(0)) / F.col("_n")).alias("_from"), (F.col("_k") / F.col("_n")).alias("_share"))
+    within = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / (1 << 20)
+    placed = lookup(celled, cells, ["_g", "_z"], "_k").withColumn("_order", F.col("_from") + F.col("_share") * within)
+    # Counting, blocking and pairing the blocks all read it, and as a plan of its own each time.
+    return durable(items.join(big.select("_g"), "_g", "left_anti").withColumn("_order", F.lit(0.0)).unionByName(placed.select(*items.columns, "_order")))
+
+
 def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"), decay: str = "inv", a: float = 500.0, distance: str = "vincenty", band: float | None = None, include_self: bool = False) -> DataFrame:
     """keys, n_points, moran_i, geary_c, getisord_g of each group of points (keys, lat, lon, x).
 
     Weights decay with distance (``DECAYS``), are 0 beyond ``band`` km and on the diagonal (unless ``include_self``, as
     older data have it), and each point's sum to 1. One point: all null. Equal scores: I = 1 and C = 0. Points with a
     null or NaN are left out; points at one place are points of their own. A point without neighbours adds nothing.
+    Smooth weights of groups above ``FAR_BLOCK`` points are interpolated between boxes far apart (see :mod:`.far`).
     """
     rows = points.select(*keys, "lat", "lon", finite("x").alias("x")).filter("lat IS NOT NULL AND lon IS NOT NULL AND x IS NOT NULL")
     # Counting the groups, blocking their points and naming the results all read the points: written once.
@@ -111,27 +142,44 @@ def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"),
         # Distances are symmetric: a pair of blocks gives both blocks' sums.
         x, z = right["x"], left["x"]
         of_x, of_z = (np.stack([np.ones(len(v)), v, v * v], 1) for v in (x, z))
-        rows, columns = np.zeros((len(z), 3)), np.zeros((len(x), 3))
-        for at, w in _weights(left, right, same, decay, a, distance, band, include_self):
-            rows[at] = w @ of_x
-            if not same:
-                columns += w.T @ of_z[at]
+        if smooth:
+            weight = lambda *at: np.nan_to_num(DECAYS[decay](DISTANCES[distance](*at), a))
+            rows, columns = weighted_sums((left["lat"], left["lon"], of_z), None if same else (right["lat"], right["lon"], of_x), weight, include_self)
+        else:
+            rows, columns = np.zeros((len(z), 3)), np.zeros((len(x), 3))
+            for at, w in _weights(left, right, same, decay, a, distance, band, include_self):
+                rows[at] = w @ of_x
+                if not same:
+                    columns += w.T @ of_z[at]
         i, xi = left["id"], z
         if not same:
             i, xi, rows = np.concatenate([i, right["id"]]), np.concatenate([z, x]), np.concatenate([rows, columns])
         return {"i": i, "xi": xi, "w": rows[:, 0], "wx": rows[:, 1], "wxx": rows[:, 2]}
 
     def flat(at: dict, i: np.ndarray, j: np.ndarray) -> dict:
-        d = DISTANCES[distance](at["lat"][i], at["lon"][i], at["lat"][j], at["lon"][j])
-        w = np.nan_to_num(DECAYS[decay](d, a))
-        if band is not None:
-            w = np.where(d <= band, w, 0.0)
-        if not include_self:
-            w = np.where(i == j, 0.0, w)
-        total = lambda v: np.bincount(i, v, minlength=len(at["x"]))
-        return {"i": at["id"], "xi": at["x"], "w": total(w), "wx": total(w * at["x"][j]), "wxx": total(w * at["x"][j] ** 2)}
-
-    by_point = pairwise(items.select("_g", "id", "lat", "lon", "x"), None, "_g", "id", sums, "i bigint, xi double, w double, wx double, wxx double", half=True, flat=flat)
+        own = np.arange(len(at["x"]))
+        i, j = i[i < j], j[i < j]  # symmetric, too
+        w = []
+        for begin in range(0, len(i), SLAB):
+            p, q = i[begin : begin + SLAB], j[begin : begin + SLAB]
+            d = DISTANCES[distance](at["lat"][p], at["lon"][p], at["lat"][q], at["lon"][q])
+            w.append(np.nan_to_num(DECAYS[decay](d, a)))
+            if band is not None:
+                w[-1] = np.where(d <= band, w[-1], 0.0)
+        if include_self:
+            i, j = np.concatenate([i, own]), np.concatenate([j, own])
+            w.append(np.full(len(own), np.nan_to_num(DECAYS[decay](0.0, a))))
+        w = np.concatenate([np.zeros(0), *w])
+        other = i != j
+        x = at["x"]
+        count = lambda at, v: np.bincount(at, v, minlength=len(own)).astype(float)  # noqa: E731  of nothing it counts in integers
+        total = lambda v: count(i, w * v[j]) + count(j[other], (w * v[i])[other])
+        return {"i": at["id"], "xi": x, "w": total(np.ones(len(own))), "wx": total(x), "wxx": total(x * x)}
+
+    smooth = decay in SMOOTH and a >= 0 and band is None
+    own = items.select("_g", "id", "lat", "lon", "x")
+    how = {"size": FAR_BLOCK, "order": "_order"} if smooth else {}
+    by_point = pairwise(_by_place(own, FAR_BLOCK) if smooth else own, None, "_g", "id", sums, "i bigint, xi double, w double, wx double, wxx double", half=True, flat=flat, **how)
     by_point = by_point.groupBy("_g", "i", "xi").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"))
     # Standardised rows: y = sum of w x / sum of w, and likewise for the squares.
     y, yy = F.try_divide("wx", "w"), F.try_divide("wxx", "w")
