@@ -107,7 +107,7 @@ def _pairs_of(self_too: bool) -> str:
 
 def geo_weights_self(spark: SparkSession, folder: str) -> DataFrame:
     """Weights that count a point as its own neighbour."""
-    return geo.weight_table(_points(spark, folder), ["topic"], decay="exp", a=1 / 500, include_self=True).select("i", "j", rounded("w", 9).alias("w")).filter("w > 0")
+    return geo.weight_table(_points(spark, folder), ["topic"], decay="exp", a=1 / 500, include_self=True, places=9, keyed=False)
 
 
 def geo_weights_raw(spark: SparkSession, folder: str) -> DataFrame:
