@@ -126,6 +126,14 @@ def _run_flat(flat: FlatKernel, group: str, names: Sequence[str]):
     return run
 
 
+def one_block(items: DataFrame, group: str, id_col: str, flat: FlatKernel, out: str) -> DataFrame:
+    """As :func:`pairwise`, for groups that are known to be of one block: one shuffle, and none to count them."""
+    kind = items.schema[group].dataType.simpleString()
+    rest = [c for c in items.columns if c not in (group, id_col)]
+    whole = items.repartition(_tasks(items), group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(id_col, *rest))).alias("left_items"))
+    return whole.mapInArrow(_run_flat(flat, group, [c.strip().split()[0] for c in out.split(",")]), f"{group} {kind}, {out}")
+
+
 def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None, keyed: bool = True, order: str | None = None) -> DataFrame:
     """group and the kernel's columns (``out`` is their schema) for every pair of blocks of a group.
 

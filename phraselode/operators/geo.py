@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesic import DECAYS, DISTANCES
 from ..functions.keys import finite, lookup, null_safe_key
 from ..session import durable
-from .blocks import pairwise
+from .blocks import SIZE, one_block, pairwise
 from .far import weighted_sums
 
 
@@ -102,14 +102,14 @@ SMOOTH = ("inv", "arccot")
 FAR_BLOCK, CELL_ROWS = 2048, 32
 
 
-def _by_place(items: DataFrame, size: int) -> DataFrame:
-    """``items`` with _order: within a group of more than ``size``, about the share of points before this one along a curve through cells.
+def _by_place(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """The items of groups of up to ``size``, and of larger ones with _order: about the share of points before this one along a curve through cells.
 
     The curve is in Z-order, so that blocks of successive points lie together. Points of one cell are in no order.
     """
     counts = items.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
     if counts.isEmpty():
-        return items.withColumn("_order", F.lit(0.0))
+        return items, None
     big = F.broadcast(counts)  # at most a row for each ``size`` points
     cell = lambda c, low, span, n: F.least(F.greatest(F.floor((F.col(c) - low) / span * n), F.lit(0)), F.lit(n - 1)).cast("int")
     y, x = cell("lat", -90, 180, CELL_ROWS), cell("lon", -180, 360, 2 * CELL_ROWS)
@@ -121,8 +121,7 @@ def _by_place(items: DataFrame, size: int) -> DataFrame:
     cells = cells.select("_g", "_z", "_k", (F.coalesce(F.sum("_k").over(up), F.lit(0)) / F.col("_n")).alias("_from"), (F.col("_k") / F.col("_n")).alias("_share"))
     within = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / (1 << 20)
     placed = lookup(celled, cells, ["_g", "_z"], "_k").withColumn("_order", F.col("_from") + F.col("_share") * within)
-    # Counting, blocking and pairing the blocks all read it, and as a plan of its own each time.
-    return durable(items.join(big.select("_g"), "_g", "left_anti").withColumn("_order", F.lit(0.0)).unionByName(placed.select(*items.columns, "_order")))
+    return items.join(big.select("_g"), "_g", "left_anti"), durable(placed.select(*items.columns, "_order"))
 
 
 def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"), decay: str = "inv", a: float = 500.0, distance: str = "vincenty", band: float | None = None, include_self: bool = False) -> DataFrame:
@@ -131,11 +130,11 @@ def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"),
     Weights decay with distance (``DECAYS``), are 0 beyond ``band`` km and on the diagonal (unless ``include_self``, as
     older data have it), and each point's sum to 1. One point: all null. Equal scores: I = 1 and C = 0. Points with a
     null or NaN are left out; points at one place are points of their own. A point without neighbours adds nothing.
-    Smooth weights of groups above ``FAR_BLOCK`` points are interpolated between boxes far apart (see :mod:`.far`).
+    Smooth weights of groups above ``blocks.SIZE`` points are interpolated between boxes far apart (see :mod:`.far`).
     """
     rows = points.select(*keys, "lat", "lon", finite("x").alias("x")).filter("lat IS NOT NULL AND lon IS NOT NULL AND x IS NOT NULL")
     # Counting the groups, blocking their points and naming the results all read the points: written once.
-    items = durable(rows.withColumn("_g", null_safe_key(*keys)).withColumn("id", F.xxhash64("lat", "lon", "x")))
+    items = durable(rows).withColumn("_g", null_safe_key(*keys)).withColumn("id", F.xxhash64("lat", "lon", "x"))
     names = items.groupBy("_g").agg(*(F.first(k).alias(k) for k in keys))
 
     def sums(left: dict, right: dict, same: bool) -> dict:
@@ -178,9 +177,15 @@ def association(points: DataFrame, keys: Sequence[str] = ("topic", "candidate"),
 
     smooth = decay in SMOOTH and a >= 0 and band is None
     own = items.select("_g", "id", "lat", "lon", "x")
-    how = {"size": FAR_BLOCK, "order": "_order"} if smooth else {}
-    by_point = pairwise(_by_place(own, FAR_BLOCK) if smooth else own, None, "_g", "id", sums, "i bigint, xi double, w double, wx double, wxx double", half=True, flat=flat, **how)
-    by_point = by_point.groupBy("_g", "i", "xi").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"))
+    out = "i bigint, xi double, w double, wx double, wxx double"
+    whole = lambda parts: parts.groupBy("_g", "i", "xi").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"))
+    if smooth:
+        small, large = _by_place(own, min(SIZE, FAR_BLOCK))
+        by_point = one_block(small, "_g", "id", flat, out)  # already a row a point
+        if large is not None:
+            by_point = by_point.unionByName(whole(pairwise(large, None, "_g", "id", sums, out, FAR_BLOCK, half=True, order="_order")))
+    else:
+        by_point = whole(pairwise(own, None, "_g", "id", sums, out, half=True, flat=flat))
     # Standardised rows: y = sum of w x / sum of w, and likewise for the squares.
     y, yy = F.try_divide("wx", "w"), F.try_divide("wxx", "w")
     linked = F.when(F.col("w") > 0, 1.0).otherwise(0.0)
