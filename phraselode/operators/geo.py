@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesic import DECAYS, DISTANCES
 from ..functions.keys import finite, lookup, null_safe_key
 from ..session import durable
-from .blocks import SIZE, one_block, pairwise
+from .blocks import HELD, SIZE, one_block, pairwise
 from .far import weighted_sums
 
 
@@ -59,13 +59,32 @@ def complete_cases(scores: DataFrame) -> DataFrame:
 
 #: Points of a block where the matrix itself is the result: fewer copies of blocks than elsewhere, since its cells leave in slabs.
 TABLE_BLOCK = 2048
+#: Different weights from which cells are better written by weight than by row: files keep a dictionary of fewer.
+KINDS = 1 << 16
+
+
+def _to_write(w: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the weights that aren't 0, some after others, in the order that files of them are smallest in.
+
+    Those are by row, where points repeat; or by weight, if there are too many different ones for a dictionary and each
+    is met several times. A weight is then written once for all its cells, and the two points take a few bits each.
+    """
+    at = np.flatnonzero(w)
+    if len(at) > 3 * KINDS:
+        found = w[at]
+        order = np.argsort(found)
+        found = found[order]
+        kinds = 1 + np.count_nonzero(found[1:] != found[:-1])
+        if KINDS < kinds < len(at) / 3:
+            at = at[order]
+    yield from (at[k : k + HELD] for k in range(0, len(at), HELD))
 
 
 def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a: float = 500.0, distance: str = "haversine", band: float | None = None, include_self: bool = False, standardise: bool = True, places: int | None = None, keyed: bool = True) -> DataFrame:
     """_g (if ``keyed``), i, j, w: the weights of a group's points (keys, id, lat, lon) that aren't 0, row-standardised or as they are.
 
     For groups whose matrix is wanted itself; the indices below don't make it. With ``places``, weights are rounded to
-    these before those of 0 are left out.
+    these before those of 0 are left out, and cells of a weight may leave together.
     """
     items = points.select(null_safe_key(*keys).alias("_g"), "id", "lat", "lon")
     how = (decay, a, distance, band, include_self)
@@ -84,14 +103,16 @@ def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a:
         items = durable(items.join(by_row.groupBy("_g", "id").agg(F.sum("total").alias("total")), ["_g", "id"]))
 
     def cells(left: dict, right: dict, same: bool) -> Iterator[dict]:
+        found = np.empty((len(left["id"]), len(right["id"])))
         for at, w in _weights(left, right, same, *how):
             if standardise:
                 total = left["total"][at, None]
                 w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
-            if places is not None:
-                w = np.round(w, places)
-            i, j = np.nonzero(w)
-            yield {"i": left["id"][at][i], "j": right["id"][j], "w": w[i, j]}
+            found[at] = w if places is None else np.round(w, places)
+        flat = found.ravel()
+        for at in _to_write(flat):
+            i, j = np.divmod(at, len(right["id"]))
+            yield {"i": left["id"][i], "j": right["id"][j], "w": flat[at]}
 
     return pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double", TABLE_BLOCK, keyed=keyed)
 
