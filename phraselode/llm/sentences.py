@@ -76,16 +76,17 @@ _POINT = re.compile(rf"[{_STOPS}{_WIDE}{_OWN}“„«‹「『《(（\['‘\"]")
 _EVENT = re.compile(rf"(?P<span>{_SPAN})|(?!\.\d)[{_STOPS}]+[{_CLOSERS}]*|[{_WIDE}]+[{_CLOSERS}]*|[{_OWN}]+[{_CLOSERS}]*")
 _BREAK = r"(?:\r\n|[\n\x0b\x0c\x85  ]|\r(?!\n))"
 _PARAGRAPHS = re.compile(rf"{_BREAK}\s*?{_BREAK}\s*| \s*")
+#: What any such stretch begins with; looked for by itself, since that is much faster.
+_LINE_END = re.compile("[\r\n\x0b\x0c\x85\u2028\u2029]")
 _SPACE = re.compile(r"\s+")
 _AHEAD = re.compile(r"(\s*)(?:[^\w\s]*([^\W_]+))?")
 _BEFORE = re.compile(r"[^\s“”„«»‹›\"()\[\]（）「」—–,;:!?¿¡/]+$")
 _OPENERS = "(['‘“„\"«¿¡"
 _THAI = re.compile(r"[ก-๛]")
 _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
-_SEGMENTS = re.compile(r"(?<=[.!?…]) ")
 _INNER = re.compile(r"(?<=[\w,;:]) (\S+)")
 _FIRST = re.compile(r"[^\W\d_]+")
-_GOES_ON = re.compile(rf"\s+[{re.escape(_OPENERS)}]*(\w\w?)")
+_GOES_ON = re.compile(rf"\.\s+[{re.escape(_OPENERS)}]*(?![A-Z])(\w\w?)")
 _NEXT_TOKEN = re.compile(r"\w+\.?")
 
 
@@ -129,7 +130,7 @@ class Silent(dict):
 
 class Words:
     """What one text has of words, where it is unambiguous: the words with a stop before lower case, before a number, and
-    before a capital, with the next word; the words behind a number with a stop, and behind another word with one; how
+    before a capital, with the next word and whether the text has that in lower case too; the words behind a number with a stop, and behind another word with one; how
     often a form occurs."""
 
     def __init__(self, text: str):
@@ -162,20 +163,24 @@ class Words:
             if len(word) <= 2 and (m := _FIRST.match(token)):
                 self.ordinal.add(m[0].lower())
             return
-        m = _NEXT_TOKEN.match(token.lstrip(_OPENERS))
-        if not m or not word[0].isalpha() or word[-1] == ".":
+        if not word[0].isalpha() or word[-1] == ".":
+            return
+        if token.isalnum():
+            after = token
+        elif m := _NEXT_TOKEN.match(token.lstrip(_OPENERS)):
+            # A single letter with a stop is an initial, as good as a name.
+            after = m[0] if len(m[0]) == 2 else m[0].rstrip(".")
+        else:
             return
-        # A single letter with a stop is an initial, as good as a name.
-        after = m[0] if len(m[0]) == 2 else m[0].rstrip(".")
         word, first = word.lower(), after[0]
         if first.islower() and not _mixed(after):
             self.before_lower[word] = self.before_lower.get(word, 0) + 1
         elif first.isdigit():
             self.before_number[word] = self.before_number.get(word, 0) + 1
         else:
-            self.before_capital[word, after] = True
             self.begins.add(after.lower())
-            if self.has_lower(after):
+            self.before_capital[word, after] = both = self.has_lower(after)
+            if both:
                 self.ending.add(word)
 
     def has_lower(self, word: str) -> bool:
@@ -203,7 +208,10 @@ class Words:
     def inner(self) -> list[str]:
         """The tokens within sentences, that is behind a word or comma."""
         # Where a stretch has no capital at all, names are in lower case too.
-        return _INNER.findall(" . ".join([x for x in _SEGMENTS.split(self.line) if not x.islower() and not x.isupper()]))
+        line = self.line  # without line ends
+        for mark in ".!?…":
+            line = line.replace(mark + " ", mark + "\n")
+        return _INNER.findall(" . ".join([x for x in line.split("\n") if not x.islower() and not x.isupper()]))
 
 
 _EDGES = ",;:!?()[]\"'“”„«»…"
@@ -211,10 +219,12 @@ _EDGES = ",;:!?()[]\"'“”„«»…"
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """Begin and end of the stretches between blank lines, white space around them excluded; blank ones left out."""
-    out, begin = [], 0
-    for m in _PARAGRAPHS.finditer(text):
-        out.append((begin, m.start()))
-        begin = m.end()
+    out, begin, at = [], 0, 0
+    while end := _LINE_END.search(text, at):
+        at = end.end()
+        if m := _PARAGRAPHS.match(text, end.start()):
+            out.append((begin, m.start()))
+            begin = at = m.end()
     out.append((begin, len(text)))
     return [x for x in (trimmed(text, a, b) for a, b in out) if x[0] < x[1]]
 
@@ -236,6 +246,7 @@ class _Document:
         low = text.lower()
         self._lower_text = low if len(low) == len(text) else text
         self._places: dict[str, tuple[int, int]] = {}
+        self._going: dict[str, list[tuple[int, bool]]] | None = None
         self._danda = "।" in text
 
     @property
@@ -261,15 +272,18 @@ class _Document:
         lower, number = self._goes_on(word)
         if said & ABBREVIATION and lower + number > this:
             return said  # both say so
-        alone = lambda: word not in self.words.ending and not self.words.times(word) and not self.words.name(word)
-        if lower > this and alone():
+        if lower > this and self._alone(word):
             return ABBREVIATION
         if said:
             return said
-        if number > this and alone():
+        if number > this and self._alone(word):
             return ABBREVIATION
         return TITLE if word in FOLLOWED and word not in _AMBIGUOUS else ABBREVIATION | LISTED if word in MAY_END and word not in _AMBIGUOUS else 0
 
+    def _alone(self, word: str) -> bool:
+        """Whether the document has the word with a stop only, and never at an end that is plain."""
+        return word not in self.words.ending and not self.words.times(word) and not self.words.name(word)
+
     def units(self) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         thai = _THAI.search(self.text)
@@ -281,7 +295,11 @@ class _Document:
                 ends = self._ends(part)
             at = 0
             for e in (*ends, len(part)):
-                a, b = trimmed(part, at, e)
+                a, b = at, e
+                while a < b and part[a].isspace():
+                    a += 1
+                while b > a and part[b - 1].isspace():
+                    b -= 1
                 if a < b:
                     out.append((begin + a, begin + b))
                 at = e
@@ -291,7 +309,19 @@ class _Document:
         ends: list[int] = []
         begin, size, pos = 0, len(part), 0
         while point := _POINT.search(part, pos):
-            m = _EVENT.match(part, point.start())
+            at = point.start()
+            if part[at] == "." and part[at + 1 : at + 2] == " " and part[at + 2] not in "»›":
+                # A stop and a space, as most are: what the rules below come to for it.
+                pos = at + 1
+                word, _, following = self._following(part, pos)
+                if following in ",;:)]»”" and following or not self._stop_ends(part, begin, at, word, word[:1].islower() and not _mixed(word)):
+                    continue
+                ends.append(pos)
+                begin = pos + 1
+                while part[begin].isspace():
+                    begin += 1
+                continue
+            m = _EVENT.match(part, at)
             if not m:
                 pos = point.end()
                 continue
@@ -439,21 +469,27 @@ class _Document:
     def _goes_on(self, word: str) -> tuple[int, int]:
         """How often the document has the word with a stop before lower case, and before a number."""
         if word not in self._places:
+            if self._going is None:
+                self._going = self._stops_that_go_on()
             lower = number = 0
-            low, text, at = self._lower_text, self.text, -1
+            low, text, size = self._lower_text, self.text, len(word)
+            for stop, is_lower in self._going.get(word[-1:], ()):
+                at = stop - size
+                if at >= 0 and low.startswith(word, at) and not (at > 0 and text[at - 1].isalnum()):
+                    lower, number = lower + is_lower, number + (not is_lower)
             # Only what the document has with a stop once more can be settled by it.
-            n = low.count(word + ".")
-            for _ in range(n if n > 1 else 0):
-                at = low.find(word + ".", at + 1)
-                after = at + len(word) + 1
-                if at > 0 and text[at - 1].isalnum() or not text[after : after + 1].isspace():
-                    continue
-                m = _GOES_ON.match(text, after)
-                if m and not _mixed(m[1]):
-                    lower, number = lower + m[1][0].islower(), number + m[1][0].isdigit()
-            self._places[word] = (lower, number)
+            self._places[word] = (lower, number) if (lower or number) and low.count(word + ".") > 1 else (0, 0)
         return self._places[word]
 
+    def _stops_that_go_on(self) -> dict[str, list[tuple[int, bool]]]:
+        """By the character before a stop: the stops before lower case (True) or a number (False)."""
+        going: dict[str, list[tuple[int, bool]]] = {}
+        for m in _GOES_ON.finditer(self.text):
+            after, at = m[1], m.start()
+            if at and (after[0].islower() or after[0].isdigit()) and not _mixed(after):
+                going.setdefault(self._lower_text[at - 1], []).append((at, after[0].islower()))
+        return going
+
     def _follows_ordinals(self, word: str) -> bool:
         return bool(self.said[word] & ORDINAL) or word in MONTHS
 
@@ -523,10 +559,10 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 tokens.update(words.inner())
                 # Once a text: what one text repeats says no more about a word.
                 other.update(words.before_lower.keys() | words.before_number.keys())
-                for word, after in words.before_capital:
+                for (word, after), both in words.before_capital.items():
                     capital[word] += 1
                     # A word without case tells nothing about names.
-                    if after[0].isupper() and not words.has_lower(after):
+                    if not both and after[0].isupper():
                         unseen[word] += 1
                 ordinal.update(words.ordinal)
                 begins.update(words.begins)

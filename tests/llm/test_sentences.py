@@ -1,5 +1,8 @@
+import re
+import sys
+
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from phraselode.llm import sentences
 from phraselode.llm.sentences import Corpus, sentence_units
@@ -117,3 +120,42 @@ def test_words_joined_say_the_same_as_words_sent(spark, monkeypatch, copies, mos
     monkeypatch.setattr(sentences, "COPIES", copies)
     monkeypatch.setattr(sentences, "BROADCAST_BYTES", most)
     assert sorted(map(tuple, sentences.split_sentences(docs).collect())) == sent
+
+
+def test_steps_of_a_sentence():
+    """p6_found: calls that a sentence takes, which don't depend on the machine."""
+    text = " ".join(f"The engine of number {k} ran well, and Dr. Smith saw it. Nobody knew why; it cost 3.50 a day." for k in range(200))
+    corpus = sentences.Corpus(common=frozenset(["nobody", "the"]), stops={"it": (9, 0), "day": (9, 0), "dr": (0, 9)})
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = sentences.document_units(text, corpus.said)
+    finally:
+        sys.setprofile(None)
+    assert len(found) == 400
+    assert steps < 50 * len(found)
+
+
+@given(st.text(st.sampled_from(list("abÉ1. .\u0130\n\r\u2029('«")), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_lookups_against_plain_searches(text):
+    """p6_found: paragraphs and stops before lower case or numbers are those of a search at every place."""
+    out, begin = [], 0
+    for m in sentences._PARAGRAPHS.finditer(text):
+        out.append((begin, m.start()))
+        begin = m.end()
+    want = [sentences.trimmed(text, *x) for x in (*out, (begin, len(text)))]
+    assert sentences.paragraphs(text) == [x for x in want if x[0] < x[1]]
+    low = text.lower() if len(text.lower()) == len(text) else text
+    for word in ("a", "b", "ab", "é", "1"):
+        lower = number = 0
+        for at in range(len(text)):
+            after = at + len(word) + 1
+            if low.startswith(word + ".", at) and not (at and text[at - 1].isalnum()) and (m := re.match(r"\s+[(['‘“„\"«¿¡]*(\w\w?)", text[after:])):
+                lower, number = lower + (m[1][0].islower() and not sentences._mixed(m[1])), number + (m[1][0].isdigit() and not sentences._mixed(m[1]))
+        assert sentences._Document(text, sentences.Silent({}))._goes_on(word) == ((lower, number) if low.count(word + ".") > 1 else (0, 0))
