@@ -65,15 +65,16 @@ def _numpy(items: pa.Array) -> dict[str, np.ndarray]:
 HELD = 1 << 16
 
 
-def _run(kernel: Kernel, group: str, names: Sequence[str], keyed: bool = True):
+def _run(kernel: Kernel | Callable[[], tuple[Kernel, Callable[[], Iterator[dict]]]], group: str, names: Sequence[str], keyed: bool = True, staged: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_pair, rest = kernel() if staged else (kernel, lambda: iter(()))
         for batch in batches:
             at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
             left, right, same = (batch.column(at[n]) for n in ("left_items", "right_items", "same"))
 
             def parts() -> Iterator[tuple[int, dict]]:
                 for i in range(batch.num_rows):
-                    got = kernel(_numpy(left[i].values), _numpy(right[i].values), same[i].as_py())
+                    got = of_pair(_numpy(left[i].values), _numpy(right[i].values), same[i].as_py())
                     yield from ((i, part) for part in ([got] if isinstance(got, dict) else got))
 
             held, n = [], 0
@@ -85,11 +86,13 @@ def _run(kernel: Kernel, group: str, names: Sequence[str], keyed: bool = True):
                     held, n = [], 0
             if held:
                 yield _whole(batch.column(at[group]), held, group, names, keyed)
+        for part in rest():
+            yield _whole(None, [(0, part)], group, names, False)
 
     return run
 
 
-def _whole(keys: pa.Array, held: list[tuple[int, dict]], group: str, names: Sequence[str], keyed: bool) -> pa.RecordBatch:
+def _whole(keys: pa.Array | None, held: list[tuple[int, dict]], group: str, names: Sequence[str], keyed: bool) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate([np.asarray(part[n]) for _, part in held])) for n in names]
     if not keyed:
         return pa.RecordBatch.from_arrays(columns, [*names])
@@ -134,7 +137,7 @@ def one_block(items: DataFrame, group: str, id_col: str, flat: FlatKernel, out:
     return whole.mapInArrow(_run_flat(flat, group, [c.strip().split()[0] for c in out.split(",")]), f"{group} {kind}, {out}")
 
 
-def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None, keyed: bool = True, order: str | None = None) -> DataFrame:
+def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str, kernel: Kernel, out: str, size: int = SIZE, half: bool = False, flat: FlatKernel | None = None, keyed: bool = True, order: str | None = None, staged: bool = False) -> DataFrame:
     """group and the kernel's columns (``out`` is their schema) for every pair of blocks of a group.
 
     ``right`` None stands for ``left`` itself; ``half`` then gives each pair of blocks once. Items with a null group
@@ -142,10 +145,12 @@ def pairwise(left: DataFrame, right: DataFrame | None, group: str, id_col: str,
     where it is, without another shuffle; with ``flat`` (a row an item) many such groups are computed at once.
     Without ``keyed`` the rows don't repeat their group, which is much where a pair is a row; that is for kernels without ``flat``.
     ``order`` names a column, evenly spread over 0 to 1 within a group, along which items are put into blocks instead of by hash.
+    With ``staged`` (and without ``keyed``), ``kernel()`` is called once in a task and returns its kernel and a function
+    that gives, after all pairs of the task, the parts that the kernel held back.
     """
     kind = left.schema[group].dataType.simpleString()
     names = [c.strip().split()[0] for c in out.split(",")]
-    run = lambda met: met.select(group, "same", "left_items", "right_items").mapInArrow(_run(kernel, group, names, keyed), f"{group} {kind}, {out}" if keyed else out)
+    run = lambda met: met.select(group, "same", "left_items", "right_items").mapInArrow(_run(kernel, group, names, keyed, staged), f"{group} {kind}, {out}" if keyed else out)
     left = left.filter(F.col(group).isNotNull())
     counts = block_counts(left, group, size)
     a = in_blocks(left, counts, group, id_col, order)

@@ -7,7 +7,7 @@ a group's distance matrix never exists as rows and may be larger than any task's
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.geodesic import DECAYS, DISTANCES
 from ..functions.keys import finite, lookup, null_safe_key
 from ..session import durable
-from .blocks import HELD, SIZE, one_block, pairwise
+from .blocks import HELD, SIZE, Kernel, one_block, pairwise
 from .far import weighted_sums
 
 
@@ -80,14 +80,67 @@ def _to_write(w: np.ndarray) -> Iterator[np.ndarray]:
     yield from (at[k : k + HELD] for k in range(0, len(at), HELD))
 
 
+#: Cells of more different weights than a file's dictionary has are held until a task has no others, or that many are.
+CELLS_HELD = 1 << 22
+#: Different weights of a file's dictionary (1 MB of doubles, and some room), and rows of its first page, which decides whether it is kept.
+DICTIONARY, PAGE = 130_000, 20_000
+#: Columns of a tile, in which the cells of a row follow those of the row before; and cells that stay together, so that their columns' bits fill bytes.
+TILE, OCTET = 256, 8
+
+
+def _along(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """The order of points along a curve through cells (Z-order)."""
+    cell = lambda v, low, span, n: np.clip(np.nan_to_num((v - low) / span * n), 0, n - 1).astype(np.int64)
+    y, x = cell(lat, -90, 180, CELL_ROWS), cell(lon, -180, 360, 2 * CELL_ROWS)
+    return np.argsort(sum(((y >> k & 1) << 2 * k) + ((x >> k & 1) << 2 * k + 1) for k in range((2 * CELL_ROWS).bit_length())), kind="stable")
+
+
+def _common(w: np.ndarray, below: float) -> np.ndarray:
+    """Which cells have weights above 0 and under ``below``, whole octets of a row only."""
+    few = (w > 0) & (w < below)
+    whole = w.shape[1] // OCTET * OCTET
+    few[:, whole:] = False
+    octets = few[:, :whole].reshape(len(w), -1, OCTET)
+    octets &= octets.all(axis=2, keepdims=True)
+    return few
+
+
+def _suits(w: np.ndarray, few: np.ndarray) -> bool:
+    """Whether a dictionary is worth it: the cells are many, most of them in ``few``, and two thirds of the pages smaller with a dictionary of their own."""
+    if w.size <= 3 * KINDS or 4 * np.count_nonzero(few) < 3 * w.size:
+        return False
+    smaller = []
+    for begin in range(0, w.shape[1], TILE):
+        cells = w[:, begin : begin + TILE][few[:, begin : begin + TILE]]
+        for k in np.linspace(0, max(0, len(cells) - PAGE), 4).astype(int):
+            page = cells[k : k + PAGE]
+            kinds = len(np.unique(page))
+            smaller.append(8 * kinds + len(page) * kinds.bit_length() / 8 < 8 * len(page))
+    return 3 * sum(smaller) > 2 * len(smaller)
+
+
+def _opening(w: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """The octets of two pages that have the smallest weights, which are alike: a file keeps a dictionary if its first page is smaller for it."""
+    whole = w.shape[1] // OCTET * OCTET
+    most = np.where(few, w, np.inf)[:, :whole].reshape(-1, OCTET).max(axis=1)
+    at = np.argpartition(most, 2 * PAGE // OCTET)[: 2 * PAGE // OCTET]
+    first = np.zeros((len(w), whole // OCTET), bool)
+    first.ravel()[at] = True
+    out = np.zeros_like(few)
+    out[:, :whole] = np.repeat(first, OCTET, axis=1)
+    return out & few
+
+
 def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a: float = 500.0, distance: str = "haversine", band: float | None = None, include_self: bool = False, standardise: bool = True, places: int | None = None, keyed: bool = True) -> DataFrame:
     """_g (if ``keyed``), i, j, w: the weights of a group's points (keys, id, lat, lon) that aren't 0, row-standardised or as they are.
 
     For groups whose matrix is wanted itself; the indices below don't make it. With ``places``, weights are rounded to
-    these before those of 0 are left out, and cells of a weight may leave together.
+    these before those of 0 are left out, and cells leave in the order that files of them are smallest in: if most weights
+    fit into a file's dictionary, row by row in tiles, and the others of a task after them; else as :func:`_to_write` has them.
     """
     items = points.select(null_safe_key(*keys).alias("_g"), "id", "lat", "lon")
     how = (decay, a, distance, band, include_self)
+    apart = places is not None and not keyed
     if standardise:
         items = durable(items)
 
@@ -102,19 +155,48 @@ def weight_table(points: DataFrame, keys: Sequence[str], decay: str = "inv", a:
         by_row = pairwise(items, None, "_g", "id", totals, "id bigint, total double", TABLE_BLOCK, half=True)
         items = durable(items.join(by_row.groupBy("_g", "id").agg(F.sum("total").alias("total")), ["_g", "id"]))
 
-    def cells(left: dict, right: dict, same: bool) -> Iterator[dict]:
-        found = np.empty((len(left["id"]), len(right["id"])))
-        for at, w in _weights(left, right, same, *how):
-            if standardise:
-                total = left["total"][at, None]
-                w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
-            found[at] = w if places is None else np.round(w, places)
-        flat = found.ravel()
-        for at in _to_write(flat):
-            i, j = np.divmod(at, len(right["id"]))
-            yield {"i": left["id"][i], "j": right["id"][j], "w": flat[at]}
-
-    return pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double", TABLE_BLOCK, keyed=keyed)
+    def cells() -> tuple[Kernel, Callable[[], Iterator[dict]]]:
+        held: list[dict] = []
+        tiled: bool | None = None  # by the first pair of a task: its cells share a file
+
+        def rest() -> Iterator[dict]:
+            if held:
+                i, j, w = (np.concatenate([part[c] for part in held]) for c in "ijw")
+                held.clear()
+                yield from ({"i": i[at], "j": j[at], "w": w[at]} for at in _to_write(w))
+
+        def of_pair(left: dict, right: dict, same: bool) -> Iterator[dict]:
+            nonlocal tiled
+            if apart:
+                left, right = ({k: v[at] for k, v in block.items()} for block in (left, right) for at in [_along(block["lat"], block["lon"])])
+            found = np.empty((len(left["id"]), len(right["id"])))
+            for at, w in _weights(left, right, same, *how):
+                if standardise:
+                    total = left["total"][at, None]
+                    w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+                found[at] = w if places is None else np.round(w, places)
+            part = lambda i, j: {"i": left["id"][i], "j": right["id"][j], "w": found[i, j]}
+            others = found != 0
+            if apart and tiled is not False:
+                few = _common(found, DICTIONARY / 10**places)
+                if tiled is None and (tiled := _suits(found, few)):
+                    opening = _opening(found, few)
+                    yield part(*np.nonzero(opening))
+                    few &= ~opening
+                    others &= ~opening
+            if not tiled:
+                yield from (part(*np.divmod(at, len(right["id"]))) for at in _to_write(found.ravel()))
+                return
+            for begin in range(0, few.shape[1], TILE):
+                i, j = np.nonzero(few[:, begin : begin + TILE])
+                yield from (part(i[k : k + HELD], begin + j[k : k + HELD]) for k in range(0, len(i), HELD))
+            held.append(part(*np.nonzero(others & ~few)))
+            if sum(len(p["w"]) for p in held) >= CELLS_HELD:
+                yield from rest()
+
+        return of_pair, rest
+
+    return pairwise(items, None, "_g", "id", cells, "i bigint, j bigint, w double", TABLE_BLOCK, keyed=keyed, staged=True)
 
 
 #: Weights that :mod:`.far` can interpolate: smooth wherever points are apart, in proportion to how far they are.
